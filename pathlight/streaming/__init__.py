@@ -1,0 +1 @@
+"""Intentionally empty: the input graph is static and progressive sampling is a loop of bounded batch jobs."""
