@@ -107,14 +107,14 @@ def _meet(fps: DataFrame) -> DataFrame:
     return first.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest id that links of fingerprints reach.
 
     Texts without a word have fingerprint 0 and link like any other. Documents of equal fingerprints are one node, so
     thousands of copies cost one. Repeated rows come back as they are. Null ids take part but are never the smallest;
     a component of null ids alone has a null id. No rows: no rows. Other columns are ignored.
     """
-    prints = cut(with_fingerprints(docs, id_col, text_col))
+    prints = cut(with_fingerprints(docs, id_col, text_col, shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     parts = connected_components(links(nodes.select("fp")))
     roots = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -125,12 +125,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One document of each group of near-duplicates: the row of the smallest id.
 
     Of repeated rows of that id one stays. Rows with null ids stay only if their group has no other id, one of them.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, shingle)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = kept.select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi")
