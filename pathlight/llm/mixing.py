@@ -112,8 +112,10 @@ def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     mix = mix.groupBy(F.col("doc_id").alias("_id"), F.col("content_hash").alias("_h")).agg(
         F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows")
     )
-    hashed = docs.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    on = hashed["doc_id"].eqNullSafe(mix["_id"]) & (hashed["_hash"] == mix["_h"])
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}  # by place, so that no name clashes
+    text, doc_id = F.col(at["text"]), F.col(at["doc_id"])
+    hashed = docs.toDF(*at.values()).withColumn("_hash", F.xxhash64(F.lit(seed), doc_id, text))
+    on = doc_id.eqNullSafe(mix["_id"]) & (hashed["_hash"] == mix["_h"])
     # Repeated rows share what they were taken for; each keeps its even share.
     share = F.ceil(F.col("_taken") / F.col("_rows"))
     rows = hashed.join(mix, on).withColumn("_share", share)
@@ -121,9 +123,9 @@ def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     rest = (F.col("_share") - whole * F.col("_size")).cast("int")
     parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("_part", F.explode(parts))
-    words = F.split(F.regexp_replace("text", f"^{BLANKS}", ""), BLANKS)
-    cut_text = F.array_join(F.slice(words, F.lit(1), F.col("_part")), " ")
-    out = rows.withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(cut_text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    words = F.split(F.regexp_replace(text, f"^{BLANKS}", ""), BLANKS)
+    head = F.array_join(F.slice(words, F.lit(1), F.col("_part")), " ")
+    rows = rows.withColumn(at["text"], F.when(F.col("_part") < 0, text).otherwise(head))
+    if "n_chars" in at:
+        rows = rows.withColumn(at["n_chars"], F.length(at["text"]).cast("long"))
+    return rows.select(*at.values()).toDF(*docs.columns)

@@ -99,7 +99,7 @@ SQL = {
         from f""",
     "op7_pstable_cosine": """
         with recursive v as (
-               select vec_id, embedding::double[] e, sqrt(list_sum(list_transform(embedding::double[], x -> x * x))) len
+               select vec_id, embedding::double[] e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) len
                from embeddings),
              l as (
                select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id

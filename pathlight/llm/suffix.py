@@ -266,10 +266,14 @@ def _count_windows(spans: DataFrame, window: int) -> DataFrame:
     return hits.mapInArrow(run, "bucket long, content long, ranges binary")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the hashes of the text, by which flags come back, and of the id."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("_tk", F.xxhash64(text, F.octet_length(text))).withColumn("_rid", F.xxhash64(F.col(id_col)))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with its columns renamed by place, so that no name clashes, and the hashes of the text, by which flags
+    come back, and of the id; and the new name of the text."""
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    named = docs.toDF(*at.values())
+    text = F.coalesce(F.col(at[text_col]), F.lit(""))
+    keyed = named.withColumn("_tk", F.xxhash64(text, F.octet_length(text))).withColumn("_rid", F.xxhash64(F.col(at[id_col])))
+    return keyed, at[text_col]
 
 
 def repeated_runs(keyed: DataFrame, text_col: str, window: int = WINDOW, most_runs: int = MOST_RUNS) -> DataFrame:
@@ -330,8 +334,9 @@ def covered(text: bytes, flags: dict[tuple[int, int], bytes | None], window: int
 
 
 def _flagged(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    keyed = _keyed(docs, id_col, text_col)
-    flags = repeated_runs(keyed, text_col, window)
+    """``docs`` with columns by place and their ``flags``, the last."""
+    keyed, text = _keyed(docs, id_col, text_col)
+    flags = repeated_runs(keyed, text, window)
     return keyed.join(flags, keyed["_tk"] == flags["_k"], "left").drop("_k", "_tk", "_rid")
 
 
@@ -371,7 +376,7 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>"
     rows = _flagged(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, window)
-    return rows.select(id_col, text_col, "flags").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _whole_characters(text: bytes, edges: np.ndarray) -> bytes:
