@@ -1,4 +1,449 @@
 """The registered queries of the graph operators and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathlight.operators import centrality as C
+from pathlight.operators import condensation as K
+from pathlight.operators import shape as S
+from pathlight.operators import traversal as T
+from pathlight.plans import progressive as P
+from pathlight.plans.lineage import cut
+from pathlight.sources import fixtures as X
+from pathlight.sources import graphs as G
+
+#: Samples, seed and partition base of the replayable sampling queries.
+SAMPLES, SEED, PEEL = 2_000, 42, 2.0
+ROUND = 9
+
+
+def _user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(G.simplify(X.user_seq(spark, sf_dir)))
+
+
+def _gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(G.simplify(X.user_gap(spark, sf_dir, 4)))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(G.simplify(X.page_link(spark, sf_dir), directed=False))
+
+
+def edges_dedup(spark, sf_dir):
+    return G.simplify(X.cust_seq(spark, sf_dir))
+
+
+def edges_symmetrised(spark, sf_dir):
+    return G.simplify(X.supp_part(spark, sf_dir), directed=False)
+
+
+def graph_summary(spark, sf_dir):
+    return G.graph_summary(cut(G.simplify(X.supp_part(spark, sf_dir), directed=False)))
+
+
+def degrees(spark, sf_dir):
+    edges = X.cust_seq(spark, sf_dir)
+    return S.degrees(edges, G.nodes_of(edges))
+
+
+def dense_ids(spark, sf_dir):
+    return S.dense_ids(X.supp_part(spark, sf_dir))
+
+
+def dense_edges(spark, sf_dir):
+    edges = cut(X.supp_part(spark, sf_dir))
+    return S.renumber(edges, S.dense_ids(edges))
+
+
+def isolated_nodes(spark, sf_dir):
+    """Ids from 0 to the greatest one that no edge has."""
+    edges = cut(X.cust_seq(spark, sf_dir))
+    return G.nodes_of(edges, dense=True).join(G.nodes_of(edges), "id", "left_anti")
+
+
+def components_undirected(spark, sf_dir):
+    edges = _pages(spark, sf_dir)
+    return K.weak_components(edges, G.nodes_of(edges))
+
+
+def components_forest(spark, sf_dir):
+    edges = cut(G.simplify(X.geo_forest(spark, sf_dir), directed=False))
+    return K.weak_components(edges, G.nodes_of(edges))
+
+
+def _scc(spark, sf_dir):
+    edges = _gap(spark, sf_dir)
+    return edges, cut(K.strong_components(edges, G.nodes_of(edges)))
+
+
+def scc(spark, sf_dir):
+    return _scc(spark, sf_dir)[1]
+
+
+def condensation(spark, sf_dir):
+    return K.condensation(*_scc(spark, sf_dir))
+
+
+def pivots(spark, sf_dir):
+    return K.pivots(*_scc(spark, sf_dir))
+
+
+def pivot_ecc(spark, sf_dir):
+    return K.pivot_eccentricities(*_scc(spark, sf_dir))
+
+
+def diameter_bound(spark, sf_dir):
+    bound = K.diameter_bound(*_scc(spark, sf_dir))
+    return spark.range(1).select(F.lit(bound).cast("long").alias("diameter_bound"))
+
+
+def bfs_levels(spark, sf_dir):
+    """Nodes at each distance from the node of the most edges of every strong component."""
+    edges, comps = _scc(spark, sf_dir)
+    starts = K.pivots(edges, comps).select(F.col("pivot").alias("id"))
+    found = T.path_counts(edges, starts)
+    return found.groupBy("source", F.col("dist").cast("long").alias("dist")).agg(F.count("*").alias("nodes"))
+
+
+def path_counts(spark, sf_dir):
+    edges = _user(spark, sf_dir)
+    found = T.path_counts(edges, G.nodes_of(edges))
+    return found.select("source", "node", F.col("dist").cast("long").alias("dist"), F.col("sigma").cast("double").alias("sigma"))
+
+
+def _exact(edges: DataFrame) -> DataFrame:
+    return C.exact_betweenness(edges, cut(G.nodes_of(edges)))
+
+
+def bc_exact_directed(spark, sf_dir):
+    return _exact(_user(spark, sf_dir)).select("node", F.round("bc", ROUND).alias("bc"))
+
+
+def bc_exact_undirected(spark, sf_dir):
+    return _exact(_pages(spark, sf_dir)).select("node", F.round("bc", ROUND).alias("bc"))
+
+
+def bc_topk_exact(spark, sf_dir):
+    return C.top_nodes(_exact(_user(spark, sf_dir)), 10).select("node", F.round("bc", ROUND).alias("bc"))
+
+
+def _sample(edges: DataFrame):
+    """Dense ids, pairs and paths of the replayable sample."""
+    ids = cut(S.dense_ids(edges))
+    dense = cut(S.renumber(edges, ids))
+    pairs = cut(S.sample_pairs(edges.sparkSession, ids.count(), 0, SAMPLES, SEED))
+    return ids, pairs, T.pair_paths(dense, pairs)
+
+
+def _node_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    back = ids.select(F.col("id"), F.col("dense_id").alias("node"))
+    return rows.join(back, "node").drop("node").withColumnRenamed("id", "node")
+
+
+def sample_pairs(spark, sf_dir):
+    n = G.nodes_of(_user(spark, sf_dir)).count()
+    return S.sample_pairs(spark, n, 0, SAMPLES, SEED)
+
+
+def pair_sigma(spark, sf_dir):
+    _, _, paths = _sample(_gap(spark, sf_dir))
+    return paths.lengths.select("pair_id", F.col("dist").cast("long").alias("dist"), "sigma")
+
+
+def void_samples(spark, sf_dir):
+    """Samples without an internal node, unreachable or adjacent."""
+    _, pairs, paths = _sample(_gap(spark, sf_dir))
+    joined = pairs.join(paths.lengths, "pair_id", "left")
+    return joined.agg(
+        F.count_if(F.col("dist").isNull()).alias("unreachable"), F.count_if(F.col("dist") == 1).alias("adjacent"), F.count_if(F.col("dist") > 1).alias("with_path")
+    )
+
+
+def path_length_hist(spark, sf_dir):
+    _, _, paths = _sample(_gap(spark, sf_dir))
+    return C.length_histogram(paths.lengths).select(F.col("internal").cast("long").alias("internal"), "pairs")
+
+
+def _sums(spark, sf_dir):
+    ids, _, paths = _sample(_user(spark, sf_dir))
+    return ids, C.node_sums(paths.weights, SEED)
+
+
+def bc_sampled(spark, sf_dir):
+    ids, sums = _sums(spark, sf_dir)
+    return _node_ids(ids, sums.select("node", F.round(F.col("sum_w") / SAMPLES, ROUND).alias("bc")))
+
+
+def wimpy_variance(spark, sf_dir):
+    ids, sums = _sums(spark, sf_dir)
+    return _node_ids(ids, sums.select("node", "hits", F.round(F.col("sum_w2") / SAMPLES, ROUND).alias("second_moment")))
+
+
+def rademacher_sums(spark, sf_dir):
+    ids, sums = _sums(spark, sf_dir)
+    rows = sums.select("node", F.posexplode("rade").alias("trial", "signed"))
+    return _node_ids(ids, rows.select("node", F.col("trial").cast("long").alias("trial"), F.round("signed", ROUND - 3).alias("signed")))
+
+
+def _parts(spark, sf_dir):
+    ids, sums = _sums(spark, sf_dir)
+    sums = cut(sums)
+    nodes = ids.select(F.col("dense_id").alias("id"))
+    return ids, sums, C.peeled(nodes, sums, SAMPLES, PEEL)
+
+
+def peeling_partitions(spark, sf_dir):
+    _, _, parts = _parts(spark, sf_dir)
+    return parts.groupBy(F.col("part").cast("long").alias("part")).agg(F.count("*").alias("nodes"))
+
+
+def _mcera(spark, sf_dir):
+    _, sums, parts = _parts(spark, sf_dir)
+    return C.mcera(C.partition_maxima(parts, sums), SAMPLES)
+
+
+def mcera_by_partition(spark, sf_dir):
+    rows = _mcera(spark, sf_dir)
+    return rows.select(
+        F.col("part").cast("long").alias("part"), "nodes", F.round("wimpy", ROUND).alias("wimpy"), F.round("mcera", ROUND).alias("mcera")
+    )
+
+
+def eps_by_partition(spark, sf_dir):
+    from pathlight.functions.bounds import rademacher_eps
+
+    rows = _mcera(spark, sf_dir).collect()
+    found = [(r["part"], rademacher_eps(r["wimpy"], r["mcera"], 0.05 / len(rows), SAMPLES, r["nodes"])) for r in rows]
+    return spark.createDataFrame(found, "part long, eps double").select("part", F.round("eps", 7).alias("eps"))
+
+
+def rho_bound(spark, sf_dir):
+    from pathlight.functions import bounds as B
+
+    edges, comps = _scc(spark, sf_dir)
+    diameter = K.diameter_bound(edges, comps)
+    _, _, paths = _sample(edges)
+    hist = {r["internal"]: r["pairs"] for r in C.length_histogram(paths.lengths).collect()}
+    mean, var = B.path_moments(hist, SAMPLES)
+    row = [(mean, var, B.rho_bound(hist, diameter, SAMPLES, 0.05))]
+    made = spark.createDataFrame(row, "mean double, variance double, rho double")
+    return made.select(*[F.round(c, 7).alias(c) for c in made.columns])
+
+
+def top1_bound(spark, sf_dir):
+    from pathlight.functions.bounds import top_bound
+
+    _, sums = _sums(spark, sf_dir)
+    r = sums.agg(F.max("sum_w").alias("a"), F.max("sum_w2").alias("b")).first()
+    tops = [((r["a"] or 0.0) / SAMPLES, (r["b"] or 0.0) / SAMPLES)]
+    rows = [(a, top_bound(a, 0.05, SAMPLES), b, top_bound(b, 0.05, SAMPLES)) for a, b in tops]
+    made = spark.createDataFrame(rows, "top_bc double, top_bc_bound double, top_moment double, top_moment_bound double")
+    return made.select(*[F.round(c, 7).alias(c) for c in made.columns])
+
+
+def bc_single_path(spark, sf_dir):
+    """One uniformly drawn path for each sample."""
+    edges = _user(spark, sf_dir)
+    ids = cut(S.dense_ids(edges))
+    pairs = cut(S.sample_pairs(spark, ids.count(), 0, SAMPLES, SEED))
+    paths = T.pair_paths(S.renumber(edges, ids), pairs, "single", seed=SEED)
+    return _node_ids(ids, C.node_sums(paths.weights, SEED).select("node", (F.col("sum_w") / SAMPLES).alias("bc")))
+
+
+def bc_multi_path(spark, sf_dir):
+    """Several drawn paths for each sample, 2.3 times their number."""
+    edges = cut(G.simplify(X.supp_part(spark, sf_dir), directed=False))
+    ids = cut(S.dense_ids(edges))
+    pairs = cut(S.sample_pairs(spark, ids.count(), 0, SAMPLES, SEED))
+    paths = T.pair_paths(S.renumber(edges, ids), pairs, "multi", 2.3, SEED)
+    return _node_ids(ids, C.node_sums(paths.weights, SEED).select("node", (F.col("sum_w") / SAMPLES).alias("bc")))
+
+
+def bc_absolute(spark, sf_dir):
+    return P.approximate_betweenness(_user(spark, sf_dir), eps=0.02, directed=True).scores
+
+
+def bc_topk_relative(spark, sf_dir):
+    return P.approximate_betweenness(X.geo_forest(spark, sf_dir), eps=0.25, k=5).scores
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        edges_dedup, edges_symmetrised, graph_summary, degrees, dense_ids, dense_edges, isolated_nodes, components_undirected,
+        components_forest, scc, condensation, pivots, pivot_ecc, diameter_bound, bfs_levels, path_counts, bc_exact_directed,
+        bc_exact_undirected, bc_topk_exact, sample_pairs, pair_sigma, void_samples, path_length_hist, bc_sampled,
+        wimpy_variance, rademacher_sums, peeling_partitions, mcera_by_partition, eps_by_partition, rho_bound, top1_bound,
+        bc_single_path, bc_multi_path, bc_absolute, bc_topk_relative,
+    )
+}
+
+_USER = """select distinct u src, v dst from (
+  select user_id u, lead(user_id) over (order by ts, event_id) v
+  from events where event_type = 'purchase' and value > 40) where v is not null and u <> v"""
+_GAP = """select distinct u src, v dst from (
+  select user_id u, ts t, lead(user_id) over (order by ts, event_id) v, lead(ts) over (order by ts, event_id) t2
+  from events where event_type = 'purchase') where v is not null and u <> v and t2 - t < interval 4 minute"""
+_CUST = """select distinct u src, v dst from (
+  select o_custkey u, lead(o_custkey) over (order by o_orderdate, o_orderkey) v
+  from orders where o_orderstatus = 'F' and o_orderpriority like '1%') where v is not null and u <> v"""
+_SUPP = "select distinct l_suppkey + 1000000 src, l_partkey dst from lineitem where l_quantity >= 49"
+_PAGE = """select distinct page_id src, id dst from
+  (select page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) w from pages)
+  join (select w, 1000000 + row_number() over (order by w) id from
+    (select distinct unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) w from pages)) using (w)"""
+_GEO = """select n_nationkey + 1000000 src, n_regionkey + 2000000 dst from nation
+  union select c_custkey, c_nationkey + 1000000 from customer
+  union select s_suppkey + 3000000, s_nationkey + 1000000 from supplier"""
+
+
+def _graph(edges: str, directed: bool = True) -> str:
+    """Common tables ``e`` (edges) and ``n`` (nodes)."""
+    both = f"raw as ({edges}), "
+    both += "e as (select src::bigint src, dst::bigint dst from raw" + ("" if directed else " union select dst, src from raw") + "), "
+    return both + "n as (select src v from e union select dst from e)"
+
+
+#: Distances by a walk of growing length, and path counts along them.
+_DIST = """
+  walk as (select v s, v, 0 d from n union select w.s, e.dst, w.d + 1 from walk w join e on w.v = e.src where w.d < {most}),
+  dist as (select s, v, min(d) d from walk group by s, v),
+  pc as (select s, v, d, 1.0::double sigma from dist where d = 0 union all
+         select p.s, e.dst, p.d + 1, sum(p.sigma) from pc p join e on p.v = e.src
+         join dist t on t.s = p.s and t.v = e.dst and t.d = p.d + 1 group by p.s, e.dst, p.d + 1)"""
+#: Exact centrality: the share of paths through every node, summed over all pairs.
+_BC = """
+  through as (select a.v node, sum(a.sigma * b.sigma / c.sigma) total from pc a join pc b on a.v = b.s
+    join pc c on c.s = a.s and c.v = b.v and c.d = a.d + b.d where a.d > 0 and b.d > 0 group by a.v),
+  bc as (select n.v node, coalesce(total, 0) / ((select count(*) from n) * ((select count(*) from n) - 1.0)) bc
+    from n left join through on n.v = node)"""
+_REACH = """
+  reach as (select v a, v b from n union select r.a, e.dst from reach r join e on r.b = e.src),
+  comp as (select x.a id, min(x.b) comp from reach x join reach y on x.a = y.b and x.b = y.a group by x.a)"""
+_PIVOT = """
+  deg as (select v, (select count(*) from e where src = v) + (select count(*) from e where dst = v) deg from n),
+  piv as (select comp, arg_max(v, deg * 1000000000 - v) p from comp join deg on id = v group by comp)"""
+#: Distances from and to the pivots inside their components.
+_ECC = """
+  inner_e as (select src, dst from e join comp a on src = a.id join comp b on dst = b.id where a.comp = b.comp),
+  fw as (select p s, p v, 0 d from piv union select f.s, i.dst, f.d + 1 from fw f join inner_e i on f.v = i.src where f.d < {most}),
+  bw as (select p s, p v, 0 d from piv union select f.s, i.src, f.d + 1 from bw f join inner_e i on f.v = i.dst where f.d < {most}),
+  ecc as (select comp, p, f.m forward, b.m backward from piv
+    join (select s, max(d) m from (select s, v, min(d) d from fw group by s, v) group by s) f on f.s = p
+    join (select s, max(d) m from (select s, v, min(d) d from bw group by s, v) group by s) b on b.s = p)"""
+_FAR = """
+  ce as (select distinct a.comp cs, b.comp cd from e join comp a on src = a.id join comp b on dst = b.id where a.comp <> b.comp),
+  far as (select comp, forward f from ecc union
+    select ce.cs, x.forward + 1 + y.backward + far.f from far join ecc y using (comp) join ce on ce.cd = far.comp join ecc x on x.comp = ce.cs),
+  bound as (select max(backward + f) diameter_bound from far join ecc using (comp))"""
+_DRAW = "cast('0x' || substr(md5('{seed}:{phase}:{key}:' || i), 1, 15) as bigint)"
+_PAIRS = """
+  cnt as (select count(*) n from n),
+  ids as (select v id, row_number() over (order by v) - 1 dense_id from n),
+  drawn as (select i pair_id, {u} % n u, {v} % (n - 1) v0 from range({m}) t(i), cnt),
+  pairs as (select pair_id, u, v0 + case when v0 >= u then 1 else 0 end v from drawn),
+  paired as (select pair_id, a.id u, b.id v from pairs join ids a on a.dense_id = u join ids b on b.dense_id = v)""".format(
+    m=SAMPLES, u=_DRAW.format(seed=SEED, phase=0, key="u"), v=_DRAW.format(seed=SEED, phase=0, key="v")
+)
+_LENGTHS = """
+  lengths as materialized (select pair_id, q.u, q.v, pc.d dist, pc.sigma from paired q join pc on pc.s = q.u and pc.v = q.v)"""
+_WEIGHTS = """
+  ahead as materialized (select l.pair_id, l.v, l.dist, l.sigma, a.v node, a.sigma ahead, l.dist - a.d rest
+    from lengths l join pc a on a.s = l.u where a.d > 0 and a.d < l.dist),
+  weights as materialized (select pair_id, node, ahead * b.sigma / h.sigma w
+    from ahead h join pc b on b.s = h.node and b.v = h.v and b.d = h.rest)"""
+_SUMS = f"""
+  sums as materialized (select node, sum(w) sum_w, sum(w * w) sum_w2, count(*) hits from weights group by node),
+  bits as (select i pair_id, cast('0x' || substr(md5('{SEED}:r:' || i), 1, 15) as bigint) b from range({SAMPLES}) t(i)),
+  rade as materialized (select node, j, sum(w * (((b >> j::int) & 1) * 2 - 1)) signed from weights join bits using (pair_id), range(25) r(j) group by node, j)"""
+_PARTS = f"""
+  moment as (select v node, coalesce(sum_w, 0) sum_w, coalesce(sum_w2, 0) sum_w2 from n left join sums on v = node),
+  part as (select *, floor(ln(case when sum_w2 > 0 then least({SAMPLES} / sum_w2, {SAMPLES}.0) else {SAMPLES}.0 end) / ln({PEEL}) + 1)::bigint part
+    from moment),
+  sup as (select part, p.j, max(coalesce(signed, 0)) s from (select part, node, j from part, range(25) r(j)) p
+    left join rade on rade.node = p.node and rade.j = p.j group by part, p.j),
+  mc as (select part, nodes, wimpy, mcera from (select part, count(*) nodes, max(sum_w2) / {SAMPLES} wimpy from part group by part)
+    join (select part, avg(s) / {SAMPLES} mcera from sup group by part) using (part))"""
+
+
+def _with(*tables: str, select: str) -> str:
+    return "with recursive " + ",".join(tables) + " " + select
+
+
+_U, _G, _P = _graph(_USER), _graph(_GAP), _graph(_PAGE, False)
+_D8, _D40 = _DIST.format(most=14), _DIST.format(most=32)
+_ST = 0.05
+
+SQL = {
+    "edges_dedup": _with(_graph(_CUST), select="select src, dst from e"),
+    "edges_symmetrised": _with(_graph(_SUPP, False), select="select src, dst from e"),
+    "graph_summary": _with(
+        _graph(_SUPP, False),
+        select="""select (select count(*) from n) n_nodes, (select count(*) from e) n_edges, (select max(v) from n) max_id,
+        (select max(c) from (select count(*) c from e group by src)) max_out_degree,
+        (select max(c) from (select count(*) c from e group by dst)) max_in_degree""",
+    ),
+    "degrees": _with(
+        _graph(_CUST),
+        select="""select v id, coalesce(o, 0) out_degree, coalesce(i, 0) in_degree from n
+        left join (select src, count(*) o from e group by src) on src = v left join (select dst, count(*) i from e group by dst) on dst = v""",
+    ),
+    "dense_ids": _with(_graph(_SUPP), select="select v id, row_number() over (order by v) - 1 dense_id from n"),
+    "dense_edges": _with(
+        _graph(_SUPP), "d as (select v, row_number() over (order by v) - 1 i from n)",
+        select="select a.i src, b.i dst from e join d a on src = a.v join d b on dst = b.v",
+    ),
+    "isolated_nodes": _with(
+        _graph(_CUST), select="select i id from range((select max(v) + 1 from n)) t(i) where i not in (select v from n)"
+    ),
+    "components_undirected": _with(_P, "r as (select v a, v b from n union select r.a, e.dst from r join e on r.b = e.src)", select="select a id, min(b) comp from r group by a"),
+    "components_forest": _with(
+        _graph(_GEO, False), "r as (select v a, v b from n union select r.a, e.dst from r join e on r.b = e.src)",
+        select="select a id, min(b) comp from r group by a",
+    ),
+    "scc": _with(_G, _REACH, select="select id, comp from comp"),
+    "condensation": _with(_G, _REACH, select="select distinct a.comp comp_src, b.comp comp_dst from e join comp a on src = a.id join comp b on dst = b.id where a.comp <> b.comp"),
+    "pivots": _with(_G, _REACH, _PIVOT, select="select comp, p as \"pivot\" from piv"),
+    "pivot_ecc": _with(_G, _REACH, _PIVOT, _ECC.format(most=32), select="select comp, p as \"pivot\", forward, backward from ecc"),
+    "diameter_bound": _with(_G, _REACH, _PIVOT, _ECC.format(most=32), _FAR, select="select diameter_bound::bigint diameter_bound from bound"),
+    "bfs_levels": _with(_G, _REACH, _PIVOT, _D40, select="select s source, d::bigint dist, count(*) nodes from dist join piv on s = p group by s, d"),
+    "path_counts": _with(_U, _D8, select="select s source, v node, d::bigint dist, sigma from pc"),
+    "bc_exact_directed": _with(_U, _D8, _BC, select=f"select node, round(bc, {ROUND}) bc from bc"),
+    "bc_exact_undirected": _with(_P, _D8, _BC, select=f"select node, round(bc, {ROUND}) bc from bc"),
+    "bc_topk_exact": _with(_U, _D8, _BC, select=f"select node, round(bc, {ROUND}) bc from (select * from bc order by bc.bc desc, node limit 10)"),
+    "sample_pairs": _with(_U, _PAIRS, select="select pair_id, u, v from pairs"),
+    "pair_sigma": _with(_G, _D40, _PAIRS, _LENGTHS, select="select pair_id, dist::bigint dist, sigma from lengths"),
+    "void_samples": _with(
+        _G, _D40, _PAIRS, _LENGTHS,
+        select=f"select {SAMPLES} - count(*) unreachable, count(*) filter (dist = 1) adjacent, count(*) filter (dist > 1) with_path from lengths",
+    ),
+    "path_length_hist": _with(_G, _D40, _PAIRS, _LENGTHS, select="select (dist - 1)::bigint internal, count(*) pairs from lengths group by 1"),
+    "bc_sampled": _with(_U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, select=f"select node, round(sum_w / {SAMPLES}, {ROUND}) bc from sums"),
+    "wimpy_variance": _with(_U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, select=f"select node, hits, round(sum_w2 / {SAMPLES}, {ROUND}) second_moment from sums"),
+    "rademacher_sums": _with(_U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, select=f"select node, j::bigint trial, round(signed, {ROUND - 3}) signed from rade"),
+    "peeling_partitions": _with(_U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, _PARTS, select="select part, count(*) nodes from part group by part"),
+    "mcera_by_partition": _with(_U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, _PARTS, select=f"select part, nodes, round(wimpy, {ROUND}) wimpy, round(mcera, {ROUND}) mcera from mc"),
+    "eps_by_partition": _with(
+        _U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, _PARTS,
+        f"a as (select part, nodes, wimpy, greatest(mcera, 0) mcera, ln(5 / ({_ST} / (select count(*) from mc))) / {SAMPLES} l from mc)",
+        "b as (select *, least(0.25, wimpy + l + sqrt(l * l + 2 * l * wimpy)) v, mcera + sqrt(4 * wimpy * l / 25) e from a)",
+        "c as (select *, case when nodes = 1 then 0 else e + l + sqrt(l * l + 2 * l * e) end r from b)",
+        f"k as (select *, l + ln(nodes) / {SAMPLES} q from c)",
+        select="""select part, round(least(2 * r + sqrt(2 * l * (v + 4 * r)) + l / 3, 2 * r + sqrt(l / 2), sqrt(2 * v * q) + q / 3), 7) eps from k""",
+    ),
+    "rho_bound": _with(
+        _G, _D40, _REACH, _PIVOT, _ECC.format(most=32), _FAR, _PAIRS, _LENGTHS,
+        f"h as (select dist - 1 i, count(*)::double c from lengths where dist > 1 group by 1 union all select 0, {SAMPLES} - count(*) from lengths where dist > 1)",
+        f"s as (select (select sum(i * c) / {SAMPLES} from h) mean, (select sum((a.i - b.i) * (a.i - b.i) * a.c * b.c) / ({SAMPLES} * ({SAMPLES} - 1.0)) from h a join h b on a.i < b.i) variance, (select greatest(diameter_bound - 2, 0) from bound) w)",
+        f"t as (select *, w * ln(1 / {_ST / 2}) / {SAMPLES} c, ln(2 / {_ST / 2}) / {SAMPLES} g from s)",
+        select="select round(mean, 7) mean, round(variance, 7) variance, round(greatest(1e-9, least(mean + c + sqrt(2 * c * mean + c * c), mean + 7 * w * g / 3 + sqrt(2 * variance * g), w)), 7) rho from t",
+    ),
+    "top1_bound": _with(
+        _U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS,
+        f"t as (select max(sum_w) / {SAMPLES} a, max(sum_w2) / {SAMPLES} b, ln(1 / {_ST}) / {SAMPLES} c from sums)",
+        select="""select round(a, 7) top_bc, round(least(1, a + c + sqrt(2 * c * a + c * c)), 7) top_bc_bound,
+        round(b, 7) top_moment, round(least(1, b + c + sqrt(2 * c * b + c * c)), 7) top_moment_bound from t""",
+    ),
+}
