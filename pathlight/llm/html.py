@@ -42,6 +42,8 @@ _NOISE_NAMES = frozenset(
     "copyright login signup search skip alert paywall outbrain taboola".split()
 )
 _MAIN_NAMES = frozenset("content article main post entry story body text page wrapper container".split())
+#: A name that starts so says what a part has or lacks, not what it is.
+_ABOUT = frozenset("with has no without non not show hide is".split())
 _READER = frozenset("comment comments reply replies related promo sponsored ad advert respond disqus".split())
 #: A start tag ends the open elements named here.
 _ENDS = {
@@ -139,12 +141,17 @@ def _is_noise(node: Node, in_article: bool, has_main: bool) -> bool:
         return True
     if a.get("role", "").lower() in _ROLES:
         return True
-    names = {x.lower() for x in _NAME.findall(a.get("class", "") + " " + a.get("id", ""))}
+    names = [[x.lower() for x in _NAME.findall(t)] for t in (a.get("class", "") + " " + a.get("id", "")).split()]
+    names = [parts for parts in names if parts and parts[0] not in _ABOUT]
+    reader = any(not _READER.isdisjoint(parts) for parts in names)
     if tag == "article":
-        return bool(names & _READER)
-    if names & _NOISE_NAMES:
-        return not has_main and not (names & _MAIN_NAMES and not names & _READER)
-    return "header" in names and not in_article and tag in ("div", "section", "table") and not has_main
+        return reader
+    noisy = [not _NOISE_NAMES.isdisjoint(parts) for parts in names]
+    main = any(not n and not _MAIN_NAMES.isdisjoint(parts) for n, parts in zip(noisy, names, strict=True))
+    if any(noisy):
+        return not has_main and (reader or not main)
+    page_header = any("header" in parts and _MAIN_NAMES.difference(("page", "main")).isdisjoint(parts) for parts in names)
+    return page_header and not in_article and not has_main and tag in ("div", "section", "table")
 
 
 def _mark(root: Node) -> None:
@@ -236,6 +243,26 @@ def _emit(node: Node, threshold: float, blocks: list[str]) -> None:
     flush()
 
 
+def _with_dense_parts(best: Node, threshold: float) -> Node:
+    """The body, reduced to the densest subtree, what beside its path is as dense as ``threshold``, and headings before.
+
+    Text that stands bare beside the path is left out.
+    """
+    x = best
+    while x.up is not None:
+        before, kept = True, []
+        for c in x.up.parts:
+            if c is x:
+                before = False
+                kept.append(c)
+            elif isinstance(c, Node) and not c.noise and c.tag not in _INLINE:
+                if c.density >= threshold or before and c.tag in ("h1", "h2"):
+                    kept.append(c)
+        x.up.parts = kept
+        x = x.up
+    return x
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, a line for each block; empty if there is none."""
     if not page:
@@ -255,10 +282,8 @@ def main_text(page: str | None) -> str:
         if x.tag in ("article", "main"):
             top = x
         x = x.up
-    if top is best and not any(n.tag in ("article", "main") for n in order):
-        # Else every part of the body path whose density reaches the threshold beside the subtree.
-        while top.up is not None and top.up.link_chars <= 0.3 * top.up.chars and top.up.density >= threshold:
-            top = top.up
+    if top is best:
+        top = _with_dense_parts(best, threshold)
     blocks: list[str] = []
     _emit(top, threshold, blocks)
     return "\n".join(blocks)

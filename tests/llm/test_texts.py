@@ -34,7 +34,18 @@ def test_bpe_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     codec = bpe.Codec(PATH, PATTERN)
     first = codec.encode("one two three four five")
-    assert not codec.known and codec.encode("one two three four five") == first
+    assert not codec.known and len(codec.known.old) == 5 and codec.encode("one two three four five") == first
+
+
+def test_bpe_ascii_pattern():
+    import re
+
+    import regex
+
+    r, fast, slow = random.Random(1), re.compile(bpe.ascii_pattern(PATTERN), re.ASCII), regex.compile(PATTERN)
+    for _ in range(5000):
+        s = "".join(chr(r.randrange(128)) for _ in range(r.randint(0, 30)))
+        assert fast.findall(s) == slow.findall(s)
 
 
 def test_bpe_query(spark, sf):
@@ -179,3 +190,24 @@ def test_id_remainder(spark):
     rows = spark.range(50).select("id", id_remainder(F.col("id"), 7).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 7 for r in rows)
     assert public_tokenizers.PATTERN == PATTERN
+
+
+def page(*parts):
+    return "<html><body>" + "".join(parts) + "</body></html>"
+
+
+LONG_A = "A long paragraph of the story, with plenty of words so that it is dense and counts as text, again and again."
+LONG_B = "Another one of the same kind, which goes on about the same thing for a while and ends only after some more words."
+
+
+def test_html_layouts():
+    nav = "<div class='main-nav'><a href=1>Home</a> <a href=2>News</a> <a href=3>About us</a></div>"
+    want = f"Title\n{LONG_A}\n{LONG_B}"
+    body = f"<p>{LONG_A}</p><p>{LONG_B}</p>"
+    assert html.main_text(page(nav, f"<div class='content with-sidebar'><h1>Title</h1>{body}</div>", "<div id=page-footer>Imprint and more</div>")) == want
+    assert html.main_text(page(nav, f"<div><h1>Title</h1><div>{body}</div></div>", "<div><p>Short bit</p></div>")) == want
+    assert html.main_text(page("<div class=page-header>The Site</div>", f"<main><div class=entry-header><h1>Title</h1></div>{body}</main>")) == want
+    assert html.main_text(page(f"<article><header><h1>Title</h1></header>{body}<div class='post-comments'><p>Nice!</p></div></article>", "<article class=comment><p>I do not agree with this at all.</p></article>")) == want
+    assert html.main_text(page(f"<table><tr><td>{nav}<td><h1>Title</h1>{body}</table>")) == want
+    links = "<ul><li><a href=1>Some other story of ours</a><li><a href=2>And yet another story</a><li><a href=3>More stories</a></ul>"
+    assert html.main_text(page(f"<article><h1>Title</h1>{body}{links}</article>")) == want
