@@ -87,7 +87,7 @@ def add_sums(a: DataFrame | None, b: DataFrame) -> DataFrame:
 def peeled(nodes: DataFrame, sums: DataFrame, m: int, base: float) -> DataFrame:
     """``(node, part)``: partitions of all nodes by the order of magnitude of their second moment."""
     moment = F.coalesce("sum_w2", F.lit(0.0)) / m
-    inverse = F.when(moment > 0, F.least(1 / moment, F.lit(float(m)))).otherwise(F.lit(float(m)))
+    inverse = F.least(1 / F.nullif(moment, F.lit(0.0)), F.lit(float(m)))  # m where the moment is 0
     part = F.lit(0) if base <= 1 else F.floor(F.log(inverse) / F.log(F.lit(base)) + 1).cast("int")
     return nodes.select(F.col("id").alias("node")).join(sums.select("node", "sum_w2"), "node", "left").select("node", part.alias("part"))
 

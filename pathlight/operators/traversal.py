@@ -44,12 +44,6 @@ def path_counts(edges: DataFrame, sources: DataFrame, most: int | None = None) -
     return out.select("source", "node", "dist", "sigma")
 
 
-def _sided(edges: DataFrame) -> DataFrame:
-    """Edges in both directions of search: side 0 follows them, side 1 goes against them."""
-    ahead = edges.select(F.lit(0).alias("side"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    return ahead.unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("a"), F.col("src").alias("b")))
-
-
 @dataclass
 class PairPaths:
     """Shortest paths between pairs of nodes.
@@ -62,6 +56,42 @@ class PairPaths:
     weights: DataFrame
 
 
+@dataclass
+class _Side:
+    """One end's searches: its edges as ``(a, b)`` in the direction of search, and the levels of all pairs so far."""
+
+    steps: DataFrame
+    degree: DataFrame
+    levels: list[DataFrame]
+    cost: int = 0
+
+    def weigh(self) -> None:
+        """Edges that the next expansion of all pairs would follow; 0 if no pair has a frontier here."""
+        row = self.levels[-1].join(self.degree, "node").agg(F.sum("deg").alias("deg")).first()
+        self.cost = row["deg"] or 0
+
+    def advance(self, open_: DataFrame) -> DataFrame:
+        """The next level of the open pairs."""
+        front = self.levels[-1].join(open_, "pair_id")
+        reached = front.join(self.steps, front["node"] == self.steps["a"]).groupBy("pair_id", F.col("b").alias("node"))
+        seen = self.levels[0].select("pair_id", "node")
+        for level in self.levels[1:]:
+            seen = seen.unionByName(level.select("pair_id", "node"))
+        self.levels.append(cut(reached.agg(F.sum("sigma").alias("sigma")).join(seen, ["pair_id", "node"], "left_anti")))
+        self.weigh()
+        return self.levels[-1]
+
+
+def _side(edges: DataFrame, pairs: DataFrame, end: str) -> _Side:
+    a, b = ("src", "dst") if end == "u" else ("dst", "src")
+    steps = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    degree = steps.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("deg"))
+    first = cut(pairs.select("pair_id", F.col(end).alias("node"), F.lit(1.0).alias("sigma")))
+    out = _Side(steps, cut(degree), [first])
+    out.weigh()
+    return out
+
+
 def _weight_key(seed: int, weight: Column, *on: Column) -> Column:
     """Exponential key: the least key among candidates is a draw in proportion to their weights."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *on), 11).cast("double") + 0.5) / float(1 << 53)
@@ -73,102 +103,112 @@ def pair_paths(
 ) -> PairPaths:
     """Bidirectional search between ``pairs(pair_id, u, v)``.
 
-    In each round every open pair expands the side whose frontier has fewer edges (ties: the side of u), until the two
-    meet; a pair whose side has nowhere to go is not connected. All shortest paths cross the level at which the
-    frontiers meet, so their number is the sum of the products of both counts there, and the counts flow back from it.
+    In each round all open pairs expand the side whose frontiers have fewer edges together (ties: the side of u),
+    until the two ends of a pair meet; a pair whose frontier is empty is not connected. All shortest paths cross the
+    level at which the frontiers meet, so their number is the sum of the products of both counts there, and the
+    counts flow back from it, level by level on each side.
 
     ``mode`` tells what a pair contributes: ``exact`` all its paths in equal shares, ``single`` one path drawn
     uniformly, ``multi`` as many draws as ``alpha`` times the number of paths, between 1 and ``most_paths``.
     """
-    sided = cut(_sided(edges))
-    degree = cut(sided.groupBy("side", F.col("a").alias("node")).agg(F.count("*").alias("deg")))
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("node")), F.struct(F.lit(1).alias("side"), F.col("v").alias("node"))))
-    start = pairs.where("u <> v").select("pair_id", ends.alias("e"))
-    front = cut(start.select("pair_id", "e.side", "e.node", F.lit(1.0).alias("sigma"), F.lit(0).alias("level")))
-    seen = front
-    meets = None
-    while not front.isEmpty():
-        costs = front.join(degree, ["side", "node"], "left").groupBy("pair_id", "side").agg(F.coalesce(F.sum("deg"), F.lit(0)).alias("cost"))
-        turn = costs.groupBy("pair_id").agg(F.min_by("side", F.struct("cost", "side")).alias("side"), F.min("cost").alias("cost"))
-        turn = turn.where("cost > 0").drop("cost")
-        moving = front.join(turn, ["pair_id", "side"])
-        moved = moving.join(sided, (moving["side"] == sided["side"]) & (moving["node"] == sided["a"]))
-        moved = moved.groupBy("pair_id", moving["side"], F.col("b").alias("node")).agg(F.sum("sigma").alias("sigma"), (F.max("level") + 1).alias("level"))
-        moved = cut(moved.join(seen.select("pair_id", "side", "node"), ["pair_id", "side", "node"], "left_anti"))
-        other = front.select("pair_id", (1 - F.col("side")).alias("side"), "node", F.col("sigma").alias("sigma2"), F.col("level").alias("level2"))
-        met = cut(moved.join(other, ["pair_id", "side", "node"]))
-        meets = met if meets is None else meets.unionByName(met)
-        seen = seen.unionByName(moved)
-        waiting = front.join(turn.select("pair_id", (1 - F.col("side")).alias("side")), ["pair_id", "side"])
-        alive = moved.select("pair_id").distinct().join(met.select("pair_id").distinct(), "pair_id", "left_anti")
-        front = cut(waiting.unionByName(moved).join(alive, "pair_id", "left_semi"))
-    if meets is None:
-        empty = pairs.where("false")
-        none = empty.select("pair_id", F.lit(0).alias("dist"), F.lit(0.0).alias("sigma"))
-        return PairPaths(none, empty.select("pair_id", F.col("u").alias("node"), F.lit(0.0).alias("weight")))
-    both = meets.withColumn("paths", F.col("sigma") * F.col("sigma2"))
-    lengths = cut(both.groupBy("pair_id").agg(F.max(F.col("level") + F.col("level2")).alias("dist"), F.sum("paths").alias("sigma")))
+    pairs = pairs.where("u <> v")
+    sides = [_side(edges, pairs, "u"), _side(edges, pairs, "v")]
+    open_, meets = cut(pairs.select("pair_id")), []
+    while sides[0].cost and sides[1].cost:
+        near, far = sides if sides[0].cost <= sides[1].cost else sides[::-1]
+        moved = near.advance(open_)
+        other = far.levels[-1].select("pair_id", "node", F.col("sigma").alias("sigma2"))
+        met = moved.join(other, ["pair_id", "node"])
+        ahead, back = ("sigma", "sigma2") if near is sides[0] else ("sigma2", "sigma")
+        met = met.select("pair_id", "node", F.col(ahead).alias("ahead"), F.col(back).alias("back"))
+        meets.append((len(sides[0].levels) - 1, len(sides[1].levels) - 1, cut(met)))
+        alive = moved.select("pair_id").distinct()
+        open_ = cut(open_.join(alive, "pair_id", "left_semi").join(meets[-1][2].select("pair_id").distinct(), "pair_id", "left_anti"))
+        if open_.isEmpty():
+            break
+    if not meets:
+        none = pairs.where("false")
+        lengths = none.select("pair_id", F.lit(0).alias("dist"), F.lit(0.0).alias("sigma"))
+        return PairPaths(lengths, none.select("pair_id", F.col("u").alias("node"), F.lit(0.0).alias("weight")))
+    every = _union([met.withColumn("dist", F.lit(a + b)) for a, b, met in meets])
+    lengths = cut(every.groupBy("pair_id").agg(F.max("dist").alias("dist"), F.sum(F.col("ahead") * F.col("back")).alias("sigma")))
     if mode == "exact":
-        weights = _all_paths(both, seen, sided, lengths)
+        weights = _all_paths(sides, meets, lengths)
     else:
-        weights = _drawn_paths(both, seen, sided, lengths, alpha if mode == "multi" else 0.0, seed, most_paths)
+        weights = _drawn_paths(sides, meets, lengths, alpha if mode == "multi" else 0.0, seed, most_paths)
     ends = pairs.select("pair_id", F.explode(F.array("u", "v")).alias("node"))
     return PairPaths(lengths, cut(weights.join(ends, ["pair_id", "node"], "left_anti")))
 
 
-def _step_back(cur: DataFrame, seen: DataFrame, sided: DataFrame) -> DataFrame:
-    """For nodes ``(..., pair_id, side, node, level)`` their predecessors on the same side, as ``prev, sigma``."""
-    before = sided.select(F.col("side").alias("s"), F.col("a").alias("prev"), F.col("b").alias("to"))
-    steps = cur.where("level > 1").join(before, (F.col("side") == F.col("s")) & (F.col("node") == F.col("to"))).drop("s", "to")
-    kept = seen.select(F.col("pair_id").alias("p"), F.col("side").alias("s"), F.col("node").alias("n"), F.col("level").alias("l"), "sigma")
-    on = (F.col("pair_id") == F.col("p")) & (F.col("side") == F.col("s")) & (F.col("prev") == F.col("n")) & (F.col("level") - 1 == F.col("l"))
-    return steps.join(kept, on).drop("p", "s", "n", "l")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def _both_sides(met: DataFrame, *extra: str) -> DataFrame:
-    """A meeting node as a node of either side, ``beta`` being the paths on the other one."""
-    one = met.select("pair_id", *extra, "side", "node", "level", F.col("sigma2").alias("beta"))
-    return one.unionByName(
-        met.select("pair_id", *extra, (1 - F.col("side")).alias("side"), "node", F.col("level2").alias("level"), F.col("sigma").alias("beta"))
-    )
+def _before(cur: DataFrame, side: _Side, level: int) -> DataFrame:
+    """Nodes at ``level`` from which a step leads to the nodes of ``cur``, with their path counts."""
+    steps = side.steps.select(F.col("a").alias("_a"), F.col("b").alias("node"))
+    come = cur.join(steps, "node").drop("node", "sigma").withColumnRenamed("_a", "node")
+    return come.join(side.levels[level], ["pair_id", "node"])
 
 
-def _all_paths(met: DataFrame, seen: DataFrame, sided: DataFrame, lengths: DataFrame) -> DataFrame:
-    parts = [met.select("pair_id", "node", F.col("paths").alias("through"))]
-    cur = cut(_both_sides(met))
-    while True:
-        back = _step_back(cur, seen, sided).groupBy("pair_id", "side", F.col("prev").alias("node"), (F.col("level") - 1).alias("level"))
-        cur = cut(back.agg(F.sum("beta").alias("beta"), F.max("sigma").alias("sigma")))
-        if cur.isEmpty():
-            break
-        parts.append(cur.select("pair_id", "node", (F.col("sigma") * F.col("beta")).alias("through")))
-        cur = cur.drop("sigma")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def _walk_back(side: _Side, starts: dict[int, DataFrame], step) -> list[DataFrame]:
+    """Frames of the internal nodes of each level, from the deepest meeting down to level 1.
+
+    ``starts`` has the meeting nodes by level; ``step`` makes a level's nodes out of those of the next.
+    """
+    out, cur = [], None
+    for level in range(max(starts), 0, -1):
+        if level in starts:
+            cur = starts[level] if cur is None else cur.unionByName(starts[level])
+        if level > 1 and cur is not None:
+            cur = cut(step(_before(cur, side, level - 1), level - 1))
+            out.append(cur)
+    return out
+
+
+def _starts(meets: list, which: int, make) -> dict[int, DataFrame]:
+    by: dict[int, DataFrame] = {}
+    for meet in meets:
+        level, rows = meet[which], make(meet[2])
+        by[level] = by[level].unionByName(rows) if level in by else rows
+    return by
+
+
+def _all_paths(sides: list[_Side], meets: list, lengths: DataFrame) -> DataFrame:
+    parts = [m.select("pair_id", "node", (F.col("ahead") * F.col("back")).alias("through")) for _, _, m in meets]
+    for i, (side, rest) in enumerate(zip(sides, ("back", "ahead"), strict=True)):
+        # beta: paths from the node to the far end.
+        starts = _starts(meets, i, lambda m, rest=rest: m.select("pair_id", "node", F.col(rest).alias("beta")))
+
+        def step(rows: DataFrame, level: int) -> DataFrame:
+            return rows.groupBy("pair_id", "node").agg(F.sum("beta").alias("beta"), F.max("sigma").alias("sigma")).select("pair_id", "node", "beta", "sigma")
+
+        starts = {k: v.withColumn("sigma", F.lit(0.0)) for k, v in starts.items()}
+        parts += [x.select("pair_id", "node", (F.col("sigma") * F.col("beta")).alias("through")) for x in _walk_back(side, starts, step)]
     total = lengths.select("pair_id", F.col("sigma").alias("total"))
-    return out.join(total, "pair_id").select("pair_id", "node", (F.col("through") / F.col("total")).alias("weight"))
+    return _union(parts).join(total, "pair_id").select("pair_id", "node", (F.col("through") / F.col("total")).alias("weight"))
 
 
-def _drawn_paths(met, seen, sided, lengths, alpha: float, seed: int, most_paths: int) -> DataFrame:
+def _drawn_paths(sides: list[_Side], meets: list, lengths: DataFrame, alpha: float, seed: int, most_paths: int) -> DataFrame:
     draws = F.least(F.lit(float(most_paths)), F.greatest(F.lit(1.0), F.floor(F.lit(alpha) * F.col("sigma")).cast("double"))).cast("int")
-    drawn = lengths.select("pair_id", draws.alias("n")).withColumn("path", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    picked = met.join(drawn, "pair_id")
-    key = _weight_key(seed, F.col("paths"), F.col("pair_id"), F.col("path"), F.col("node"))
-    cols = ["side", "node", "level", "level2", "sigma", "sigma2", "n"]
-    picked = picked.groupBy("pair_id", "path").agg(F.min_by(F.struct(*cols), key).alias("x")).select("pair_id", "path", "x.*")
-    picked = cut(picked)
-    parts = [picked.select("pair_id", "path", "node", "n")]
-    cur = _both_sides(picked, "path", "n")
-    while True:
-        steps = _step_back(cur, seen, sided)
-        key = _weight_key(seed, F.col("sigma"), F.col("pair_id"), F.col("path"), F.col("side"), F.col("prev"))
-        nxt = steps.groupBy("pair_id", "path", "n", "side", (F.col("level") - 1).alias("level")).agg(F.min_by("prev", key).alias("node"))
-        cur = cut(nxt.withColumn("beta", F.lit(1.0)))
-        if cur.isEmpty():
-            break
-        parts.append(cur.select("pair_id", "path", "node", "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("pair_id", "node").agg((F.count("*") / F.max("n")).alias("weight"))
+    drawn = cut(lengths.select("pair_id", draws.alias("draws")).withColumn("path", F.explode(F.sequence(F.lit(1), F.col("draws")))))
+    chosen = []
+    for a, b, met in meets:
+        picked = met.join(drawn, "pair_id")
+        key = _weight_key(seed, F.col("ahead") * F.col("back"), F.col("pair_id"), F.col("path"), F.col("node"))
+        picked = picked.groupBy("pair_id", "path", "draws").agg(F.min_by("node", key).alias("node"))
+        chosen.append((a, b, cut(picked)))
+    parts = [m for _, _, m in chosen]
+    for i, side in enumerate(sides):
+        starts = _starts(chosen, i, lambda m: m.select("pair_id", "path", "draws", "node"))
+
+        def step(rows: DataFrame, level: int, i=i) -> DataFrame:
+            key = _weight_key(seed, F.col("sigma"), F.lit(i), F.col("pair_id"), F.col("path"), F.col("node"))
+            return rows.groupBy("pair_id", "path", "draws").agg(F.min_by("node", key).alias("node"))
+
+        parts += _walk_back(side, starts, step)
+    rows = _union([x.select("pair_id", "path", "draws", "node") for x in parts])
+    return rows.groupBy("pair_id", "node").agg((F.count("*") / F.max("draws")).alias("weight"))

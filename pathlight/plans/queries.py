@@ -262,7 +262,7 @@ def bc_multi_path(spark, sf_dir):
 
 
 def bc_absolute(spark, sf_dir):
-    return P.approximate_betweenness(_user(spark, sf_dir), eps=0.02, directed=True).scores
+    return P.approximate_betweenness(_user(spark, sf_dir), eps=0.03, directed=True).scores
 
 
 def bc_topk_relative(spark, sf_dir):
