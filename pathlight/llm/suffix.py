@@ -287,9 +287,10 @@ def repeated_runs(keyed: DataFrame, text_col: str, window: int = WINDOW, most_ru
         F.sum("n").alias("all"), F.min("content").alias("low"), F.max("content").alias("high")
     )
     buckets = buckets.where("`all` > 1").select("bucket", (F.col("low") != F.col("high")).alias("mixed"))
-    met = runs.join(buckets, "bucket")
+    # Written once, for what follows reads it several times; it is the part of the runs that may repeat.
+    met = cut(runs.join(buckets, "bucket").select("tk", "rid", "bucket", "content", "n", "mixed"))
     plain = met.where("not mixed").select("tk", "bucket", "content", F.lit(None).cast("binary").alias("ranges"))
-    mixed = cut(met.where("mixed").select("tk", "rid", "bucket", "content", "n"))
+    mixed = met.where("mixed")
     contents = mixed.groupBy("bucket", "content").agg(F.sum("n").alias("all"), F.min(F.struct("rid", "tk")).alias("one"))
     many = contents.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("k")).where(F.col("k") > most_runs)
     contents = contents.join(many, contents["bucket"] == many["_b"], "left").drop("_b")
