@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by SimHash of five-word shingles."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each group of near-duplicates, by SimHash and similarity 0.8 of five-word shingles."""
+    return simhash.keep_one(docs, shingle=5, similarity=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathlight.llm import similar
 from pathlight.llm.common import as_bytes, pieces
 from pathlight.operators.components import connected_components
 from pathlight.plans.lineage import cut
@@ -23,17 +23,14 @@ PAIR_LIMIT = 12
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit SimHash of a text; 0 if it has no word."""
-    words = (text or b"").lower().split()
-    if not words:
+    return simhash(similar.shingle_hashes(text, shingle, seed))
+
+
+def simhash(h: np.ndarray) -> int:
+    """64 majorities over the bits of hashes; 0 if there are none."""
+    n = len(h)
+    if not n:
         return 0
-    n = max(1, len(words) - shingle + 1)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    stops = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    pairs = zip(starts[:n].tolist(), stops.tolist(), strict=True)
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64, n)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):  # long texts by parts
         bits = np.unpackbits(h[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -125,13 +122,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(_rk, doc_id, fp, sk)``: row key, id, fingerprint and key of the set of shingles (null without a word) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            hashes = [similar.shingle_hashes(t, shingle, SEED) for t in as_bytes(batch.column(2))]
+            fps = np.array([simhash(h) for h in hashes], np.uint64).view(np.int64)
+            keys = pa.array([similar.shingle_set(h)[0] if len(h) else None for h in hashes], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps), keys], names=["_rk", "doc_id", "fp", "sk"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select("_rk", F.col(id_col), F.col(text_col)).mapInArrow(run, f"_rk long, doc_id {kind}, fp long, sk long")
+
+
+def _similar_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``(src, dst)``: fingerprints of texts whose sets of shingles have a similarity of 0.8 or more."""
+    some = rows.where("sk is not null")
+    nodes = cut(some.groupBy("sk").agg(F.min("fp").alias("fp"), F.min("_rk").alias("_rk")))
+    pairs = similar.similar_sets(docs, nodes, text_col, shingle, SEED)
+    a, b = (nodes.select(F.col("sk").alias(x), F.col("fp").alias(y)) for x, y in (("a", "src"), ("b", "dst")))
+    same = some.join(nodes.select("sk", F.col("fp").alias("dst")), "sk").select(F.col("fp").alias("src"), "dst")
+    ends = pairs.join(a, "a").join(b, "b").select("src", "dst")
+    return ends.unionByName(same).where("src <> dst").distinct()
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: bool = False
+) -> DataFrame:
     """One document of each group of near-duplicates: the row of the smallest id.
 
-    Of repeated rows of that id one stays. Rows with null ids stay only if their group has no other id, one of them.
+    Near-duplicates are texts whose fingerprints differ in ``MAX_BITS`` or fewer and, with ``similarity``, also those
+    whose sets of shingles have a Jaccard similarity of 0.8 or more, all of them. Of repeated rows one stays. A row
+    with a null id stays only if its group has no other id.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    keyed = docs.withColumn("_rk", F.xxhash64(id_col, text_col))
+    rows = cut(_rows(keyed, id_col, text_col, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rk")).alias("first")
+    nodes = rows.groupBy("fp").agg(first)
+    found = links(nodes.select("fp"))
+    if similarity:
+        found = found.unionByName(_similar_links(keyed, rows, text_col, shingle))
+    parts = connected_components(found).withColumnRenamed("node", "fp")
+    roots = nodes.join(parts, "fp", "left").select("first", F.coalesce("component", "fp").alias("root"))
+    kept = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._rk").alias("_rk"))
+    return keyed.join(kept, "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
