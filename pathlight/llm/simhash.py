@@ -122,27 +122,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(_rk, doc_id, fp, sk)``: row key, id, fingerprint and key of the set of shingles (null without a word) of every row."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, order=None) -> DataFrame:
+    """``(_rk, doc_id, fp)`` of every row: row key, id and fingerprint.
+
+    With ``order``, the broadcast common shingles, also what ``similar.similar_sets`` wants: key of the set of shingles
+    (null without a word), its size, parity map, folded map, and prefix.
+    """
+    folds = [f"b{i}" for i in range(similar.FOLDED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes = [similar.shingle_hashes(t, shingle, SEED) for t in as_bytes(batch.column(2))]
             fps = np.array([simhash(h) for h in hashes], np.uint64).view(np.int64)
-            keys = pa.array([similar.shingle_set(h)[0] if len(h) else None for h in hashes], pa.int64())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps), keys], names=["_rk", "doc_id", "fp", "sk"])
+            columns, names = [batch.column(0), batch.column(1), pa.array(fps)], ["_rk", "doc_id", "fp"]
+            if order is not None:
+                sets = [similar.shingle_set(h) for h in hashes]
+                maps = [similar.parity(u) for _, u in sets]
+                small = np.array([similar.folded(m) for m in maps]).view(np.int64).reshape(-1, similar.FOLDED)
+                columns += [
+                    pa.array([k if len(u) else None for k, u in sets], pa.int64()),
+                    pa.array([len(u) for _, u in sets], pa.int64()),
+                    pa.array([m.tobytes() for m in maps], pa.binary()),
+                    *[pa.array(small[:, i]) for i in range(similar.FOLDED)],
+                    pa.array([similar.prefix(u, *order.value) for _, u in sets], pa.list_(pa.int64())),
+                ]
+                names += ["sk", "n", "bits", *folds, "prefix"]
+            yield pa.record_batch(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select("_rk", F.col(id_col), F.col(text_col)).mapInArrow(run, f"_rk long, doc_id {kind}, fp long, sk long")
+    more = ", sk long, n long, bits binary, " + ", ".join(f"{b} long" for b in folds) + ", prefix array<long>"
+    return docs.select("_rk", F.col(id_col), F.col(text_col)).mapInArrow(run, f"_rk long, doc_id {kind}, fp long" + (more if order is not None else ""))
 
 
 def _similar_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """``(src, dst)``: fingerprints of texts whose sets of shingles have a similarity of 0.8 or more."""
     some = rows.where("sk is not null")
-    nodes = cut(some.groupBy("sk").agg(F.min("fp").alias("fp"), F.min("_rk").alias("_rk")))
-    pairs = similar.similar_sets(docs, nodes, text_col, shingle, SEED)
+    pairs = similar.similar_sets(docs, some, text_col, shingle, SEED)
+    nodes = cut(some.groupBy("sk").agg(F.min("fp").alias("fp"), F.max("fp").alias("other")))
     a, b = (nodes.select(F.col("sk").alias(x), F.col("fp").alias(y)) for x, y in (("a", "src"), ("b", "dst")))
-    same = some.join(nodes.select("sk", F.col("fp").alias("dst")), "sk").select(F.col("fp").alias("src"), "dst")
+    # Equal sets have one fingerprint unless shingles are repeated; those few more hang on the least.
+    few = cut(nodes.where("fp <> other").select("sk", F.col("fp").alias("dst")))
+    same = some.select("sk", F.col("fp").alias("src")).join(similar.small_side(few), "sk").select("src", "dst")
     ends = pairs.join(a, "a").join(b, "b").select("src", "dst")
     return ends.unionByName(same).where("src <> dst").distinct()
 
@@ -154,16 +174,29 @@ def keep_one(
 
     Near-duplicates are texts whose fingerprints differ in ``MAX_BITS`` or fewer and, with ``similarity``, also those
     whose sets of shingles have a Jaccard similarity of 0.8 or more, all of them. Of repeated rows one stays. A row
-    with a null id stays only if its group has no other id.
+    with a null id stays only if its group has no other id. Null and empty texts are one group. No rows give no rows;
+    other columns come back as they are, whatever their names.
     """
-    keyed = docs.withColumn("_rk", F.xxhash64(id_col, text_col))
-    rows = cut(_rows(keyed, id_col, text_col, shingle))
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}  # by place, so that no name clashes
+    id_at, text_at = at[id_col], at[text_col]
+    keyed = docs.toDF(*at.values())
+    keyed = keyed.withColumn("_rk", F.xxhash64(id_at, text_at, F.length(text_at)))
+    order = None
+    if similarity:
+        order = docs.sparkSession.sparkContext.broadcast(similar.common_shingles(keyed, text_at, shingle, SEED))
+    rows = cut(_rows(keyed, id_at, text_at, shingle, order))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rk")).alias("first")
     nodes = rows.groupBy("fp").agg(first)
     found = links(nodes.select("fp"))
     if similarity:
-        found = found.unionByName(_similar_links(keyed, rows, text_col, shingle))
+        found = found.unionByName(_similar_links(keyed, rows, text_at, shingle))
     parts = connected_components(found).withColumnRenamed("node", "fp")
     roots = nodes.join(parts, "fp", "left").select("first", F.coalesce("component", "fp").alias("root"))
     kept = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._rk").alias("_rk"))
-    return keyed.join(kept, "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
+    times = cut(rows.groupBy("_rk").agg(F.count("*").alias("times")).join(kept.withColumn("kept", F.lit(True)), "_rk", "left"))
+    # Few rows go as a rule, so those that go, or stay once, are told to all tasks; otherwise the texts are shuffled once.
+    special = cut(times.where("kept is null or times > 1").select("_rk", F.coalesce("kept", F.lit(False)).alias("kept")))
+    told = similar.small_side(special)
+    alone = keyed.join(told, "_rk", "left_anti")
+    repeated = keyed.join(told.where("kept").select("_rk"), "_rk", "left_semi").dropDuplicates(["_rk"])
+    return alone.unionByName(repeated).drop("_rk").toDF(*docs.columns)
