@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a single machine) a temporary
-    folder is made and set as the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``. Only a session on one machine (a ``local`` master, as in tests) may
+    leave it unset: then a temporary folder is made and set as the checkpoint folder. On a cluster a folder of the
+    driver's machine would be no shared one, so that raises.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
