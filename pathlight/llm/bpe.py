@@ -18,8 +18,9 @@ from pathlight.llm.common import pieces
 
 #: Above every rank.
 NONE = 1 << 60
-#: Encoded pieces in one of the two halves of a Python worker's memory.
-REMEMBERED = 500_000
+#: Bytes that one of the two halves of a Python worker's memory of encoded pieces may hold, those of one entry beside
+#: its piece and ids, and the longest piece that is remembered.
+REMEMBERED, ENTRY, LONGEST = 64 << 20, 200, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -106,11 +107,14 @@ def ascii_pattern(pattern: str) -> str:
 
 
 class Memory(dict):
-    """Encoded pieces; what falls out of the young half, once full, stays in the old one until that is replaced."""
+    """Encoded pieces; what falls out of the young half, once full, stays in the old one until that is replaced.
+
+    Both halves are bounded in bytes, whatever the texts; long pieces, which hardly come twice, are not remembered.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.old = ranks, {}
+        self.ranks, self.old, self.held = ranks, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -118,14 +122,14 @@ class Memory(dict):
             data = piece.encode()
             rank = self.ranks.get(data)
             ids = np.array([rank] if rank is not None else merge(data, self.ranks), "<u4").tobytes()
-        self[piece] = ids
+        if len(piece) <= LONGEST:
+            self.held += ENTRY + 4 * len(piece) + len(ids)
+            if self.held > REMEMBERED:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[piece] = ids
         return ids
 
-    def trim(self) -> None:
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-
 
 class Codec:
     """Encoder and decoder for one rank file and one splitting pattern."""
@@ -142,9 +146,7 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         found = self.find_ascii(text) if text.isascii() else self.find(text)
-        ids = b"".join(map(self.known.__getitem__, found))
-        self.known.trim()
-        return ids
+        return b"".join(map(self.known.__getitem__, found))
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
@@ -188,21 +190,33 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the encoded and decoded texts."""
+def digests(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the encoded and decoded texts, ``with_ids`` the ``ids`` too.
+
+    The same cases as in ``encode``: null and empty texts have no ids and the digests of nothing, repeated rows stay, no
+    rows give no rows, other columns are ignored, and a text of any length is encoded whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in pieces(batches):
-            n, ids_sha, decoded_sha = [], [], []
+            n, ids_sha, decoded_sha, every = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = c.encode(text) if text else b""
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
-            yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                every.append(ids)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(every), "<i4"))))
+                names.append("ids")
+            yield pa.record_batch(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

@@ -15,8 +15,10 @@ from pathlight.llm.common import pieces
 
 #: Documents of a language whose text goes into its dictionary, those of the smallest hash of their id.
 SAMPLE_DOCS = 64
-#: Characters of each of them at most, and bytes of a dictionary at most.
+#: Characters of each of them at most, and bytes of a dictionary.
 SAMPLE_CHARS, DICT_BYTES = 4_000, 96 << 10
+#: Languages that are learned at most, those of the most documents; ``lang`` may hold any dirt.
+MOST_LANGS = 64
 #: Bytes of normalised text that are compressed at once: all of it is, block by block.
 BLOCK = 2_048
 LEVEL = 3
@@ -40,12 +42,15 @@ def normalise(text: str) -> bytes:
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:
     """Raw dictionary content by language, from a bounded sample of the labelled rows.
 
-    Rows with a null or undetermined language or without text are left out. The sample, ``SAMPLE_DOCS`` documents of a
-    language and ``DICT_BYTES`` of them at most, is what the driver gets; the whole of a small table may be less.
+    Rows with a null or undetermined language or without text are left out. The sample is what the driver gets:
+    ``SAMPLE_DOCS`` documents of a language, ``SAMPLE_CHARS`` characters of each and ``DICT_BYTES`` of all at most, of
+    ``MOST_LANGS`` languages at most; equal numbers of documents give the first by name. No rows give no language.
     """
     lang, text = F.col(lang_col), F.col(text_col)
     rows = docs.where(lang.isNotNull() & (lang != UNDETERMINED) & (F.length(text) > 0))
     order = Window.partitionBy("lang").orderBy("h", "text")
+    langs = rows.groupBy(lang.alias("_l")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_l").limit(MOST_LANGS).select("_l")
+    rows = rows.join(F.broadcast(langs), lang == F.col("_l"), "left_semi")
     picked = rows.select(
         lang.alias("lang"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("text")
     )
@@ -63,15 +68,22 @@ def compressor(content: bytes, level: int):
     return made.compress
 
 
+def filled(content: bytes, size: int = DICT_BYTES) -> bytes:
+    """The content as often as it takes to fill a dictionary of ``size`` bytes; the last bytes are the content's end."""
+    content = content or b" "
+    return (content * -(-size // len(content)))[-size:]
+
+
 class Model:
     """Compressors of all languages; the one whose dictionary gives the fewest bytes names the language."""
 
     def __init__(self, contents: dict[str, bytes], margin: float = MARGIN):
         self.langs, self.margin = sorted(contents), margin
-        # Dictionaries of one size, for a longer one would win by its length alone.
-        size = max(1 << 13, min((len(contents[k]) for k in self.langs), default=0))
-        self.fast = [compressor(contents[k][:size], LEVEL) for k in self.langs]
-        self.close = [compressor(contents[k][:size], CLOSE_LEVEL) for k in self.langs]
+        # Dictionaries of one size, each filled by saying its own content again, so a language of which little is known
+        # changes nothing for the others.
+        full = [filled(contents[k]) for k in self.langs]
+        self.fast = [compressor(c, LEVEL) for c in full]
+        self.close = [compressor(c, CLOSE_LEVEL) for c in full]
 
     def sizes(self, text: bytes) -> np.ndarray:
         blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
@@ -128,7 +140,11 @@ def identify(
 
 
 def keep_identified(docs: DataFrame, contents: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """The rows whose language is identified; columns as in ``docs``."""
+    """The rows whose language is identified; columns as in ``docs``, whatever their names.
+
+    Null texts and texts without a letter go, as they are undetermined; repeated rows stay, each judged by its text.
+    With no language learned all rows go; no rows give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(contents, margin)

@@ -26,11 +26,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
     The weights repeat over the sources in code-point order, null last. No target exceeds ``max_epochs`` times its
     source's size; what is cut off goes to the others by weight until none is above. Each pass raises the common
-    level ``target / weight`` from two sums over the sources, so nothing but two numbers reaches the driver.
+    level ``target / weight`` from two sums over the sources, so nothing but two numbers reaches the driver. Sources
+    come once each; one of size 0, or a null size, has target 0. No sources give no rows.
     """
     ranked = global_row_number(sizes, [F.col("source").isNull(), F.col("source")], "_rank")
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    cap = F.col("source_size").cast("double") * max_epochs
+    cap = F.coalesce(F.col("source_size"), F.lit(0)).cast("double") * max_epochs
     ranked = cut(ranked.select("source", "source_size", pick.alias("_w"), cap.alias("_cap")))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level = -1.0
@@ -107,18 +108,32 @@ def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
     A document taken n times and a part is n whole rows and one row whose text is the part's words joined by
     blanks; a document of which nothing is taken is no row. ``n_chars``, where there is one, is that of the row's text.
+    Rows of equal id and text, which tie, are numbered and filled one after the other, so that they give no word more
+    than was taken. Null ids and sources take part like others; null and empty texts, of no words, give no row. No rows
+    give no rows; other columns come back as they are, whatever their names.
     """
-    mix = mix_sources(docs, seed=seed).where("taken > 0")
+    mix = mix_sources(docs, seed=seed)
     mix = mix.groupBy(F.col("doc_id").alias("_id"), F.col("content_hash").alias("_h")).agg(
         F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows")
     )
+    mix = cut(mix.where("_taken > 0"))
     at = {name: f"c{i}" for i, name in enumerate(docs.columns)}  # by place, so that no name clashes
     text, doc_id = F.col(at["text"]), F.col(at["doc_id"])
     hashed = docs.toDF(*at.values()).withColumn("_hash", F.xxhash64(F.lit(seed), doc_id, text))
     on = doc_id.eqNullSafe(mix["_id"]) & (hashed["_hash"] == mix["_h"])
-    # Repeated rows share what they were taken for; each keeps its even share.
-    share = F.ceil(F.col("_taken") / F.col("_rows"))
-    rows = hashed.join(mix, on).withColumn("_share", share)
+    rows = hashed.join(mix, on)
+    if mix.where("_rows > 1").isEmpty():
+        rows = rows.withColumn("_copy", F.lit(0).cast("long"))
+    else:
+        numbered = global_row_number(rows.where("_rows > 1"), [F.col("_id"), F.col("_hash")], "_no")
+        least = numbered.groupBy(F.col("_id").alias("_lid"), F.col("_hash").alias("_lh")).agg(F.min("_no").alias("_least"))
+        numbered = numbered.join(least, numbered["_id"].eqNullSafe(least["_lid"]) & (numbered["_hash"] == least["_lh"]))
+        numbered = numbered.withColumn("_copy", F.col("_no") - F.col("_least")).drop("_no", "_least", "_lid", "_lh")
+        rows = rows.where("_rows = 1").withColumn("_copy", F.lit(0).cast("long")).unionByName(numbered)
+    # All copies run through the epochs that all of them have in full; what is left fills one after the other.
+    epochs = F.floor(F.col("_taken") / (F.col("_rows") * F.col("_size")))
+    left = F.col("_taken") - epochs * F.col("_rows") * F.col("_size") - F.col("_copy") * F.col("_size")
+    rows = rows.withColumn("_share", epochs * F.col("_size") + F.least(F.col("_size"), F.greatest(F.lit(0).cast("long"), left)))
     whole = F.floor(F.col("_share") / F.col("_size")).cast("int")
     rest = (F.col("_share") - whole * F.col("_size")).cast("int")
     parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))

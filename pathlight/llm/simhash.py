@@ -74,9 +74,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pair_limit: int = PAIR_LIMIT
     """``(src, dst)`` between distinct fingerprints ``fp``, enough to connect all that differ in ``max_bits`` or fewer.
 
     Block groups of up to ``pair_limit`` fingerprints are joined with themselves and the pairs verified by Hamming
-    distance. A larger group, of fingerprints that share two blocks, is never paired: each member gives itself and
-    its 64 neighbours at one bit, and members that meet at the same neighbour, all within two bits of one another,
-    hang on the smallest of them. This is exact for two bits and linear in the group.
+    distance. A larger group, of fingerprints that share two blocks, is split instead of paired: each member gives
+    itself and its 64 neighbours at one bit, and members that meet at the same neighbour, all within two bits of one
+    another, hang on the smallest of them, verified like the others. This is exact for two bits and linear in the group.
     """
     if max_bits != 2:
         raise ValueError("blocks and neighbours are laid out for two differing bits")
@@ -85,12 +85,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pair_limit: int = PAIR_LIMIT
     sizes = cut(sizes)
     # A group of two is its smallest and largest member: verified without a join.
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits
-    twos = sizes.where("n = 2").select(F.col("low").alias("src"), F.col("high").alias("dst")).where(near)
+    twos = sizes.where("n = 2").select(F.col("low").alias("src"), F.col("high").alias("dst"))
     few = rows.join(sizes.where(f"n between 3 and {pair_limit}").select("key"), "key")
     pairs = few.select("key", F.col("fp").alias("src")).join(few.select("key", F.col("fp").alias("dst")), "key")
-    pairs = pairs.where("src < dst").where(near).select("src", "dst")
+    pairs = pairs.where("src < dst").select("src", "dst")
     hot = rows.join(sizes.where(f"n > {pair_limit}").select("key"), "key").select("fp").distinct()
-    return twos.unionByName(pairs).unionByName(_meet(hot)).distinct()
+    return twos.unionByName(pairs).unionByName(_meet(hot)).where(near).distinct()
 
 
 def _meet(fps: DataFrame) -> DataFrame:
