@@ -12,29 +12,38 @@ from pathlight.plans.lineage import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; learned from the labels of four fifths of ``docs``."""
+    """Documents whose language is identified; learned from the labels of four fifths of ``docs``.
+
+    Null texts, and texts without a letter, are not identified and go. Cases as in ``langid.keep_identified``.
+    """
     contents = langid.learn(docs.where(id_remainder(F.col("doc_id"), 5) != 0))
     return langid.keep_identified(docs, contents)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by SimHash and similarity 0.8 of five-word shingles."""
+    """One document of each group of near-duplicates, by SimHash and similarity 0.8 of five-word shingles.
+
+    Of equal texts the smallest id stays, a null id only if there is no other; cases as in ``simhash.keep_one``.
+    """
     return simhash.keep_one(docs, shingle=5, similarity=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts without the 200-byte strings that repeat."""
+    """The texts without the 200-byte strings that repeat.
+
+    Every row stays, null texts as they are and texts of which nothing is left empty; as in ``suffix.remove_repeats``.
+    """
     return suffix.remove_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; texts without a word are taken never. Cases as in ``mixing.apply_mix``."""
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents, the last stage."""
-    return bpe.digests(docs, *tokenizer())
+    """Token ids of the documents, with their number and digests: the last stage. Cases as in ``bpe.digests``."""
+    return bpe.digests(docs, *tokenizer(), with_ids=True)
 
 
 STAGES = [
