@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlight.operators.skew import LEAST, split_join
+from pathlight.operators.skew import split_join
 from pathlight.plans.lineage import cut
 
-#: Edge sets of fewer rows than this have no node whose edges are too many for a task.
-FEW = 20 * LEAST
+#: Edge sets of at most so many rows, two numbers each, are one partition: rounds of them shuffle nothing.
+ONE_PARTITION = 100_000
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def _joined(rows: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
-    return rows.join(low.drop("n"), "a") if n_edges < FEW else split_join(cut(rows), cut(low), ["a"], "n")
+    return rows.join(low.drop("n"), "a") if n_edges <= ONE_PARTITION else split_join(cut(rows), cut(low), ["a"], "n")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -37,16 +37,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     cur = cut(cur.distinct())
     seen = _digest(cur)
+    one = seen[0] <= ONE_PARTITION  # the edges become no more
     for _ in range(max_rounds):
         if not seen[0]:
             break
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if one else both
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
         large = _joined(both.where("b > a"), low, seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = _joined(large, low, seen[0])
         nxt = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = cut(nxt.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        nxt = nxt.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
+        cur = cut((nxt.coalesce(1) if one else nxt).distinct())
         now = _digest(cur)
         if now == seen:
             break
