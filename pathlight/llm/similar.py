@@ -27,8 +27,9 @@ from pathlight.plans.lineage import cut
 SAMPLE, COMMON, MOST_COMMON = 16, 3, 500_000
 #: In groups of one prefix shingle with more texts than this each is compared with the next ``NEXT`` before others are.
 PAIR_LIMIT, NEXT = 12, 2
-#: Members of one side of a join of a group with itself.
-BLOCK = 1024
+#: Members of one side of a join of a group with itself, which is put off, by rounds in which each member is compared
+#: with the next ``WIDER`` in another order, while it would look at over ``WORTH`` pairs a member.
+BLOCK, WIDER, WORTH, MOST_ROUNDS = 1024, 32, 1000, 2
 #: Keys of eight bytes that may be broadcast.
 BROADCAST_KEYS = 1_000_000
 #: Longs of the parity map that every set has beside its own.
@@ -171,13 +172,29 @@ def _grouped(limit: int):
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the members ``(key, o, sk, n, part)`` of a group with the next ``WIDER`` of another part."""
+    held = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        k, s, n, p = (np.concatenate((x, batch.column(i).to_numpy())) for x, i in zip(held, (0, 2, 3, 4), strict=True))
+        old = len(held[0])
+        for d in range(1, min(WIDER, len(k) - 1) + 1):
+            at = np.flatnonzero((k[d:] == k[:-d]) & (p[d:] != p[:-d]))
+            at = at[at + d >= old]
+            at = at[_near(n[at], n[at + d])]
+            a, b = s[at], s[at + d]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        held = [x[-WIDER:] for x in (k, s, n, p)]
+
+
 def similar_sets(docs: DataFrame, sets: DataFrame, text_col: str, shingle: int, seed: int) -> DataFrame:
     """``(a, b)``: keys of sets, enough to connect all of similarity 0.8 or more.
 
     ``docs`` has the row key ``_rk``; ``sets`` has a row ``(sk, _rk, n, bits, b0, ..., prefix)`` of each text, copies
     included: key and size of the set, its parity map, the folded one, and its prefix. Texts that share a prefix shingle
-    are paired. Where more than ``PAIR_LIMIT`` share one, each is compared with the next ones; then those pairs are looked
-    at that are not connected by what was found, so a large group of near copies costs its size and not its square. The
+    are paired. Where more than ``PAIR_LIMIT`` share one, each is compared with the next ones, in other orders again where
+    that leaves a group in many parts; then those pairs are looked at that are not connected by what was found, so a
+    large group of near copies costs its size and not its square. The
     groups are dealt by ranges of (key, set), so no task gets a large one whole, and so are the pairs inside it.
     """
     light = ["_rk", "n", "bits", *[f"b{i}" for i in range(FOLDED)]]
@@ -188,12 +205,23 @@ def similar_sets(docs: DataFrame, sets: DataFrame, text_col: str, shingle: int,
     pairs = found.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _verified(pairs, docs, nodes, text_col, shingle, seed)
     large = found.where("key is not null").select("key", F.col("a").alias("sk"), "n").distinct()
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "sk")
-    placed = cut(large.join(parts, "sk", "left").select("key", "sk", "n", F.coalesce("component", "sk").alias("part")))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    mixed = cut(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    if mixed.isEmpty():
-        return links
+    large = cut(large)
+    for turn in range(MOST_ROUNDS + 1):
+        parts = connected_components(links, "a", "b").withColumnRenamed("node", "sk")
+        placed = cut(large.join(parts, "sk", "left").select("key", "sk", "n", F.coalesce("component", "sk").alias("part")))
+        sizes = placed.groupBy("key", "part").agg(F.count("*").cast("double").alias("c")).groupBy("key")
+        mixed = sizes.agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
+        mixed = cut(mixed.select("key", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")))
+        cost = mixed.agg(F.sum("pairs").alias("pairs"), F.sum("m").alias("m")).first()
+        if cost["m"] is None:
+            return links
+        if cost["pairs"] <= WORTH * cost["m"] or turn == MOST_ROUNDS:
+            break
+        order = placed.join(mixed.select("key"), "key").select("key", F.xxhash64(F.lit(turn), "sk").alias("o"), "sk", "n", "part")
+        order = order.repartitionByRange("key", "o").sortWithinPartitions("key", "o")
+        nxt = order.mapInArrow(_neighbours, "a long, b long").distinct()
+        links = links.unionByName(_verified(nxt, docs, nodes, text_col, shingle, seed))
+    mixed = mixed.select("key", "blocks")
     folds = [f"b{i}" for i in range(FOLDED)]
     left = placed.join(mixed, "key").join(nodes.select("sk", *folds), "sk")
     side = {x: [F.col("sk").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"), *[F.col(c).alias(c + x) for c in folds]] for x in "ab"}

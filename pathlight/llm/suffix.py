@@ -3,8 +3,10 @@
 Two equal strings of ``WINDOW`` bytes hold the same q-grams, so the leftmost q-gram of the least hash in each is the
 same: a bucket. Runs of neighbouring windows that share their bucket's q-gram are one row, about two rows for each
 ``WINDOW`` bytes. A bucket met once repeats nothing. In a bucket whose runs are all of one content every window
-repeats. Only the runs of the other buckets, at the borders of repeated passages, send their bytes on: there buckets
-of q-grams are refined by sorting on the buckets at later offsets until they stand for whole windows.
+repeats. Only the runs of the other buckets, at the borders of repeated passages, send their bytes on. There a bucket is
+first split by the bytes that all its windows of a class share, a class being some neighbouring distances between the
+start of a window and its q-gram, and then the buckets of q-grams are refined by sorting on the buckets at later offsets
+until they stand for whole windows. A split that is still too large for a task is split again, by whole windows.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathlight.llm.common import as_bytes, pieces
+from pathlight.operators.skew import LEAST, PARTS, split_join
 from pathlight.plans.lineage import cut
 
 #: Bytes of the strings that must not repeat, and of the first buckets' q-grams.
 WINDOW, QGRAM = 200, 32
 #: Bytes of text whose q-grams are hashed at once.
 SECTION = 1 << 21
-#: A bucket of more different runs than this is not refined in one task: its windows are counted as rows.
-MOST_RUNS = 20_000
+#: Distances of a class, and runs of a split bucket that are refined together; more of them are split by each distance.
+CLASS, MOST_RUNS = 43, 1_000
+#: Bytes that one call of ``refine`` is given, give or take a bucket.
+AT_ONCE = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -195,33 +200,34 @@ def _emit_bytes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             texts = [t or b"" for t in as_bytes(batch.column(0))]
-            wanted = [{(x["bucket"], x["content"]): x["big"] for x in row} for row in batch.column(1).to_pylist()]
+            wanted = [{(x["bucket"], x["content"]) for x in row} for row in batch.column(1).to_pylist()]
             out = []
             for which, _, _, bucket, content, gram, data in text_runs(texts, window):
                 keys = zip(which.tolist(), bucket.tolist(), content.tolist(), gram.tolist(), strict=True)
                 for i, (w, b, c, g) in enumerate(keys):
-                    big = wanted[w].pop((b, c), None)
-                    if big is not None:
-                        out.append((b, c, g, data(i), big))
+                    if (b, c) in wanted[w]:
+                        wanted[w].remove((b, c))
+                        out.append((b, c, g, data(i)))
             if out:
-                b, c, g, d, big = zip(*out, strict=True)
+                b, c, g, d = zip(*out, strict=True)
                 yield pa.record_batch(
-                    [pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(g, pa.int32()), pa.array(d, pa.binary()), pa.array(big)],
-                    names=["bucket", "content", "gram", "data", "big"],
+                    [pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(g, pa.int32()), pa.array(d, pa.binary())],
+                    names=["bucket", "content", "gram", "data"],
                 )
 
     return run
 
 
-def _refine_sorted(window: int, rows_at_once: int = 6_000):
-    """Rows come sorted by bucket; whole buckets are refined together, some thousand rows at a time."""
+def _refine_sorted(window: int):
+    """Rows ``(sub, bucket, content, gram, shift, data)`` come sorted by ``sub``, a split bucket of a bounded size;
+    whole ones are refined together. ``shift`` is where ``data`` begins in the run, ``gram`` where the q-gram is in it."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch | None:
-        held = list({(b, c): (b, c, g, d) for b, c, g, d in held}.values())
-        b, c, g, d = zip(*held, strict=True)
-        groups = np.unique(np.array(b), return_inverse=True)[1]
+        held = list({x[:3]: x for x in held}.values())
+        sub, b, c, g, shift, d = zip(*held, strict=True)
+        groups = np.unique(np.array(sub), return_inverse=True)[1]
         masks = refine(list(d), groups, np.array(g), window)
-        found = [(x, y, _bounds(m).tobytes()) for x, y, m in zip(b, c, masks, strict=True) if m.any()]
+        found = [(x, y, (_bounds(m) + z).astype("<i4").tobytes()) for x, y, z, m in zip(b, c, shift, masks, strict=True) if m.any()]
         if not found:
             return None
         b, c, r = zip(*found, strict=True)
@@ -231,28 +237,50 @@ def _refine_sorted(window: int, rows_at_once: int = 6_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
+        size = 0
+        for batch in pieces(batches, 2048):
             for row in zip(*[col.to_pylist() for col in batch.columns], strict=True):
-                if len(held) >= rows_at_once and row[0] != held[-1][0]:
+                if size >= AT_ONCE and row[0] != held[-1][0]:
                     if (out := solve(held)) is not None:
                         yield out
-                    held = []
+                    held, size = [], 0
                 held.append(row)
+                size += len(row[5])
         if held and (out := solve(held)) is not None:
             yield out
 
     return run
 
 
-def _count_windows(spans: DataFrame, window: int) -> DataFrame:
-    """Ranges of the repeated windows of buckets too large for one task: each window is a row, counted by content."""
-    spans = spans.dropDuplicates(["bucket", "content"])
-    starts = F.sequence(F.lit(0), F.octet_length("data") - window)
+def _split(spans: DataFrame, window: int, width: int) -> DataFrame:
+    """``(sub, bucket, content, cls)``: a row for each class of ``width`` distances that a run has windows of.
+
+    Windows that start at distances from ``cls * width`` to ``width`` - 1 more before the q-gram all hold the bytes from
+    the least distance before it to where the window of the greatest ends. Runs of a bucket that share such a window
+    agree on those bytes, of which ``sub`` is a hash, so only runs of one ``sub`` have to be compared.
+    """
+    reach = F.octet_length("data") - window  # the last window's start
+    classes = F.sequence(F.floor((F.col("gram") - reach) / width).cast("int"), F.floor(F.col("gram") / width).cast("int"))
+    rows = spans.select("bucket", "content", "gram", "data", F.explode(classes).alias("cls"))
+    low = F.col("cls") * width
+    high = F.least(low + width - 1, F.lit(window - QGRAM))
+    shared = F.substring(F.col("data"), F.col("gram") - low + 1, F.lit(window) - high + low)
+    return rows.select(F.xxhash64("bucket", "cls", shared).alias("sub"), "bucket", "content", "cls")
+
+
+def _counted(spans: DataFrame, window: int, width: int) -> DataFrame:
+    """Ranges of the repeated windows among the classes of ``spans``: each window is a row, counted by its content.
+
+    ``spans`` has ``(bucket, content, gram, data, cls)``.
+    """
+    reach = F.octet_length("data") - window
+    first = F.greatest(F.lit(0), F.col("gram") - F.col("cls") * width - width + 1)
+    starts = F.sequence(first, F.least(reach, F.col("gram") - F.col("cls") * width))
     rows = spans.select("bucket", "content", "data", F.explode(starts).alias("at"))
     piece = F.substring(F.col("data"), F.col("at") + 1, F.lit(window))
     rows = rows.select("bucket", "content", "at", F.md5(piece).alias("piece"))
-    many = rows.groupBy("bucket", "piece").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = rows.join(many, ["bucket", "piece"]).groupBy("bucket", "content").agg(F.collect_list("at").alias("at"))
+    times = rows.groupBy("bucket", "piece").agg(F.count("*").alias("n")).where("n > 1")
+    hits = split_join(rows, cut(times), ["bucket", "piece"], "n").groupBy("bucket", "content").agg(F.collect_list("at").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,6 +294,31 @@ def _count_windows(spans: DataFrame, window: int) -> DataFrame:
     return hits.mapInArrow(run, "bucket long, content long, ranges binary")
 
 
+def _shared_windows(spans: DataFrame, window: int, most_runs: int) -> DataFrame:
+    """``(bucket, content, ranges)``: the windows of the runs ``(bucket, content, gram, data)`` that others of the bucket hold."""
+    width = max(1, min(CLASS, window - QGRAM + 1))
+    subs = cut(_split(spans, window, width))
+    sizes = subs.groupBy("sub").agg(F.count("*").alias("k")).where("k > 1")
+    met = split_join(subs, cut(sizes.withColumn("big", F.col("k") > most_runs)), ["sub"], "k")
+    met = cut(met)
+    full = met.join(spans, ["bucket", "content"])
+    begin = F.greatest(F.lit(0), F.col("gram") - F.col("cls") * width - width + 1)
+    size = F.col("gram") - F.col("cls") * width + window - begin
+    few = full.where("not big").select(
+        "sub", "bucket", "content", (F.col("gram") - begin).alias("gram"), begin.alias("shift"), F.substring(F.col("data"), begin + 1, size.cast("int")).alias("data")
+    )
+    few = few.repartition("sub").sortWithinPartitions("sub")
+    ranges = few.mapInArrow(_refine_sorted(window), "bucket long, content long, ranges binary")
+    if not met.where("big").isEmpty():
+        ranges = ranges.unionByName(_counted(full.where("big").select("bucket", "content", "gram", "data", "cls"), window, width))
+    return ranges.groupBy("bucket", "content").agg(F.collect_list("ranges").alias("parts")).select("bucket", "content", _joined("parts").alias("ranges"))
+
+
+def _joined(parts: str):
+    """Binary values of an array one after the other; a range may come twice, which is no matter."""
+    return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """``docs`` with its columns renamed by place, so that no name clashes, and the hashes of the text, by which flags
     come back, and of the id; and the new name of the text."""
@@ -277,44 +330,38 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
 
 
 def repeated_runs(keyed: DataFrame, text_col: str, window: int = WINDOW, most_runs: int = MOST_RUNS) -> DataFrame:
-    """``(_tk, flags)``: for each text with repeated windows its runs ``(bucket, content, ranges)`` that hold some.
+    """``(_k, flags)``: for each text with repeated windows its runs ``(bucket, content, ranges)`` that hold some.
 
-    Null ``ranges`` are all windows of the run; else pairs of first and last start, relative to the run's.
+    Null ``ranges`` are all windows of the run; else pairs of first and last start, relative to the run's. ``keyed`` has
+    the keys ``_tk`` of the text and ``_rid`` of the id, either of which may repeat; null and short texts have no runs,
+    and no rows give none. A bucket, run or text may be as frequent as a third of all rows: the facts on such ones are
+    broadcast instead of gathering their rows.
     """
     schema = "tk long, rid long, bucket long, content long, n long"
     runs = cut(keyed.select("_tk", "_rid", text_col).mapInArrow(_emit_runs(window), schema))
     buckets = runs.groupBy("bucket").agg(
-        F.sum("n").alias("all"), F.min("content").alias("low"), F.max("content").alias("high")
+        F.sum("n").alias("all"), F.count("*").alias("rows"), F.min("content").alias("low"), F.max("content").alias("high")
     )
-    buckets = buckets.where("`all` > 1").select("bucket", (F.col("low") != F.col("high")).alias("mixed"))
+    buckets = cut(buckets.where("`all` > 1").select("bucket", (F.col("low") != F.col("high")).alias("mixed"), "rows"))
     # Written once, for what follows reads it several times; it is the part of the runs that may repeat.
-    met = cut(runs.join(buckets, "bucket").select("tk", "rid", "bucket", "content", "n", "mixed"))
+    met = cut(split_join(runs, buckets, ["bucket"], "rows").select("tk", "rid", "bucket", "content", "n", "mixed"))
     plain = met.where("not mixed").select("tk", "bucket", "content", F.lit(None).cast("binary").alias("ranges"))
     mixed = met.where("mixed")
-    contents = mixed.groupBy("bucket", "content").agg(F.sum("n").alias("all"), F.min(F.struct("rid", "tk")).alias("one"))
-    many = contents.groupBy(F.col("bucket").alias("_b")).agg(F.count("*").alias("k")).where(F.col("k") > most_runs)
-    contents = contents.join(many, contents["bucket"] == many["_b"], "left").drop("_b")
-    contents = cut(contents.select("bucket", "content", "all", "one.rid", "one.tk", F.col("k").isNotNull().alias("big")))
-    wanted = contents.groupBy(F.col("tk").alias("_k"), F.col("rid").alias("_r")).agg(
-        F.collect_list(F.struct("bucket", "content", "big")).alias("wanted")
+    contents = mixed.groupBy("bucket", "content").agg(
+        F.sum("n").alias("all"), F.count("*").alias("rows"), F.min(F.struct("rid", "tk")).alias("one")
     )
-    texts = keyed.join(wanted, (keyed["_tk"] == wanted["_k"]) & (keyed["_rid"].bitwiseXOR(wanted["_r"]) == 0))
-    spans = texts.select(text_col, "wanted").mapInArrow(
-        _emit_bytes(window), "bucket long, content long, gram int, data binary, big boolean"
+    contents = cut(contents.select("bucket", "content", "all", "rows", "one.rid", "one.tk"))
+    wanted = contents.groupBy(F.col("tk").alias("_tk"), F.col("rid").alias("_rid")).agg(
+        F.collect_list(F.struct("bucket", "content")).alias("wanted")
     )
-    if contents.where("big").limit(1).count():
-        spans = cut(spans)
-        counted = _count_windows(spans.where("big"), window)
-    else:
-        counted = None
-    few = spans.where("not big").select("bucket", "content", "gram", "data").repartition("bucket").sortWithinPartitions("bucket")
-    ranges = few.mapInArrow(_refine_sorted(window), "bucket long, content long, ranges binary")
-    if counted is not None:
-        ranges = ranges.unionByName(counted)
-    ranges = cut(ranges)
-    often = contents.where("`all` > 1").select("bucket", "content", F.lit(None).cast("binary").alias("ranges"))
-    known = often.unionByName(ranges.join(often.select("bucket", "content"), ["bucket", "content"], "left_anti"))
-    edges = mixed.join(known, ["bucket", "content"]).select("tk", "bucket", "content", "ranges")
+    texts = keyed.join(wanted, ["_tk", "_rid"]).select(text_col, "wanted")
+    spans = texts.mapInArrow(_emit_bytes(window), "bucket long, content long, gram int, data binary")
+    spans = cut(spans)
+    ranges = _shared_windows(spans, window, most_runs)
+    known = contents.select("bucket", "content", "all", "rows").join(ranges, ["bucket", "content"], "left")
+    known = known.where("`all` > 1 or ranges is not null")
+    known = cut(known.select("bucket", "content", F.when(F.col("all") == 1, F.col("ranges")).alias("ranges"), "rows"))
+    edges = split_join(mixed, known, ["bucket", "content"], "rows").select("tk", "bucket", "content", "ranges")
     flags = plain.unionByName(edges).groupBy("tk", "bucket", "content").agg(F.first("ranges").alias("ranges"))
     return flags.groupBy(F.col("tk").alias("_k")).agg(F.collect_list(F.struct("bucket", "content", "ranges")).alias("flags"))
 
@@ -335,10 +382,28 @@ def covered(text: bytes, flags: dict[tuple[int, int], bytes | None], window: int
 
 
 def _flagged(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """``docs`` with columns by place and their ``flags``, the last."""
+    """``docs`` with columns by place, their ``flags``, and whether the ``whole`` text repeats, the last two.
+
+    A text that very many rows have is told to all tasks as such: it repeats from end to end, and its rows need no flags
+    and stay where they are.
+    """
     keyed, text = _keyed(docs, id_col, text_col)
     flags = repeated_runs(keyed, text, window)
-    return keyed.join(flags, keyed["_tk"] == flags["_k"], "left").drop("_k", "_tk", "_rid")
+    times = cut(keyed.groupBy(F.col("_tk").alias("_h")).agg(F.count("*").alias("rows")).where(F.col("rows") > LEAST))
+    limit = max(LEAST, docs.count() / PARTS)
+    hot = times.where(F.col("rows") > limit).select("_h", F.lit(True).alias("whole"))
+    told = keyed.join(F.broadcast(hot), keyed["_tk"] == hot["_h"], "left")
+    key = F.when(F.col("whole").isNull(), F.col("_tk")).otherwise(F.xxhash64("_rid", "_tk"))
+    told = told.withColumn("_key", key)
+    joined = told.join(flags, (told["_key"] == flags["_k"]) & told["whole"].isNull(), "left")
+    return joined.drop("_k", "_tk", "_rid", "_key", "_h").select(*keyed.columns[:-2], "flags", "whole")
+
+
+def _edges(text: bytes, flags: dict | None, whole: bool | None, window: int) -> np.ndarray:
+    """First and past-the-last byte of each removed run, in turn."""
+    if whole:
+        return np.array([0, len(text)]) if len(text) >= window else np.zeros(0, np.int64)
+    return covered(text, flags, window) if flags else np.zeros(0, np.int64)
 
 
 def _flag_maps(column: pa.Array) -> list[dict | None]:
@@ -357,9 +422,10 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             cols = [[], [], [], [], []]
-            for text, flags in zip(as_bytes(batch.column(1)), _flag_maps(batch.column(2)), strict=True):
+            marks = zip(as_bytes(batch.column(1)), _flag_maps(batch.column(2)), batch.column(3).to_pylist(), strict=True)
+            for text, flags, whole in marks:
                 text = text or b""
-                edges = covered(text, flags, window) if flags else np.zeros(0, np.int64)
+                edges = _edges(text, flags, whole, window)
                 kept, at = hashlib.sha256(), 0
                 for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                     kept.update(text[at:a])
@@ -405,10 +471,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             out = []
-            flags = _flag_maps(batch.column(batch.num_columns - 1))
-            for text, flag in zip(as_bytes(batch.column(names.index(text_col))), flags, strict=True):
-                if text is not None and flag:
-                    text = _whole_characters(text, covered(text, flag, window))
+            flags, whole = _flag_maps(batch.column(len(names))), batch.column(len(names) + 1).to_pylist()
+            for text, flag, all_of_it in zip(as_bytes(batch.column(names.index(text_col))), flags, whole, strict=True):
+                if text is not None and (flag or all_of_it):
+                    text = _whole_characters(text, _edges(text, flag, all_of_it, window))
                 out.append(None if text is None else text.decode())
             columns = list(batch.columns)[: len(names)]
             columns[names.index(text_col)] = pa.array(out, pa.string())

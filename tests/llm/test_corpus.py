@@ -12,6 +12,7 @@ import xxhash
 from conftest import LONG, ROWS
 from pathlight.llm import euclid, mixing, queries, simhash, suffix, suffixtree, warc
 from pathlight.llm.common import id_remainder, table
+from pathlight.operators import skew
 from pyspark.sql import functions as F
 
 
@@ -31,7 +32,7 @@ def awkward_texts():
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefg é") for _ in range(r.randint(1, 9)))
     base = " ".join(word() for _ in range(400))
-    out = [base, base[10:700], base[:199], base[:200], "ab" * 400, "x" * 150 + base[300:520] + "y" * 150, "q" * 1000, None, ""]
+    out = [base, base[10:700], *[base[:900]] * 3, base[:199], base[:200], "ab" * 400, "x" * 150 + base[300:520] + "y" * 150, "q" * 1000, None, ""]
     for _ in range(25):  # one passage in many different surroundings, with edits
         at = r.randint(0, 300)
         out.append(word() * 30 + base[at : at + r.randint(190, 420)] + word() * 30)
@@ -41,9 +42,12 @@ def awkward_texts():
     return out
 
 
-@pytest.mark.parametrize("most_runs", [20_000, 1])
-def test_suffix_on_awkward_texts(spark, most_runs, monkeypatch):
+@pytest.mark.parametrize(("most_runs", "least"), [(1_000, 1_000), (1, 1), (4, 2)])
+def test_suffix_on_awkward_texts(spark, most_runs, least, monkeypatch):
+    """With any limits on what a task refines and on what counts as frequent the result is that of the plain version."""
     monkeypatch.setattr(suffix.repeated_runs, "__defaults__", (200, most_runs))
+    monkeypatch.setattr(suffix, "LEAST", least)
+    monkeypatch.setattr(skew.split_join, "__defaults__", (skew.PARTS, least))
     texts = awkward_texts()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     assert flags(suffix.removed_runs(docs).collect()) == sorted(brute.repeats(texts))

@@ -30,9 +30,10 @@ def near_copies(n_base=12, copies=25):
     return rows
 
 
-@pytest.mark.parametrize("limit", [2, 12])
-def test_keep_one_by_similarity_equals_plain_components(spark, limit, monkeypatch):
+@pytest.mark.parametrize(("limit", "worth"), [(2, 1000), (12, 0)])
+def test_keep_one_by_similarity_equals_plain_components(spark, limit, worth, monkeypatch):
     monkeypatch.setattr(similar, "PAIR_LIMIT", limit)
+    monkeypatch.setattr(similar, "WORTH", worth)
     rows = near_copies()
     of, root = sets(rows), {i: i for i, _ in rows}
     fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
