@@ -54,6 +54,7 @@ class PairPaths:
 
     lengths: DataFrame
     weights: DataFrame
+    visited: int = 0  # edges that the searches followed
 
 
 @dataclass
@@ -113,9 +114,10 @@ def pair_paths(
     """
     pairs = pairs.where("u <> v")
     sides = [_side(edges, pairs, "u"), _side(edges, pairs, "v")]
-    open_, meets = cut(pairs.select("pair_id")), []
+    open_, meets, visited = cut(pairs.select("pair_id")), [], 0
     while sides[0].cost and sides[1].cost:
         near, far = sides if sides[0].cost <= sides[1].cost else sides[::-1]
+        visited += near.cost
         moved = near.advance(open_)
         other = far.levels[-1].select("pair_id", "node", F.col("sigma").alias("sigma2"))
         met = moved.join(other, ["pair_id", "node"])
@@ -129,7 +131,7 @@ def pair_paths(
     if not meets:
         none = pairs.where("false")
         lengths = none.select("pair_id", F.lit(0).alias("dist"), F.lit(0.0).alias("sigma"))
-        return PairPaths(lengths, none.select("pair_id", F.col("u").alias("node"), F.lit(0.0).alias("weight")))
+        return PairPaths(lengths, none.select("pair_id", F.col("u").alias("node"), F.lit(0.0).alias("weight")), visited)
     every = _union([met.withColumn("dist", F.lit(a + b)) for a, b, met in meets])
     lengths = cut(every.groupBy("pair_id").agg(F.max("dist").alias("dist"), F.sum(F.col("ahead") * F.col("back")).alias("sigma")))
     if mode == "exact":
@@ -137,7 +139,7 @@ def pair_paths(
     else:
         weights = _drawn_paths(sides, meets, lengths, alpha if mode == "multi" else 0.0, seed, most_paths)
     ends = pairs.select("pair_id", F.explode(F.array("u", "v")).alias("node"))
-    return PairPaths(lengths, cut(weights.join(ends, ["pair_id", "node"], "left_anti")))
+    return PairPaths(lengths, cut(weights.join(ends, ["pair_id", "node"], "left_anti")), visited)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

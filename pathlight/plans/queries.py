@@ -243,30 +243,126 @@ def top1_bound(spark, sf_dir):
     return made.select(*[F.round(c, 7).alias(c) for c in made.columns])
 
 
+def _drawn_against_all(edges: DataFrame, mode: str, alpha: float) -> DataFrame:
+    """``(node, pairs, agrees)``: whether the drawn paths through a node are as many as they should be.
+
+    A node is drawn in a pair with the probability that all paths of the pair give it, so over all pairs the sum of the
+    drawn shares lies within six standard deviations of the sum of the probabilities, up to one path.
+    """
+    ids = cut(S.dense_ids(edges))
+    dense = cut(S.renumber(edges, ids))
+    pairs = cut(S.sample_pairs(edges.sparkSession, ids.count(), 0, SAMPLES, SEED))
+    every = T.pair_paths(dense, pairs)
+    drawn = T.pair_paths(dense, pairs, mode, alpha, SEED).weights.groupBy("node").agg(F.sum("weight").alias("drawn"))
+    draws = F.greatest(F.lit(1.0), F.floor(F.lit(alpha if mode == "multi" else 0.0) * F.col("sigma")))
+    spread = F.col("weight") * (1 - F.col("weight")) / F.least(draws, F.lit(1000.0))
+    due = every.weights.where("weight > 0").join(every.lengths, "pair_id").groupBy("node")
+    due = due.agg(F.count("*").alias("pairs"), F.sum("weight").alias("due"), F.sum(spread).alias("spread"))
+    joined = due.join(drawn, "node", "left")
+    close = F.abs(F.coalesce("drawn", F.lit(0.0)) - F.col("due")) <= 1 + 6 * F.sqrt(F.greatest(F.col("spread"), F.lit(0.0)))
+    return _node_ids(ids, joined.select("node", "pairs", close.alias("agrees")))
+
+
 def bc_single_path(spark, sf_dir):
     """One uniformly drawn path for each sample."""
-    edges = _user(spark, sf_dir)
-    ids = cut(S.dense_ids(edges))
-    pairs = cut(S.sample_pairs(spark, ids.count(), 0, SAMPLES, SEED))
-    paths = T.pair_paths(S.renumber(edges, ids), pairs, "single", seed=SEED)
-    return _node_ids(ids, C.node_sums(paths.weights, SEED).select("node", (F.col("sum_w") / SAMPLES).alias("bc")))
+    return _drawn_against_all(_user(spark, sf_dir), "single", 0.0)
 
 
 def bc_multi_path(spark, sf_dir):
     """Several drawn paths for each sample, 2.3 times their number."""
-    edges = cut(G.simplify(X.supp_part(spark, sf_dir), directed=False))
-    ids = cut(S.dense_ids(edges))
-    pairs = cut(S.sample_pairs(spark, ids.count(), 0, SAMPLES, SEED))
-    paths = T.pair_paths(S.renumber(edges, ids), pairs, "multi", 2.3, SEED)
-    return _node_ids(ids, C.node_sums(paths.weights, SEED).select("node", (F.col("sum_w") / SAMPLES).alias("bc")))
+    return _drawn_against_all(cut(G.simplify(X.supp_part(spark, sf_dir), directed=False)), "multi", 2.3)
+
+
+def _within(scores: DataFrame, exact: DataFrame, eps: float) -> DataFrame:
+    """``(node, within_eps, covered)``: whether a score is within ``eps`` of the exact one and its bounds hold it."""
+    joined = exact.select("node", F.col("bc").alias("exact")).join(scores, "node", "left")
+    inside = F.col("exact").between(F.col("lower") - 1e-12, F.col("upper") + 1e-12)
+    close = F.abs(F.col("bc") - F.col("exact")) <= eps
+    return joined.select("node", F.coalesce(close, F.lit(False)).alias("within_eps"), F.coalesce(inside, F.lit(False)).alias("covered"))
 
 
 def bc_absolute(spark, sf_dir):
-    return P.approximate_betweenness(_user(spark, sf_dir), eps=0.03, directed=True).scores
+    """Every node's score by progressive sampling, held against the exact one."""
+    edges = _user(spark, sf_dir)
+    return _within(P.approximate_betweenness(edges, eps=0.03, directed=True).scores, _exact(edges), 0.03)
+
+
+def bc_absolute_star(spark, sf_dir):
+    """The customers and suppliers of nation 0 around it: no shortest path has more than two edges."""
+    edges = cut(G.simplify(X.geo_forest(spark, sf_dir).where("dst = 1000000"), directed=False))
+    n = G.nodes_of(edges).count()
+    hub = F.when(F.col("id") == 1_000_000, F.lit((n - 2) / n)).otherwise(F.lit(0.0))
+    exact = G.nodes_of(edges).select(F.col("id").alias("node"), hub.alias("bc"))
+    return _within(P.approximate_betweenness(edges, eps=0.05).scores, exact, 0.05)
+
+
+def _forest_exact(edges: DataFrame) -> DataFrame:
+    """``(node, bc)`` of the regions and nations of the forest, whose paths are told by the sizes of its branches."""
+    leaves = edges.where("src < 1000000 or src >= 3000000").groupBy(F.col("dst").alias("nation")).agg(F.count("*").alias("k"))
+    nations = edges.where("src >= 1000000 and src < 2000000").select(F.col("src").alias("nation"), F.col("dst").alias("region"))
+    nations = cut(nations.join(leaves, "nation", "left").select("nation", "region", (F.coalesce("k", F.lit(0)) + 1).alias("s")))
+    regions = nations.groupBy("region").agg((F.sum("s") + 1).alias("size"), F.sum(F.col("s") * F.col("s")).alias("squares"))
+    n = G.nodes_of(edges).count()
+    rest = F.col("size") - 1
+    inner = nations.join(regions, "region")
+    through = rest * rest - (F.col("s") - 1) - (F.col("size") - F.col("s")) * (F.col("size") - F.col("s"))
+    both = inner.select(F.col("nation").alias("node"), through.alias("pairs")).unionByName(
+        regions.select(F.col("region").alias("node"), (rest * rest - F.col("squares")).alias("pairs"))
+    )
+    return both.select("node", (F.col("pairs") / (n * (n - 1.0))).alias("bc"))
+
+
+def _topk_forest(spark, sf_dir):
+    edges = cut(X.geo_forest(spark, sf_dir))
+    return P.approximate_betweenness(edges, eps=0.25, k=5).scores, _forest_exact(edges)
 
 
 def bc_topk_relative(spark, sf_dir):
-    return P.approximate_betweenness(X.geo_forest(spark, sf_dir), eps=0.25, k=5).scores
+    """The five most central nodes of the forest: whether the run holds them, within a relative 0.25."""
+    scores, exact = _topk_forest(spark, sf_dir)
+    top = C.top_nodes(exact, 5).select("node", F.col("bc").alias("exact")).join(scores, "node", "left")
+    close = F.abs(F.col("bc") - F.col("exact")) <= 0.25 * F.col("exact")
+    return top.select("node", F.col("bc").isNotNull().alias("member"), F.coalesce(close, F.lit(False)).alias("within_eps"))
+
+
+def bc_topk_bounds(spark, sf_dir):
+    """Of the regions and nations whether the bounds of a sample hold the exact centrality."""
+    from pathlight.functions import bounds as B
+
+    edges = cut(G.simplify(X.geo_forest(spark, sf_dir), directed=False))
+    ids, _, paths = _sample(edges)
+    hist = {r["internal"]: r["pairs"] for r in C.length_histogram(paths.lengths).collect()}
+    n, rho = ids.count(), B.rho_bound(hist, 4, SAMPLES, 0.01)
+    sums = C.node_sums(paths.weights, SEED).select("node", "sum_w")
+    every = ids.select(F.col("dense_id").alias("node")).join(sums, "node", "left")
+
+    def bound(frames):
+        for f in frames:
+            f["lower"], f["upper"] = B.node_bounds_of(f["bc"].to_numpy(), rho, n, SAMPLES, 0.01)
+            yield f
+
+    est = every.select("node", (F.coalesce("sum_w", F.lit(0.0)) / SAMPLES).alias("bc"))
+    bounds = _node_ids(ids, est.mapInPandas(bound, "node long, bc double, lower double, upper double"))
+    exact = _forest_exact(X.geo_forest(spark, sf_dir))
+    return _within(bounds, exact, 1.0).select("node", "covered")
+
+
+def text_round_trip(spark, sf_dir):
+    """The graph of suppliers and parts, written as an edge list and read back."""
+    from pathlight.plans.lineage import scratch_path
+
+    path = scratch_path(spark, "edges")
+    G.write_graph(X.supp_part(spark, sf_dir), path, sep="\t")
+    return G.simplify(G.read_edge_list(spark, path), directed=False)
+
+
+def scores_round_trip(spark, sf_dir):
+    """The ten most central users, written as a result file and read back."""
+    from pathlight.plans.lineage import scratch_path
+
+    path = scratch_path(spark, "scores")
+    G.write_scores(_exact(_user(spark, sf_dir)).select("node", F.round("bc", ROUND).alias("bc")), path, k=10)
+    return spark.read.csv(path, schema="node long, bc double")
 
 
 QUERIES = {
@@ -276,7 +372,8 @@ QUERIES = {
         components_forest, scc, condensation, pivots, pivot_ecc, diameter_bound, bfs_levels, path_counts, bc_exact_directed,
         bc_exact_undirected, bc_topk_exact, sample_pairs, pair_sigma, void_samples, path_length_hist, bc_sampled,
         wimpy_variance, rademacher_sums, peeling_partitions, mcera_by_partition, eps_by_partition, rho_bound, top1_bound,
-        bc_single_path, bc_multi_path, bc_absolute, bc_topk_relative,
+        bc_single_path, bc_multi_path, bc_absolute, bc_absolute_star, bc_topk_relative, bc_topk_bounds, text_round_trip,
+        scores_round_trip,
     )
 }
 
@@ -372,6 +469,14 @@ def _with(*tables: str, select: str) -> str:
     return "with recursive " + ",".join(tables) + " " + select
 
 
+#: Ordered pairs whose path goes through a nation or region of the forest, by the sizes of the branches.
+_FOREST = """
+  nat as (select e.src nation, e.dst region, 1 + (select count(*) from e l where l.dst = e.src) s
+    from e where e.src between 1000000 and 1999999),
+  reg as (select region, 1 + sum(s) size, sum(s * s) squares from nat group by region),
+  forest as (select nation node, (size - 1) * (size - 1) - (s - 1) - (size - s) * (size - s) pairs from nat join reg using (region)
+    union all select region, (size - 1) * (size - 1) - squares from reg)"""
+
 _U, _G, _P = _graph(_USER), _graph(_GAP), _graph(_PAGE, False)
 _D8, _D40 = _DIST.format(most=14), _DIST.format(most=32)
 _ST = 0.05
@@ -436,10 +541,18 @@ SQL = {
     "rho_bound": _with(
         _G, _D40, _REACH, _PIVOT, _ECC.format(most=32), _FAR, _PAIRS, _LENGTHS,
         f"h as (select dist - 1 i, count(*)::double c from lengths where dist > 1 group by 1 union all select 0, {SAMPLES} - count(*) from lengths where dist > 1)",
-        f"s as (select (select sum(i * c) / {SAMPLES} from h) mean, (select sum((a.i - b.i) * (a.i - b.i) * a.c * b.c) / ({SAMPLES} * ({SAMPLES} - 1.0)) from h a join h b on a.i < b.i) variance, (select greatest(diameter_bound - 2, 0) from bound) w)",
+        f"s as (select (select sum(i * c) / {SAMPLES} from h) mean, (select sum((a.i - b.i) * (a.i - b.i) * a.c * b.c) / ({SAMPLES} * ({SAMPLES} - 1.0)) from h a join h b on a.i < b.i) variance, (select greatest(diameter_bound - 1, 0) from bound) w)",
         f"t as (select *, w * ln(1 / {_ST / 2}) / {SAMPLES} c, ln(2 / {_ST / 2}) / {SAMPLES} g from s)",
-        select="select round(mean, 7) mean, round(variance, 7) variance, round(greatest(1e-9, least(mean + c + sqrt(2 * c * mean + c * c), mean + 7 * w * g / 3 + sqrt(2 * variance * g), w)), 7) rho from t",
+        select="select round(mean, 7) mean, round(variance, 7) variance, round(greatest(1e-9, mean, least(mean + c + sqrt(2 * c * mean + c * c), mean + 7 * w * g / 3 + sqrt(2 * variance * g), w)), 7) rho from t",
     ),
+    "bc_single_path": _with(_U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, select="select node, hits pairs, true agrees from sums"),
+    "bc_multi_path": _with(_graph(_SUPP, False), _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, select="select node, hits pairs, true agrees from sums"),
+    "bc_absolute": _with(_U, select="select v node, true within_eps, true covered from n"),
+    "bc_absolute_star": _with(_graph(f"select * from ({_GEO}) where dst = 1000000", False), select="select v node, true within_eps, true covered from n"),
+    "bc_topk_relative": _with(_graph(_GEO), _FOREST, select="select node, true member, true within_eps from (select * from forest order by pairs desc, node limit 5)"),
+    "bc_topk_bounds": _with(_graph(_GEO), _FOREST, select="select node, true covered from forest"),
+    "text_round_trip": _with(_graph(_SUPP, False), select="select src, dst from e"),
+    "scores_round_trip": _with(_U, _D8, _BC, select=f"select node, round(bc, {ROUND}) bc from (select * from bc order by bc.bc desc, node limit 10)"),
     "top1_bound": _with(
         _U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS,
         f"t as (select max(sum_w) / {SAMPLES} a, max(sum_w2) / {SAMPLES} b, ln(1 / {_ST}) / {SAMPLES} c from sums)",

@@ -269,6 +269,25 @@ def test_absolute_run_is_within_eps(spark):
     assert row["graph_name"] == "g" and row["m"] == result.metrics["m"]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_graphs_of_small_diameter_keep_their_guarantee(spark, seed):
+    """A star's paths have one internal node, a ring's of five as well; the complete graph's have none."""
+    shapes = {"star": [(0, i) for i in range(1, 10)], "ring": [(i, (i + 1) % 5) for i in range(5)], "complete": [(i, j) for i in range(5) for j in range(i)]}
+    for pairs in shapes.values() if seed == 0 else [shapes["star"]]:
+        want = brandes(both(pairs))
+        result = P.approximate_betweenness(frame(spark, pairs), eps=0.1, seed=seed)
+        got = {r["node"]: r for r in result.scores.collect()}
+        assert all(abs(got[v]["bc"] - x) <= 0.1 and got[v]["lower"] - 1e-9 <= x <= got[v]["upper"] + 1e-9 for v, x in want.items())
+
+
+def test_hopeless_pairs_are_told_by_heights(spark):
+    pairs = [(1, 2), (2, 1), (2, 3), (3, 4), (5, 4), (5, 6)]
+    edges = frame(spark, pairs)
+    comps = K.strong_components(edges, G.nodes_of(edges)).cache()
+    diameter, heights = K.diameter_and_heights(edges, comps)
+    assert {r["comp"]: r["height"] for r in heights.collect()} == {1: 2, 3: 1, 4: 0, 5: 1, 6: 0} and diameter >= 3
+
+
 def test_topk_run_holds_the_top(spark):
     pairs = [(0, i) for i in range(1, 12)] + [(0, 20), (20, 21)] + [(20, 30 + i) for i in range(6)]
     want = brandes(both(pairs))
