@@ -212,38 +212,109 @@ def test_suffix_tree_scores(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def plain_tree(texts, min_count=3, min_gain=12.0, depth=4):
+    """A slow suffix tree over all words; gives the log10 probability of a text."""
+    toks = [suffixtree.tokens((t or "").encode()) for t in texts]
+    c1 = Counter(w for ws in toks for w in ws)
+    total, v = sum(c1.values()), len(c1)
+    n1, n2 = (sum(c == k for c in c1.values()) for k in (1, 2))
+    disc = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    root = {w: (c - disc) / total for w, c in c1.items()}
+    grams = [{(w,): c for w, c in c1.items() if c >= min_count}]
+    for d in range(1, depth + 1):
+        grams.append({g: c for g, c in Counter(tuple(ws[i : i + d + 1]) for ws in toks for i in range(len(ws) - d)).items() if c >= min_count})
+    kept = {}
+
+    def prob(ctx, w):
+        if not ctx:
+            return root[w]
+        if ctx in kept:
+            p, back = kept[ctx]
+            return p[w] if w in p else back * prob(ctx[1:], w)
+        return prob(ctx[1:], w)
+
+    for d in range(1, depth + 1):
+        of = defaultdict(dict)
+        for g, c in grams[d].items():
+            of[g[:-1]][g[-1]] = c
+        level = {}
+        for ctx, nxt in of.items():
+            p = {w: (c - 0.5) / grams[d - 1][ctx] for w, c in nxt.items()}
+            low = {w: prob(ctx[1:], w) for w in nxt}
+            if sum(c * math.log(p[w] / low[w]) for w, c in nxt.items()) >= min_gain and sum(p.values()) < 1 - 1e-9 and sum(low.values()) < 1 - 1e-9:
+                level[ctx] = (p, (1 - sum(p.values())) / (1 - sum(low.values())))
+        kept |= level
+        if not level:
+            break
+    unseen = max(disc * v / total, 1e-12)
+
+    def of_text(text):
+        ws, out = suffixtree.tokens((text or "").encode()), 0.0
+        for i, w in enumerate(ws):
+            back, known = 1.0, w in root
+            for d in range(min(depth, i), 0, -1):
+                ctx = tuple(ws[i - d : i])
+                if ctx in kept:
+                    p, b = kept[ctx]
+                    if w in p:
+                        back *= p[w]
+                        break
+                    back *= b
+            else:
+                back *= root[w] if known else unseen
+            out += math.log10(back)
+        return out
+
+    return of_text, kept
+
+
+def sentences(n, seed=4):
+    r = random.Random(seed)
+    parts = ["a b", "a c d", "e", "b b a", "x y z u v", "q y z u w"]
+    return [" ".join(r.choice([*parts, f"r{r.randrange(60)}"]) for _ in range(30)) for _ in range(n)]
+
+
+def test_suffix_tree_equals_plain_version(spark):
+    texts = [*sentences(80), None, "", "never seen words a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") % 4 != 0
+    want, kept = plain_tree([t for i, t in enumerate(texts) if i % 4])
+    assert {len(c) for c in kept} >= {1, 2, 3}
+    for share in (1e-9, 2e-3):
+        got = {r["doc_id"]: r["score"] for r in suffixtree.score(docs, train, word_share=share).collect()}
+        assert len(got) == len(texts)
+        if share < 1e-6:  # the whole lexicon is broadcast
+            assert all(abs(got[i] - want(t)) < 1e-6 for i, t in enumerate(texts))
+
+
 def test_suffix_tree_is_a_distribution(spark):
-    r = random.Random(4)
-    texts = [" ".join(r.choice(["a b", "a c d", "e", "b b a", f"r{r.randrange(40)}"]) for _ in range(30)) for _ in range(60)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(sentences(60))), "doc_id long, text string")
     counts = suffixtree.word_counts(docs.select("text"))
-    tree = suffixtree.learn(counts, docs.select("text"), node_share=1e-3, min_gain=1.0)
-    assert tree.kept[0].any() and tree.kept[1].any()
+    tree = suffixtree.lexicon(counts)
+    from pyspark import SparkContext
+
+    coded = docs.selectExpr("doc_id", "false as held_out", "text").mapInArrow(
+        suffixtree._code(SparkContext.getOrCreate().broadcast(tree)), "doc_id long, held_out boolean, ids binary, rare array<long>"
+    )
+    suffixtree.grow(tree, coded.select("ids"), min_gain=1.0)
+    assert len(tree.kept) >= 3 and all(k.any() for k in tree.kept[:3])
     rows = {bytes(r["word"]): r["c"] for r in counts.collect()}
     assert abs(sum((x - tree.discount) / tree.total for x in rows.values()) + tree.unseen - 1) < 1e-9
-    words = list(tree.ids)
-    # After any two words the probabilities of all words and the unseen one sum to one.
-    for a in (b"a", b"b", b"e"):
-        for b in (b"a", b"b", b"c"):
-            before = suffixtree.numbers([a, b], tree.ids)
-            total = 0.0
-            for w in [*words, b"never seen"]:
-                ids = np.append(before, tree.ids.get(w, -1))
-                log = suffixtree.known_scores(tree, ids) - suffixtree.known_scores(tree, before)
-                total += 10**log * (1 if w in tree.ids else tree.unseen)
-            assert abs(total - 1) < 1e-6
-
-
-def test_suffix_tree_rare_words_are_joined(spark):
-    r = random.Random(9)
-    texts = [" ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(50)) for _ in range(40)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
-    train = F.col("doc_id") % 4 != 0
-    key = lambda r: (r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6))
-    whole = sorted(map(key, suffixtree.score(docs, train, word_share=1e-9).collect()))
-    joined = sorted(map(key, suffixtree.score(docs, train, word_share=5e-3, node_share=5e-3).collect()))
-    alike = sorted(map(key, suffixtree.score(docs, train, word_share=1e-9, node_share=5e-3).collect()))
-    assert len(whole) == 41 and joined == alike and [x[:3] for x in joined] == [x[:3] for x in whole]
+    # After any three words the probabilities of all words and the unseen one sum to one.
+    for before in ([b"a", b"b"], [b"x", b"y", b"z"], [b"q", b"y", b"z", b"u"], [b"e"]):
+        ids = suffixtree.numbers(before, tree.ids)
+        total = 0.0
+        for w in [*tree.ids, b"never seen"]:
+            log = suffixtree.known_scores(tree, np.append(ids, tree.ids.get(w, -1)))[-1]
+            total += 10**log * (1 if w in tree.ids else tree.unseen)
+        assert abs(total - 1) < 1e-6
+
+
+def test_suffix_tree_limits_its_nodes(spark):
+    docs = spark.createDataFrame(list(enumerate(sentences(60))), "doc_id long, text string")
+    whole = suffixtree.score(docs, F.lit(True)).agg(F.sum("score")).first()[0]
+    few = suffixtree.score(docs, F.lit(True), most=10).agg(F.sum("score")).first()[0]
+    assert few < whole < 0
 
 
 def test_suffix_tree_edges(docs, empty):
