@@ -21,8 +21,13 @@ REPEAT = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: At most this share of the good documents of a stratum may be rejected, at this overall confidence.
 RISK, DELTA = 0.02, 0.05
-#: Candidate settings, mildest first: the share of a stratum's good training documents above a rule's cutoff.
-LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.003)
+#: Where a cutoff lies between the greatest value of the good documents that propose and the median of the bad ones
+#: above that: settings go from the safest to the strictest.
+LEVELS = (0.5, 0.25, 0.0)
+#: One labelled document in so many proposes, the others decide.
+PROPOSE = 4
+#: Strata whose cutoffs are broadcast at most; more are joined.
+FEW_STRATA = 10_000
 #: Rules: a document is rejected if one of these exceeds its cutoff.
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "shout_share", "top_word_share")
 
@@ -113,38 +118,81 @@ def upper_bound(x: int, n: int, delta: float) -> float:
     return high
 
 
-def _rejects(level: int) -> Column:
-    exceeded = [F.col(r) > F.col("cuts")[level][i] for i, r in enumerate(RULES)]
-    out = exceeded[0]
-    for e in exceeded[1:]:
-        out = out | e
-    return F.coalesce(out, F.lit(False))
+def _rejects(cuts: Column) -> Column:
+    out = F.lit(False)
+    for i, r in enumerate(RULES):
+        out = out | F.coalesce(F.col(r) > cuts[i], F.lit(False))
+    return out
 
 
-def cutoffs(
-    labelled: DataFrame, risk: float = RISK, delta: float = DELTA, levels: tuple = LEVELS
-) -> DataFrame:
-    """Certified cutoffs of each stratum: ``(stratum, cuts, level, n_good, n_rejected, bound)``.
+def settings_of(caught: list[int], tops: list[float | None], medians: list[float | None], levels: tuple = LEVELS) -> list[list[float]]:
+    """Cutoffs by setting and rule, each setting rejecting what the one before does and more.
 
-    ``labelled`` has ``doc_id, stratum, good`` and the rules' values. Half of the labelled documents, by a hash of the
-    id, propose: setting j puts each rule's cutoff at the ``1 - levels[j]`` quantile of the stratum's good documents.
-    The other half decides: the settings are tested in their order, mildest first, and the last one before the first
-    whose exact upper bound of the false rejections exceeds ``risk`` is taken. Such a fixed sequence needs no
-    correction within a stratum; over the strata ``delta`` is divided by their number. A stratum in which not even
-    the mildest passes, for want of labels, is not in the result.
+    Rules come in, at the safest level, in the order of the bad documents that they catch, ties in their own order; then
+    all of them move on to the next levels. A rule that catches none has an infinite cutoff.
     """
-    half = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(2))
-    good = labelled.where("good").withColumn("half", half)
-    shares = [1 - x for x in levels]
-    quantiles = [F.percentile_approx(r, F.lit(shares), 100_000).alias(r) for r in RULES]
-    proposed = good.where("half = 0").groupBy(F.col("stratum").alias("_s")).agg(*quantiles)
-    cuts = F.array(*[F.array(*[F.col(r)[j] for r in RULES]) for j in range(len(levels))])
-    proposed = proposed.select("_s", cuts.alias("cuts"))
-    tested = good.where("half = 1")
-    tested = tested.join(proposed, tested["stratum"].eqNullSafe(proposed["_s"]))
-    wrong = [F.count_if(_rejects(j)).alias(f"x{j}") for j in range(len(levels))]
-    counts = tested.groupBy("stratum", "cuts").agg(F.count("*").alias("n"), *wrong)
-    strata = labelled.select("stratum").distinct().count()
+    useful = sorted((i for i in range(len(RULES)) if caught[i]), key=lambda i: (-caught[i], i))
+    cut_at = lambda i, level: tops[i] + level * (medians[i] - tops[i])
+    out = []
+    for k in range(1, len(useful) + 1):
+        out.append([cut_at(i, levels[0]) if i in useful[:k] else math.inf for i in range(len(RULES))])
+    out += [[cut_at(i, x) if i in useful else math.inf for i in range(len(RULES))] for x in levels[1:] if useful]
+    return out
+
+
+def chosen(wrong: list[int], n: int, risk: float, delta: float) -> int:
+    """The last setting before the first whose exact bound of the false rejections exceeds ``risk``; -1 for none."""
+    for j, x in enumerate(wrong):
+        if upper_bound(x, n, delta) > risk:
+            return j - 1
+    return len(wrong) - 1
+
+
+def proposes(id_col: str = "doc_id") -> Column:
+    """Whether a labelled document proposes; the others decide."""
+    return F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(PROPOSE)) == 0
+
+
+def cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Certified cutoffs: ``(pooled, stratum, cuts, level, n_good, n_rejected, bound)``, the pooled ones with a null stratum.
+
+    ``labelled`` has ``doc_id, stratum, good`` and the rules' values. A part of the labelled documents, by a hash of the
+    id, proposes the settings of each stratum, and of all strata pooled: see ``settings_of``. The others decide: the
+    settings are tested in their order, and the last one before the first whose exact upper bound of the false rejections
+    exceeds ``risk`` is taken. Such a fixed sequence needs no correction within a stratum; over the strata and the pool
+    ``delta`` is divided by their number. Where not even the first setting passes, for want of labels, there is no row.
+    Null strata are one stratum. No labels give no rows.
+    """
+    every = labelled.withColumn("pooled", F.explode(F.array(F.lit(False), F.lit(True))))
+    every = every.withColumn("stratum", F.when(~F.col("pooled"), F.col("stratum"))).withColumn("part", proposes())
+    every = cut(every.select("pooled", "stratum", "good", "part", *RULES))
+    same = lambda a, b: a["stratum"].eqNullSafe(b["_s"]) & (a["pooled"] == b["_p"])
+    first = every.where("part")
+    group = [F.col("stratum").alias("_s"), F.col("pooled").alias("_p")]
+    tops = first.groupBy(*group).agg(*[F.max(F.when(F.col("good"), F.col(r))).alias(f"top_{r}") for r in RULES])
+    beyond = first.join(tops, same(first, tops)).where("not good")
+    over = [F.when(F.col(r) > F.col(f"top_{r}"), F.col(r)) for r in RULES]
+    bad = beyond.groupBy("_s", "_p", *[f"top_{r}" for r in RULES]).agg(
+        F.array(*[F.count(c) for c in over]).alias("caught"), F.array(*[F.percentile(c, 0.5) for c in over]).alias("medians")
+    )
+    bad = bad.select("_s", "_p", F.array(*[F.col(f"top_{r}") for r in RULES]).alias("tops"), "caught", "medians")
+
+    def propose(frames):
+        import pandas as pd
+
+        for f in frames:
+            plain = lambda xs: [None if x is None or x != x else float(x) for x in xs]
+            rows = [(r["_s"], bool(r["_p"]), settings_of([int(c) for c in r["caught"]], plain(r["tops"]), plain(r["medians"]))) for r in f.to_dict("records")]
+            yield pd.DataFrame([r for r in rows if r[2]], columns=["_s", "_p", "settings"])
+
+    proposed = cut(bad.mapInPandas(propose, "_s string, _p boolean, settings array<array<double>>"))
+    tested = every.where("good and not part")
+    tested = tested.join(proposed, same(tested, proposed))
+    most = len(RULES) + len(LEVELS) - 1
+    wrong = [F.count_if((F.size("settings") > j) & _rejects(F.try_element_at("settings", F.lit(j + 1)))) for j in range(most)]
+    counts = tested.groupBy("_s", "_p").agg(F.count("*").alias("n"), F.array(*wrong).alias("wrong"))
+    counts = counts.join(proposed.select(F.col("_s").alias("s2"), F.col("_p").alias("p2"), "settings"), F.col("_s").eqNullSafe(F.col("s2")) & (F.col("_p") == F.col("p2")))
+    share = delta / (labelled.select("stratum").distinct().count() + 1)
 
     def certify(frames):
         import pandas as pd
@@ -152,40 +200,37 @@ def cutoffs(
         for f in frames:
             rows = []
             for r in f.to_dict("records"):
-                taken = None
-                for j in range(len(levels)):
-                    bound = upper_bound(r[f"x{j}"], r["n"], delta / max(strata, 1))
-                    if bound > risk:
-                        break
-                    taken = (r["stratum"], r["cuts"][j], j, r["n"], r[f"x{j}"], bound)
-                if taken:
-                    rows.append(taken)
-            yield pd.DataFrame(rows, columns=["stratum", "cuts", "level", "n_good", "n_rejected", "bound"])
-
-    return counts.mapInPandas(
-        certify, "stratum string, cuts array<double>, level int, n_good long, n_rejected long, bound double"
-    )
+                wrong, n = [int(x) for x in r["wrong"]][: len(r["settings"])], int(r["n"])
+                j = chosen(wrong, n, risk, share)
+                if j >= 0:
+                    cuts = [float(x) for x in r["settings"][j]]
+                    rows.append((bool(r["_p"]), r["_s"], cuts, j, n, wrong[j], upper_bound(wrong[j], n, share)))
+            yield pd.DataFrame(rows, columns=["pooled", "stratum", "cuts", "level", "n_good", "n_rejected", "bound"])
+
+    schema = "pooled boolean, stratum string, cuts array<double>, level int, n_good long, n_rejected long, bound double"
+    return counts.select("_s", "_p", "n", "wrong", "settings").mapInPandas(certify, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)`` of every row.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 is good); a document counts as good if it is labelled so by any of
-    its labels, other documents do not take part in the test. ``kept`` is false if the base rule fails or a certified
-    rule of the document's stratum rejects. Strata without a certified setting lose documents by the base rule alone.
-    Null strata are one stratum; null texts have no words and fail. Repeated rows stay, no rows give no rows, other
-    columns are ignored.
+    its labels, as bad if by none; others do not take part in the test. ``kept`` is false if the base rule fails or a
+    certified rule of the document's stratum rejects. Strata without a certified setting of their own take that of all
+    strata pooled, whose bound is one of the pool and not of each of them; without that either, they lose documents by
+    the base rule alone. Null strata are one stratum; null texts have no words and fail. Repeated rows stay, no rows give
+    no rows, other columns are ignored.
     """
     rows = cut(measures(docs, stratum_col=stratum_col))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", base)
     known = labels.groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") == 1).alias("good"))
     found = rows.where("not base_failed").join(known, F.col("doc_id") == F.col("_id"))
-    certified = cut(cutoffs(found.where("good is not null"), risk, delta)).select(F.col("stratum").alias("_s"), "cuts")
-    out = rows.join(certified, rows["stratum"].eqNullSafe(certified["_s"]), "left")
-    exceeded = [F.col(r) > F.col("cuts")[i] for i, r in enumerate(RULES)]
-    bad = exceeded[0]
-    for e in exceeded[1:]:
-        bad = bad | e
-    kept = ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))
+    certified = cut(cutoffs(found.where("good is not null"), risk, delta))
+    own = certified.where("not pooled").select(F.col("stratum").alias("_s"), "cuts")
+    own = F.broadcast(own) if own.count() <= FEW_STRATA else own
+    pooled = certified.where("pooled").select("cuts").first()
+    shared = F.array(*[F.lit(float(x)) for x in (pooled["cuts"] if pooled else [math.inf] * len(RULES))])
+    out = rows.join(own, rows["stratum"].eqNullSafe(own["_s"]), "left")
+    kept = ~F.col("base_failed") & ~_rejects(F.coalesce("cuts", shared))
     return out.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), *RULES)

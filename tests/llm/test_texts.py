@@ -1,6 +1,7 @@
 """Operators that work text by text: BPE, language ID, HTML, quality measures."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -182,6 +183,54 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert len(kept & set(range(2000))) > 1960 and not kept & set(range(2000, 2200))
 
 
+def plain_verdicts(rows, risk=quality.RISK, delta=quality.DELTA):
+    """The kept ids from (id, stratum, base_failed, good or None, proposes, values), step by step."""
+    from statistics import median
+
+    labelled = [r for r in rows if not r[2] and r[3] is not None]
+    strata = {r[1] for r in labelled}
+    found = {}
+    for key in [("own", s) for s in strata] + [("all", None)]:
+        mine = [r for r in labelled if key[0] == "all" or r[1] == key[1]]
+        first, test = [r for r in mine if r[4]], [r for r in mine if not r[4] and r[3]]
+        good, bad = [r[5] for r in first if r[3]], [r[5] for r in first if not r[3]]
+        k = len(quality.RULES)
+        tops = [max((g[i] for g in good), default=math.inf) for i in range(k)]
+        over = [[b[i] for b in bad if b[i] > tops[i]] for i in range(k)]
+        order = sorted((i for i in range(k) if over[i]), key=lambda i: (-len(over[i]), i))
+        steps = [(order[: j + 1], quality.LEVELS[0]) for j in range(len(order))] + [(order, x) for x in quality.LEVELS[1:] if order]
+        for rules, level in steps:
+            cuts = {i: tops[i] + level * (median(over[i]) - tops[i]) for i in rules}
+            wrong = sum(any(r[5][i] > c for i, c in cuts.items()) for r in test)
+            if not test or quality.upper_bound(wrong, len(test), delta / (len(strata) + 1)) > risk:
+                break
+            found[key] = cuts
+    out = set()
+    for r in rows:
+        cuts = found.get(("own", r[1]), found.get(("all", None), {}))
+        if not r[2] and not any(r[5][i] > c for i, c in cuts.items()):
+            out.add(r[0])
+    return out, found
+
+
+def test_quality_verdict_equals_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    good = {}
+    for r in labels.collect():
+        good[r["doc_id"]] = good.get(r["doc_id"], False) or r["quality"] == 1
+    first = {r["doc_id"] for r in docs.where(quality.proposes()).select("doc_id").collect()}
+    out = quality.judge(docs, labels).collect()
+    rows = [(r["doc_id"], lang[r["doc_id"]], r["base_failed"], good.get(r["doc_id"]), r["doc_id"] in first, [r[x] for x in quality.RULES]) for r in out]
+    kept, found = plain_verdicts(rows)
+    assert {r["doc_id"] for r in out if r["kept"]} == kept and found
+    decided = [r for r in out if not r["base_failed"] and not r["kept"]]
+    assert decided  # the method itself rejects documents here
+    judged = [r for r in out if good.get(r["doc_id"]) and not r["base_failed"]]
+    assert sum(not r["kept"] for r in judged) / len(judged) < 0.02
+
+
 def test_quality_edges(docs, empty, spark):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (4, None, 1)], "doc_id long, quality int, toxic int")
     assert len(quality.judge(docs, labels).collect()) == len(ROWS)
