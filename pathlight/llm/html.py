@@ -30,20 +30,30 @@ _INLINE = frozenset(
 #: Elements that hold no main text.
 _NOISE = frozenset(
     "nav aside footer form script style noscript template svg math iframe object embed button select textarea input "
-    "dialog menu head title canvas audio video noembed noframes datalist fieldset".split()
+    "dialog menu head title canvas audio video noembed noframes datalist".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of class and id names that mark parts around the main text.
+#: Words of class and id names that mark parts around the main text, alone or with any others.
 _NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion "
     "promoted sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies consent "
-    "gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related "
-    "recommended recommendations comment comments disqus reply replies respond widget toolbar pagination pager "
-    "copyright login signup search skip alert paywall outbrain taboola".split()
+    "gdpr popup modal newsletter recommended recommendations comment comments disqus widget toolbar pagination pager "
+    "copyright signup paywall outbrain taboola".split()
+)
+#: Words that mark such a part alone or beside each other and the companions: ``share-price`` is text, ``share-bar`` not.
+_DOUBTFUL = frozenset(
+    "notice notices overlay subscribe subscription share sharing social related reply replies respond login search skip alert".split()
+)
+_COMPANIONS = frozenset(
+    "bar box block button buttons link links list item items icon icons area section wrapper wrap container holder inner outer "
+    "post posts article articles story stories page site content main top bottom left right header form panel group "
+    "media tools tool field input to us this on follow the more also by you see read stack row col column".split()
 )
 _MAIN_NAMES = frozenset("content article main post entry story body text page wrapper container".split())
 #: A name that starts so says what a part has or lacks, not what it is.
 _ABOUT = frozenset("with has no without non not show hide is".split())
+#: Blocks of text.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table".split())
 _READER = frozenset("comment comments reply replies related promo sponsored ad advert respond disqus".split())
 #: A start tag ends the open elements named here.
 _ENDS = {
@@ -128,6 +138,13 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(text)} if text.strip() else {}
 
 
+def _names_noise(parts: list[str]) -> bool:
+    """Whether the words of one class or id name mark a part around the main text."""
+    if not _NOISE_NAMES.isdisjoint(parts):
+        return True
+    return not _DOUBTFUL.isdisjoint(parts) and all(p in _DOUBTFUL or p in _COMPANIONS or p.isdigit() for p in parts)
+
+
 def _is_noise(node: Node, in_article: bool, has_main: bool) -> bool:
     tag = node.tag
     if tag in _NOISE:
@@ -146,7 +163,7 @@ def _is_noise(node: Node, in_article: bool, has_main: bool) -> bool:
     reader = any(not _READER.isdisjoint(parts) for parts in names)
     if tag == "article":
         return reader
-    noisy = [not _NOISE_NAMES.isdisjoint(parts) for parts in names]
+    noisy = [_names_noise(parts) for parts in names]
     main = any(not n and not _MAIN_NAMES.isdisjoint(parts) for n, parts in zip(noisy, names, strict=True))
     if any(noisy):
         return not has_main and (reader or not main)
@@ -244,20 +261,29 @@ def _emit(node: Node, threshold: float, blocks: list[str]) -> None:
 
 
 def _with_dense_parts(best: Node, threshold: float) -> Node:
-    """The body, reduced to the densest subtree, what beside its path is as dense as ``threshold``, and headings before.
+    """The body, reduced to the densest subtree, the text beside its path, and what else is as dense as ``threshold``.
 
-    Text that stands bare beside the path is left out.
+    Inside the boxes around the densest subtree paragraphs, headings, lists and quotations are text of the same article,
+    and so is what stands bare; directly in the body, among other boxes of the page, only headings before are, and what
+    is as dense, a bare text having its characters for a density. Other boxes have to be as dense anywhere.
     """
     x = best
     while x.up is not None:
-        before, kept = True, []
+        outermost, before, kept = x.up.up is None, True, []
         for c in x.up.parts:
             if c is x:
                 before = False
                 kept.append(c)
-            elif isinstance(c, Node) and not c.noise and c.tag not in _INLINE:
-                if c.density >= threshold or before and c.tag in ("h1", "h2"):
+            elif isinstance(c, str):
+                if not outermost or len(" ".join(c.split())) >= threshold:
+                    kept.append(c)
+            elif c.noise:
+                continue
+            elif c.tag in _INLINE or c.tag == "br":
+                if not outermost or not c.link_chars and c.chars >= threshold:
                     kept.append(c)
+            elif c.density >= threshold or before and c.tag in ("h1", "h2") or not outermost and c.tag in _TEXT:
+                kept.append(c)
         x.up.parts = kept
         x = x.up
     return x
@@ -294,9 +320,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Noise elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are
     told by element, role and names; among the rest the subtree of the greatest sum of child densities is the main
-    text, with the threshold of the least density on its path to the body. A null or empty page, or one without main
-    text, gives an empty text. Character references are decoded; white space in a block becomes one blank. Pages that
-    are no valid HTML are repaired, of any depth. Repeated rows stay; no rows give no rows; other columns are ignored.
+    text, with the threshold of the least density on its path to the body. An article or main part around that subtree
+    belongs to it as a whole, but for boxes and lists of three links or more that are less dense than the threshold. A
+    line break ends a block. A null or empty page, or one without main text, gives an empty text. Character references
+    are decoded; white space in a block becomes one blank. Pages that are no valid HTML are repaired, of any depth.
+    Repeated rows stay; no rows give no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

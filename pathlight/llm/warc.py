@@ -22,6 +22,10 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from pathlight.llm.similar import small_side
+from pathlight.operators.skew import LEAST, PARTS
+from pathlight.plans.lineage import cut
+
 #: Bytes of a payload in one row.
 CHUNK = 1 << 20
 #: An archive file is closed once it has this many bytes.
@@ -42,6 +46,7 @@ def base32_sha1(digest: bytes) -> str:
 class Writer(DataSourceArrowWriter):
     """Writes chunk rows as they come: a record's header with its first chunk, the other chunks after it.
 
+    A running SHA-1 goes over the chunks of a response and must be the announced digest at its last one.
     Each task writes files of its own below ``_temporary``; the commit on the driver moves those of the tasks that
     succeeded, so a lost executor or a repeated task leaves no record twice.
     """
@@ -58,8 +63,12 @@ class Writer(DataSourceArrowWriter):
         def put(data: bytes) -> None:
             out.write(packer.compress(data))
 
+        so_far, wanted = hashlib.sha1(), None
+
         def end_record() -> None:
             nonlocal packer
+            if wanted is not None and base32_sha1(so_far.digest()) != wanted:
+                raise ValueError(f"the chunks of a record have the digest {base32_sha1(so_far.digest())}, not {wanted}")
             if packer is not None:
                 put(b"\r\n\r\n")
                 out.write(packer.flush())
@@ -79,7 +88,10 @@ class Writer(DataSourceArrowWriter):
                         out = fs.open_output_stream(f"{root}/_temporary/{done[-1]}", compression=None)
                     packer = zlib.compressobj(self.level, zlib.DEFLATED, 31)
                     put(header(row))
-                put(cols["chunk"][i].as_py() or b"")
+                    so_far, wanted = hashlib.sha1(), row["payload_digest"] if row["record_type"] == "response" else None
+                data = cols["chunk"][i].as_py() or b""
+                so_far.update(data)
+                put(data)
         end_record()
         if out is not None:
             out.close()
@@ -242,15 +254,16 @@ def record_table(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> Da
     The payload is the html in UTF-8, null as empty. Of the pages with an equal payload of ``min_bytes`` bytes or more
     the one with the smallest id is a response, the others are revisits without a body that refer to it. Repeated
     rows of that smallest id are responses all. A null id is never the smallest; pages that have only null ids are
-    responses. Payloads over ``chunk`` bytes become rows ``chunk_no`` 0, 1, ... of one record. Other columns are
-    ignored; no rows give no rows.
+    responses. Payloads over ``chunk`` bytes become rows ``chunk_no`` 0, 1, ... of one record; the digests that join
+    the pages are of the payload's digest and length, so payloads are not shuffled. Other columns are ignored; no rows
+    give no rows.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"))
     groups = rows.where(F.col("n") >= min_bytes).groupBy(F.col("sha1").alias("_sha1"), F.col("n").alias("_n"))
-    first = groups.agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1 and first is not null")
-    joined = rows.join(first, (rows["sha1"] == first["_sha1"]) & (rows["n"] == first["_n"]), "left")
+    first = cut(groups.agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1 and first is not null"))
+    joined = _with_first(rows, first)
     again = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
     body = F.when(again, F.lit(b"")).otherwise(F.col("payload"))
     kept = joined.select(
@@ -271,8 +284,31 @@ def record_table(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> Da
     )
 
 
+def _with_first(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """``rows`` with the ``first`` page of their payload, null for single ones; payloads stay where they are.
+
+    Beyond the number of repeated payloads that may be broadcast the rows are shuffled, but for those of the payloads
+    that very many pages have.
+    """
+    told = small_side(first)
+    if told is not first:
+        return rows.join(told, (rows["sha1"] == told["_sha1"]) & (rows["n"] == told["_n"]), "left")
+    limit = max(LEAST, (first.agg(F.sum("k")).first()[0] or 0) / PARTS)
+    hot = F.broadcast(first.where(F.col("k") > limit).select(F.col("_sha1").alias("_hs"), F.col("_n").alias("_hn"), F.col("first").alias("_hot")))
+    cold = first.where(F.col("k") <= limit)
+    rows = rows.join(hot, (rows["sha1"] == hot["_hs"]) & (rows["n"] == hot["_hn"]), "left")
+    key = F.when(F.col("_hot").isNull(), F.col("sha1")).otherwise(F.concat("sha1", F.lit(":"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    rows = rows.withColumn("_key", key)
+    joined = rows.join(cold, (rows["_key"] == cold["_sha1"]) & (rows["n"] == cold["_n"]), "left")
+    return joined.withColumn("first", F.coalesce("_hot", "first")).drop("_hot", "_hs", "_hn", "_key")
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, chunk: int = CHUNK, roll: int = ROLL) -> None:
-    """Write a record for each page below ``folder``, a URI that the executors share."""
+    """Write a record for each page below ``folder``, a URI that the executors share.
+
+    Null html is an empty payload, null urls give no target, repeated rows and null ids a record each, which then have
+    one id; no rows give no archive, other columns are ignored. The cases are those of ``record_table``.
+    """
     register(pages.sparkSession)
     table = record_table(pages, min_bytes, chunk)
     table.write.format("pathlight_warc").mode("append").option("roll", roll).save(folder)

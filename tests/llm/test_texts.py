@@ -263,3 +263,50 @@ def test_html_layouts():
     assert html.main_text(page(f"<table><tr><td>{nav}<td><h1>Title</h1>{body}</table>")) == want
     links = "<ul><li><a href=1>Some other story of ours</a><li><a href=2>And yet another story</a><li><a href=3>More stories</a></ul>"
     assert html.main_text(page(f"<article><h1>Title</h1>{body}{links}</article>")) == want
+
+
+def plain_densities(order):
+    """Composite text density and its sums as defined, node by node."""
+    out, body = {}, order[0]
+    for x in order:
+        links = max(x.links, 1)
+        free, tags, linked = max(x.chars - x.link_chars, 1), max(x.tags, 1), max(x.link_chars, 1)
+        if x.chars:
+            low = math.log(x.chars / free * x.link_chars + body.link_chars / max(body.chars, 1) * x.chars + math.e)
+            out[id(x)] = x.chars / tags * max(math.log(max(x.chars / linked * tags / links, 1.0)) / low, 0.0)
+        else:
+            out[id(x)] = 0.0
+    sums = {}
+    for x in order:
+        kids = [out[id(c)] for c in x.parts if isinstance(c, html.Node) and not c.noise and c.tag not in html._INLINE and c.tag != "br"]
+        sums[id(x)] = sum(kids) if kids else out[id(x)]
+    return out, sums
+
+
+def test_html_densities_equal_plain_ones(spark, sf):
+    for page in [PAGE, *[r["html"] for r in table(spark, sf, "pages").limit(40).collect()]]:
+        root = html.parse(page)
+        html._mark(root)
+        order = html._measure(root)
+        html._densities(order)
+        density, sums = plain_densities(order)
+        assert all(abs(x.density - density[id(x)]) < 1e-9 and abs(x.total - sums[id(x)]) < 1e-9 for x in order)
+
+
+def test_html_text_beside_the_densest_part():
+    long = "This sentence is repeated to make a paragraph that is as long as those of real articles are. "
+    page = f"<body><div class=post><p>{long * 2}</p><div><p>{long * 3}</p><p>{long * 3}</p></div><p>The end.</p></div><div><p>Short bit</p></div></body>"
+    assert html.main_text(page).split("\n") == [x.strip() for x in (long * 2, long * 3, long * 3, "The end.")]
+    bare = f"<body><div>Bare intro of the text <b>here</b> <div><p>{long * 3}</p><p>{long * 3}</p></div></div></body>"
+    assert html.main_text(bare).startswith("Bare intro of the text here\n")
+    named = f"<article><div class=share-price><p>{long}</p></div><section class='related-work'><p>{long}</p></section><fieldset><p>{long}</p></fieldset><div class=share-buttons>Share</div></article>"
+    assert html.main_text(named).split("\n") == [long.strip()] * 3
+
+
+def test_html_density_chooses_among_boxes():
+    """Boxes without telling names or elements: the densest one is the text; with densities left out another would be."""
+    menu = "".join(f"<p><a href=/{i}>Entry number {i} of a long list of links to other pages of this site</a></p>" for i in range(12))
+    text = "<p>" + "Plain sentences without any link make up the text of this page and nothing else. " * 4 + "</p>"
+    page = f"<body><div>{menu}</div><div>{text}{text}</div></body>"
+    out = html.main_text(page)
+    assert out.count("Plain sentences") == 8 and "Entry" not in out
