@@ -269,7 +269,7 @@ def test_absolute_run_is_within_eps(spark):
     assert row["graph_name"] == "g" and row["m"] == result.metrics["m"]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", [0, 1])
 def test_graphs_of_small_diameter_keep_their_guarantee(spark, seed):
     """A star's paths have one internal node, a ring's of five as well; the complete graph's have none."""
     shapes = {"star": [(0, i) for i in range(1, 10)], "ring": [(i, (i + 1) % 5) for i in range(5)], "complete": [(i, j) for i in range(5) for j in range(i)]}
