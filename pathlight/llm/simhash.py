@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pathlight.llm import similar
 from pathlight.llm.common import as_bytes, pieces
 from pathlight.operators.components import connected_components
+from pathlight.operators.skew import split_join
 from pathlight.plans.lineage import cut
 
 #: Words of a shingle, seed of the hash, differing bits of a link.
@@ -112,14 +113,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component of null ids alone has a null id. No rows: no rows. Other columns are ignored.
     """
     prints = cut(with_fingerprints(docs, id_col, text_col, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     parts = connected_components(links(nodes.select("fp")))
     roots = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("root")
+        "fp", "low", "n", F.coalesce("component", "fp").alias("root")
     )
-    smallest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = roots.join(smallest, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    smallest = roots.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    # Fingerprints of thousands of copies, and components of thousands of fingerprints, are told to all tasks.
+    of = cut(split_join(cut(roots), cut(smallest), ["root"], "members").select("fp", "component_id", "n"))
+    return split_join(prints, of, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, order=None) -> DataFrame:
@@ -162,7 +164,7 @@ def _similar_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int
     a, b = (nodes.select(F.col("sk").alias(x), F.col("fp").alias(y)) for x, y in (("a", "src"), ("b", "dst")))
     # Equal sets have one fingerprint unless shingles are repeated; those few more hang on the least.
     few = cut(nodes.where("fp <> other").select("sk", F.col("fp").alias("dst")))
-    same = some.select("sk", F.col("fp").alias("src")).join(similar.small_side(few), "sk").select("src", "dst")
+    same = some.select("sk", F.col("fp").alias("src")).distinct().join(similar.small_side(few), "sk").select("src", "dst")
     ends = pairs.join(a, "a").join(b, "b").select("src", "dst")
     return ends.unionByName(same).where("src <> dst").distinct()
 
