@@ -46,3 +46,18 @@ def running_sum_before(df: DataFrame, group: str, order: list[Column], value: st
     local = placed.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = local.join(offsets, local[group].eqNullSafe(offsets["_g"]) & (local["_part"] == offsets["_p"]))
     return joined.withColumn(name, F.col("_off") + F.col("_in")).drop("_at", "_part", "_in", "_off", "_g", "_p")
+
+
+def with_next(df: DataFrame, order: list[Column], names: list[str]) -> DataFrame:
+    """Add ``next_<name>`` for each of ``names``: its value in the row that follows in ``order``, null after the last.
+
+    A window runs only inside one range partition; what follows its last row is the first row of the next partition
+    that has any, found among one small row for each partition.
+    """
+    placed = _ordered(df, order).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    row = F.struct(*names)
+    firsts = placed.groupBy("_part").agg(F.min_by(row, "_at").alias("_first"))
+    after = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_over"))
+    local = placed.withColumn("_in", F.lead(row).over(Window.partitionBy("_part").orderBy("_at")))
+    joined = local.join(after, "_part").withColumn("_next", F.coalesce("_in", "_over"))
+    return joined.select(*df.columns, *[F.col(f"_next.{name}").alias(f"next_{name}") for name in names])

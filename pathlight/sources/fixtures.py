@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathlight.operators.ranking import global_row_number, with_next
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,25 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def user_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed: from each purchaser over 40 to the next one by time."""
     bought = _table(spark, sf_dir, "events").where("event_type = 'purchase' and value > 40")
-    nxt = F.lead("user_id").over(Window.orderBy("ts", "event_id"))
-    return bought.select(F.col("user_id").alias("src"), nxt.alias("dst")).where("src <> dst").distinct()
+    rows = with_next(bought.select("user_id", "ts", "event_id"), [F.col("ts"), F.col("event_id")], ["user_id"])
+    return rows.select(F.col("user_id").alias("src"), F.col("next_user_id").alias("dst")).where("src <> dst").distinct()
 
 
 def user_gap(spark: SparkSession, sf_dir: str, minutes: int) -> DataFrame:
     """Directed: from each purchaser to the next one if less than ``minutes`` later."""
     bought = _table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    order = Window.orderBy("ts", "event_id")
-    rows = bought.select(
-        F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst"), (F.lead("ts").over(order) - F.col("ts")).alias("gap")
-    )
-    return rows.where((F.col("src") != F.col("dst")) & (F.col("gap") < F.expr(f"interval {minutes} minute"))).select("src", "dst").distinct()
+    rows = with_next(bought.select("user_id", "ts", "event_id"), [F.col("ts"), F.col("event_id")], ["user_id", "ts"])
+    near = rows.where((F.col("next_ts") - F.col("ts")) < F.expr(f"interval {minutes} minute"))
+    return near.select(F.col("user_id").alias("src"), F.col("next_user_id").alias("dst")).where("src <> dst").distinct()
 
 
 def cust_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed: consecutive customers of finished urgent orders."""
     done = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderpriority like '1%'")
-    nxt = F.lead("o_custkey").over(Window.orderBy("o_orderdate", "o_orderkey"))
-    return done.select(F.col("o_custkey").alias("src"), nxt.alias("dst")).where("src <> dst").distinct()
+    rows = with_next(done.select("o_custkey", "o_orderdate", "o_orderkey"), [F.col("o_orderdate"), F.col("o_orderkey")], ["o_custkey"])
+    return rows.select(F.col("o_custkey").alias("src"), F.col("next_o_custkey").alias("dst")).where("src <> dst").distinct()
 
 
 def geo_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,5 @@ def page_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir, "pages").select(
         "page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("address")
     )
-    from pathlight.operators.ranking import global_row_number
-
     ids = global_row_number(found.select("address").distinct(), [F.col("address")], "at")
     return found.join(ids, "address").select(F.col("page_id").alias("src"), (F.col("at") + 1_000_001).alias("dst")).distinct()
