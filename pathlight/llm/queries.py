@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlight.llm import bpe, euclid, html, langid, mixing, quality, simhash, suffix, suffixtree, warc
+from pathlight.llm import bpe, euclid, html, langid, lines, mixing, quality, resample, simhash, suffix, suffixtree, warc
 from pathlight.llm.common import id_remainder, table
 from pathlight.plans.lineage import scratch_path
 
@@ -66,6 +66,16 @@ def op10_efraimidis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_repeated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op13_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +89,8 @@ QUERIES = {
         op8_bpe_segment_tree,
         op9_suffix_tree_score,
         op10_efraimidis_mix,
+        op12_range_lines,
+        op13_crc_resampling,
     )
 }
 
@@ -89,7 +101,52 @@ _BASE32 = " || ".join(
     for shift in (15, 10, 5, 0)
 )
 
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+#: CRC-32 of the bytes ``b``, half a byte at a time, by the 16 remainders of the reversed polynomial.
+_NIBBLES = ", ".join(str(x) for x in (lambda step: [step(step(step(step(i)))) for i in range(16)])(lambda c: (c >> 1) ^ (0xEDB88320 * (c & 1))))
+_HALF = "xor({c} >> 4, ([{t}])[(xor({c}, {b}) & 15) + 1])"
+_CRC = "xor(list_reduce(b, lambda c, x: " + _HALF.format(c=_HALF.format(c="c", b="x", t=_NIBBLES), b="(x >> 4)", t=_NIBBLES) + ", 4294967295), 4294967295)"
+
+
+def _features(source: str, id_: str) -> str:
+    """``(id, w, f)``: the words of every text and its runs of one to three words."""
+    runs = " || ".join(f"list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))" for k in (1, 2, 3))
+    words = f"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"(select id, len(w) n_words, {runs} f from (select {id_} id, {words} w from {source}))"
+
+
 SQL = {
+    "op12_range_lines": f"""
+        with l as (
+               select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos from documents),
+             k as (
+               select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_UPPER}, {_LOWER}) key from l),
+             g as (select key, min(doc_id) first from k where length(key) >= 10 group by key),
+             d as (select doc_id, pos, line, first is not null and doc_id <> first dropped from k left join g using (key))
+        select doc_id, count(*)::bigint n_lines, (count(*) filter (dropped))::bigint n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) kept_sha256
+        from d group by doc_id""",
+    "op13_crc_resampling": f"""
+        with d as materialized {_features("documents", "doc_id")}, t as materialized {_features("benchmark", "null")},
+             df as materialized (select id, unnest(f) f from d), tf as materialized (select unnest(f) f from t),
+             known as (select f, hex(encode(f)) h from (select f from df union select f from tf)),
+             coded as (select f, list_transform(range(1, len(h)::bigint, 2), lambda i: ('0x' || substr(h, i, 2))::bigint) b from known),
+             crc as materialized (select f, ({_CRC}) % 10000 bucket from coded),
+             s as (select bucket, count(*) s from df join crc using (f) group by bucket),
+             u as (select bucket, count(*) t from tf join crc using (f) group by bucket),
+             gain as materialized (
+               select i bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((select count(*) from df) + 10000)::double)
+                 / ((coalesce(s, 0) + 1)::double * ((select count(*) from tf) + 10000)::double)))::bigint gain
+               from range(10000) r(i) left join s on s.bucket = i left join u on u.bucket = i),
+             w as (select id, sum(gain)::bigint weight from df join crc using (f) join gain using (bucket) group by id),
+             scored as materialized (
+               select id doc_id, n_words, len(f)::bigint n_features, coalesce(weight, 0)::bigint weight,
+                      coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint score
+               from d left join w using (id)),
+             r as (select doc_id, row_number() over (order by score desc, doc_id) r from scored where n_words >= 20)
+        select doc_id, n_features, weight, score, case when r <= (select count(*) * 5 // 100 from r) then r end "rank"
+        from scored left join r using (doc_id)""",
     "op5_warc_chunks": f"""
         with p as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) sha from pages),
              f as (select *, min(page_id) over (partition by sha, n) first from p)
