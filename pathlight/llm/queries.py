@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlight.llm import bpe, euclid, html, langid, lines, mixing, quality, resample, simhash, suffix, suffixtree, warc
+from pathlight.llm import bpe, conversations, euclid, html, langid, lines, mixing, quality, resample, simhash, suffix, suffixtree, warc
 from pathlight.llm.common import id_remainder, table
 from pathlight.plans.lineage import scratch_path
 
@@ -66,6 +66,10 @@ def op10_efraimidis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_repeated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -89,6 +93,7 @@ QUERIES = {
         op8_bpe_segment_tree,
         op9_suffix_tree_score,
         op10_efraimidis_mix,
+        op11_repair_grammar,
         op12_range_lines,
         op13_crc_resampling,
     )
@@ -115,7 +120,62 @@ def _features(source: str, id_: str) -> str:
     return f"(select id, len(w) n_words, {runs} f from (select {id_} id, {words} w from {source}))"
 
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_KINDS = "case substr(role, 1, 1) when 's' then 0 when 'u' then 1 when 'a' then 2 else 3 end"
+#: Conversations by dynamic programming over their rows: ``ins`` are the rows inserted at one place and ``act`` what may be
+#: done with a row, by state before (x) and after (y) and the role that results; states are 0 none, 1 s, 2 u, 3 a.
+_CONVERSATIONS = f"""
+    with recursive coded as (
+           select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k
+           from conversations),
+         crc as (
+           select k, ({_CRC}) % 20 code
+           from (select k, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))) b from (select distinct k from coded))),
+         hurt as materialized (
+           select conv_id, turn, case code when 4 then 'user' else role end role,
+                  case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end text
+           from coded join crc using (k), range(2) t(i) where code <> 0 and (i = 0 or code = 3)),
+         placed as materialized (
+           select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) rn, {_KINDS} kind,
+                  trim(text, {_WHITE}) bare from hurt),
+         seen as (select *, row_number() over (partition by conv_id, role, text order by rn) nth,
+                         lag(kind) over (partition by conv_id order by rn) kind_before from placed),
+         faults as materialized (
+           select conv_id, turn, role, text, rn, kind, bare = '' blank, bare <> '' and nth > 1 dup,
+                  bare <> '' and nth = 1 and right(bare, 1) not in ('.', '!', '?') cut,
+                  rn > 1 and (kind_before, kind) not in ((0, 1), (1, 2), (2, 1)) illegal from seen),
+         ins(x, y, c, l, t) as (values (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+           (0, 2, 2, 'I', chr(10) || 'user:'), (1, 2, 2, 'I', chr(10) || 'user:'), (3, 2, 2, 'I', chr(10) || 'user:'), (2, 3, 2, 'I', chr(10) || 'assistant:'),
+           (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+         act(x, y, kind, c, l, r) as (values (0, 1, 0, 0, 'K', null), (0, 2, 1, 0, 'K', null), (1, 2, 1, 0, 'K', null), (3, 2, 1, 0, 'K', null), (2, 3, 2, 0, 'K', null),
+           (0, 2, null, 2, 'R', 'user'), (1, 2, null, 2, 'R', 'user'), (3, 2, null, 2, 'R', 'user'), (2, 3, null, 2, 'R', 'assistant'),
+           (0, 0, null, 3, 'D', null), (1, 1, null, 3, 'D', null), (2, 2, null, 3, 'D', null), (3, 3, null, 3, 'D', null)),
+         step as materialized (
+           select i.x, a.y, a.kind, i.c + a.c c, i.l || a.l l, i.t t, a.l <> 'D' stays, a.r r from ins i join act a on i.y = a.x),
+         dp as (
+           select distinct conv_id, 0::bigint rn, 0 state, '00000000' best, '' made from faults union all
+           select d.conv_id, f.rn, s.y, min(printf('%08d', left(d.best, 8)::bigint + s.c + (s.stays and f.cut)::int) || substr(d.best, 9) || s.l),
+                  arg_min(d.made || s.t || case when s.stays then chr(10) || coalesce(s.r, f.role) || ':' || f.text else '' end,
+                          printf('%08d', left(d.best, 8)::bigint + s.c + (s.stays and f.cut)::int) || substr(d.best, 9) || s.l)
+           from dp d join faults f on f.conv_id is not distinct from d.conv_id and f.rn = d.rn + 1
+           join step s on s.x = d.state and (s.kind is null or s.kind = f.kind) and not (s.stays and (f.blank or f.dup))
+           group by d.conv_id, f.rn, s.y),
+         tails as (
+           select conv_id, dp.rn, printf('%08d', left(best, 8)::bigint + c) || substr(best, 9) || l best, made || t made
+           from dp join ins on x = state where y in (0, 3)),
+         sums as (
+           select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (blank) blank,
+                  count(*) filter (dup) duplicate, count(*) filter (cut) truncated, count(*) filter (illegal) illegal, count(*) n from faults group by conv_id),
+         ends as (select t.conv_id, min(best) best, arg_min(made, best) made from tails t join sums s on t.conv_id is not distinct from s.conv_id and t.rn = s.n group by t.conv_id)
+    select o.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate,
+           coalesce(truncated, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal, coalesce(left(best, 8)::bigint, 0) "cost",
+           coalesce(substr(best, 9), '') audit, sha256(coalesce(substr(made, 2), '')) repaired_sha256
+    from (select distinct conv_id from conversations) o left join sums s on o.conv_id is not distinct from s.conv_id
+    left join ends e on o.conv_id is not distinct from e.conv_id"""
+
+
 SQL = {
+    "op11_repair_grammar": _CONVERSATIONS,
     "op12_range_lines": f"""
         with l as (
                select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line,
