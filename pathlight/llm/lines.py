@@ -77,12 +77,14 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     bit = lambda i: F.call_function("shiftright", F.coalesce(F.get("_words", (i / 64).cast("int")), F.lit(-1).cast("long")), (i % 64).cast("int")).bitwiseAND(F.lit(1))
     kept = F.filter(lines, lambda _, i: bit(i) == 1)
     dropped = F.aggregate("_words", F.lit(0), lambda a, w: a + 64 - F.bit_count(w))
-    return joined.select(
-        *[F.col("_rest")[c].alias(c) for c in rest],
-        F.when(F.col("_words").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")).alias(text_col),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped"),
+    made = joined.select(
+        "_rest",
+        F.when(F.col("_words").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")).alias("_text"),
+        F.size(lines).cast("long").alias("_n"),
+        F.coalesce(dropped, F.lit(0)).cast("long").alias("_d"),
     )
+    named = [F.col("_text").alias(text_col), F.col("_n").alias("n_lines"), F.col("_d").alias("n_dropped")]
+    return made.select(*named, *[F.col("_rest")[c].alias(c) for c in rest])
 
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
