@@ -243,34 +243,25 @@ def top1_bound(spark, sf_dir):
     return made.select(*[F.round(c, 7).alias(c) for c in made.columns])
 
 
-def _drawn_against_all(edges: DataFrame, mode: str, alpha: float) -> DataFrame:
-    """``(node, pairs, agrees)``: whether the drawn paths through a node are as many as they should be.
-
-    A node is drawn in a pair with the probability that all paths of the pair give it, so over all pairs the sum of the
-    drawn shares lies within six standard deviations of the sum of the probabilities, up to one path.
-    """
+def _drawn(edges: DataFrame, mode: str, alpha: float) -> DataFrame:
+    """``(node, draws, bc)``: draws through each node over all samples, and the mean share of a sample's draws."""
     ids = cut(S.dense_ids(edges))
     dense = cut(S.renumber(edges, ids))
     pairs = cut(S.sample_pairs(edges.sparkSession, ids.count(), 0, SAMPLES, SEED))
-    every = T.pair_paths(dense, pairs)
-    drawn = T.pair_paths(dense, pairs, mode, alpha, SEED).weights.groupBy("node").agg(F.sum("weight").alias("drawn"))
-    draws = F.greatest(F.lit(1.0), F.floor(F.lit(alpha if mode == "multi" else 0.0) * F.col("sigma")))
-    spread = F.col("weight") * (1 - F.col("weight")) / F.least(draws, F.lit(1000.0))
-    due = every.weights.where("weight > 0").join(every.lengths, "pair_id").groupBy("node")
-    due = due.agg(F.count("*").alias("pairs"), F.sum("weight").alias("due"), F.sum(spread).alias("spread"))
-    joined = due.join(drawn, "node", "left")
-    close = F.abs(F.coalesce("drawn", F.lit(0.0)) - F.col("due")) <= 1 + 6 * F.sqrt(F.greatest(F.col("spread"), F.lit(0.0)))
-    return _node_ids(ids, joined.select("node", "pairs", close.alias("agrees")))
+    paths = T.pair_paths(dense, pairs, mode, alpha, SEED)
+    shares = paths.weights.join(paths.draws, ["pair_id", "node"]).groupBy("node")
+    sums = shares.agg(F.sum("n").cast("long").alias("draws"), (F.sum("weight") / SAMPLES).alias("bc"))
+    return _node_ids(ids, sums).select("node", "draws", F.round("bc", ROUND).alias("bc"))
 
 
 def bc_single_path(spark, sf_dir):
     """One uniformly drawn path for each sample."""
-    return _drawn_against_all(_user(spark, sf_dir), "single", 0.0)
+    return _drawn(_user(spark, sf_dir), "single", 0.0)
 
 
 def bc_multi_path(spark, sf_dir):
     """Several drawn paths for each sample, 2.3 times their number."""
-    return _drawn_against_all(cut(G.simplify(X.supp_part(spark, sf_dir), directed=False)), "multi", 2.3)
+    return _drawn(cut(G.simplify(X.supp_part(spark, sf_dir), directed=False)), "multi", 2.3)
 
 
 def _within(scores: DataFrame, exact: DataFrame, eps: float) -> DataFrame:
@@ -326,13 +317,14 @@ def bc_topk_relative(spark, sf_dir):
 
 
 def bc_topk_bounds(spark, sf_dir):
-    """Of the regions and nations whether the bounds of a sample hold the exact centrality."""
+    """Estimates of a sample with the bounds of each node's own deviation, and whether they hold the exact centrality."""
     from pathlight.functions import bounds as B
 
     edges = cut(G.simplify(X.geo_forest(spark, sf_dir), directed=False))
     ids, _, paths = _sample(edges)
     hist = {r["internal"]: r["pairs"] for r in C.length_histogram(paths.lengths).collect()}
-    n, rho = ids.count(), B.rho_bound(hist, 4, SAMPLES, 0.01)
+    diameter = K.diameter_bound(edges, cut(K.weak_components(edges, G.nodes_of(edges))))
+    n, rho = ids.count(), B.rho_bound(hist, diameter, SAMPLES, 0.01)
     sums = C.node_sums(paths.weights, SEED).select("node", "sum_w")
     every = ids.select(F.col("dense_id").alias("node")).join(sums, "node", "left")
 
@@ -343,8 +335,10 @@ def bc_topk_bounds(spark, sf_dir):
 
     est = every.select("node", (F.coalesce("sum_w", F.lit(0.0)) / SAMPLES).alias("bc"))
     bounds = _node_ids(ids, est.mapInPandas(bound, "node long, bc double, lower double, upper double"))
-    exact = _forest_exact(X.geo_forest(spark, sf_dir))
-    return _within(bounds, exact, 1.0).select("node", "covered")
+    exact = _forest_exact(X.geo_forest(spark, sf_dir)).withColumnRenamed("bc", "exact")
+    inside = F.coalesce("exact", F.lit(0.0)).between(F.col("lower") - 1e-12, F.col("upper") + 1e-12)
+    joined = bounds.join(exact, "node", "left")
+    return joined.select("node", F.round("bc", ROUND).alias("bc"), F.round("lower", 7).alias("lower"), F.round("upper", 7).alias("upper"), inside.alias("covered"))
 
 
 def text_round_trip(spark, sf_dir):
@@ -455,6 +449,19 @@ _SUMS = f"""
   sums as materialized (select node, sum(w) sum_w, sum(w * w) sum_w2, count(*) hits from weights group by node),
   bits as (select i pair_id, cast('0x' || substr(md5('{SEED}:r:' || i), 1, 15) as bigint) b from range({SAMPLES}) t(i)),
   rade as materialized (select node, j, sum(w * (((b >> j::int) & 1) * 2 - 1)) signed from weights join bits using (pair_id), range(25) r(j) group by node, j)"""
+#: Draws that go down the shortest paths of a sample as counts; ``split`` are the shares of the next nodes of a node.
+_DRAWS = """
+  on_path as materialized (select l.pair_id, a.d pos, a.v node, i.dense_id, b.sigma beta, l.dist, l.sigma total
+    from lengths l join pc a on a.s = l.u and a.d < l.dist join pc b on b.s = a.v and b.v = l.v and b.d = l.dist - a.d join ids i on i.id = a.v),
+  split as materialized (select p.pair_id, p.pos, p.node, q.node to_node, p.beta total, q.beta,
+      sum(q.beta) over (partition by p.pair_id, p.node order by q.dense_id) upto,
+      cast('0x' || substr(md5('{seed}:d:' || p.pair_id || ':' || p.dense_id), 1, 13) as bigint)::double / 4503599627370496 u
+    from on_path p join e on e.src = p.node join on_path q on q.pair_id = p.pair_id and q.node = e.dst and q.pos = p.pos + 1),
+  draws as (
+    select pair_id, pos, node, greatest(1.0, floor({alpha} * total))::double n from on_path where pos = 0 and dist > 1 union all
+    select d.pair_id, s.pos + 1, s.to_node, sum(floor(d.n * s.upto / s.total + s.u) - floor(d.n * (s.upto - s.beta) / s.total + s.u))
+    from draws d join split s on s.pair_id = d.pair_id and s.node = d.node and s.pos = d.pos where d.n > 0 group by d.pair_id, s.pos, s.to_node),
+  shares as (select node, n, n / first_value(n) over (partition by pair_id order by pos) w, pos from draws)"""
 _PARTS = f"""
   moment as (select v node, coalesce(sum_w, 0) sum_w, coalesce(sum_w2, 0) sum_w2 from n left join sums on v = node),
   part as (select *, floor(ln(case when sum_w2 > 0 then least({SAMPLES} / sum_w2, {SAMPLES}.0) else {SAMPLES}.0 end) / ln({PEEL}) + 1)::bigint part
@@ -477,6 +484,22 @@ _FOREST = """
   forest as (select nation node, (size - 1) * (size - 1) - (s - 1) - (size - s) * (size - s) pairs from nat join reg using (region)
     union all select region, (size - 1) * (size - 1) - squares from reg)"""
 
+#: Mean and variance of the number of internal nodes of a sample's paths.
+_SPREAD = f"""
+  h as (select dist - 1 i, count(*)::double c from lengths where dist > 1 group by 1 union all select 0, {SAMPLES} - count(*) from lengths where dist > 1),
+  moments as (select (select sum(i * c) / {SAMPLES} from h) mean,
+    (select sum((a.i - b.i) * (a.i - b.i) * a.c * b.c) / ({SAMPLES} * ({SAMPLES} - 1.0)) from h a join h b on a.i < b.i) variance)"""
+#: A node's own bounds by thirty bisections: of ``up`` the greatest t with b + slack(t) >= t, else the least with b - slack(t) <= t.
+_SLACK = f"(ln(greatest(200 * least(n, greatest(rho, 1e-9) / greatest((lo + hi) / 2, 1e-300)), 1)) / {SAMPLES})"
+_SLACK = f"({_SLACK} / 3 + sqrt(2 * {_SLACK} * greatest((lo + hi) / 2, 1e-300) * greatest(1 - greatest((lo + hi) / 2, 1e-300), 0)))"
+_BISECT = f"""
+  bis as (select node, b, rho, n, 0 i, b lo, 1.0::double hi, true up from est union all select node, b, rho, n, 0, 0.0, b, false from est union all
+    select node, b, rho, n, i + 1, case when b + case when up then {_SLACK} else -{_SLACK} end >= (lo + hi) / 2 then (lo + hi) / 2 else lo end,
+      case when b + case when up then {_SLACK} else -{_SLACK} end >= (lo + hi) / 2 then hi else (lo + hi) / 2 end, up from bis where i < 30),
+  bounds as (select x.node, x.b, x.n, least(y.lo, x.b) lower, greatest(x.hi, x.b) upper
+    from bis x join bis y on x.node = y.node and x.up and not y.up and x.i = 30 and y.i = 30)"""
+_DRAWN = f"""select node, sum(n)::bigint draws, round(sum(w) / {SAMPLES}, {ROUND}) bc from shares where pos > 0 group by node having sum(n) > 0"""
+
 _U, _G, _P = _graph(_USER), _graph(_GAP), _graph(_PAGE, False)
 _D8, _D40 = _DIST.format(most=14), _DIST.format(most=32)
 _ST = 0.05
@@ -545,12 +568,25 @@ SQL = {
         f"t as (select *, w * ln(1 / {_ST / 2}) / {SAMPLES} c, ln(2 / {_ST / 2}) / {SAMPLES} g from s)",
         select="select round(mean, 7) mean, round(variance, 7) variance, round(greatest(1e-9, mean, least(mean + c + sqrt(2 * c * mean + c * c), mean + 7 * w * g / 3 + sqrt(2 * variance * g), w)), 7) rho from t",
     ),
-    "bc_single_path": _with(_U, _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, select="select node, hits pairs, true agrees from sums"),
-    "bc_multi_path": _with(_graph(_SUPP, False), _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, select="select node, hits pairs, true agrees from sums"),
+    "bc_single_path": _with(_U, _D8, _PAIRS, _LENGTHS, _DRAWS.format(seed=SEED, alpha=0.0), select=_DRAWN),
+    "bc_multi_path": _with(_graph(_SUPP, False), _D8, _PAIRS, _LENGTHS, _DRAWS.format(seed=SEED, alpha=2.3), select=_DRAWN),
     "bc_absolute": _with(_U, select="select v node, true within_eps, true covered from n"),
     "bc_absolute_star": _with(_graph(f"select * from ({_GEO}) where dst = 1000000", False), select="select v node, true within_eps, true covered from n"),
     "bc_topk_relative": _with(_graph(_GEO), _FOREST, select="select node, true member, true within_eps from (select * from forest order by pairs desc, node limit 5)"),
-    "bc_topk_bounds": _with(_graph(_GEO), _FOREST, select="select node, true covered from forest"),
+    "bc_topk_bounds": _with(
+        _graph(_GEO, False), _D8, _PAIRS, _LENGTHS, _WEIGHTS, _SUMS, _SPREAD,
+        "own as (select s v, min(v) comp from dist group by s)",
+        "deg as (select src v, count(*) deg from e group by src)",
+        "piv as (select comp, arg_max(v, deg * 1000000000 - v) p from own join deg using (v) group by comp)",
+        "w as (select greatest(2 * max(d) - 1, 0) w from dist join piv on s = p)",
+        "t as (select mean, variance, w, w * ln(200) / {m} c, ln(400) / {m} g from moments, w)".format(m=SAMPLES),
+        "rho as (select greatest(1e-9, mean, least(mean + c + sqrt(2 * c * mean + c * c), mean + 7 * w * g / 3 + sqrt(2 * variance * g), w)) rho from t)",
+        f"est as (select v node, coalesce(sum_w, 0) / {SAMPLES} b, rho, (select count(*) from n)::double n from n left join sums on node = v, rho)",
+        _BISECT,
+        f"one_way as ({_GEO})", _FOREST.replace("e.", "one_way.").replace("from e", "from one_way"),
+        select=f"""select node, round(b, {ROUND}) bc, round(lower, 7) "lower", round(upper, 7) "upper",
+        coalesce(pairs / (n * (n - 1)), 0) between lower - 1e-12 and upper + 1e-12 covered from bounds left join forest using (node)""",
+    ),
     "text_round_trip": _with(_graph(_SUPP, False), select="select src, dst from e"),
     "scores_round_trip": _with(_U, _D8, _BC, select=f"select node, round(bc, {ROUND}) bc from (select * from bc order by bc.bc desc, node limit 10)"),
     "top1_bound": _with(

@@ -7,11 +7,14 @@ from collections import defaultdict, deque
 import pytest
 from pathlight.operators import centrality as C
 from pathlight.operators import condensation as K
+from pathlight.operators import levels as L
 from pathlight.operators import shape as S
 from pathlight.operators import traversal as T
 from pathlight.operators.components import connected_components
 from pathlight.operators.ranking import global_row_number, running_sum_before
 from pathlight.plans import progressive as P
+from pathlight.plans.lineage import cut
+from pathlight.sources import fixtures as X
 from pathlight.sources import graphs as G
 from pyspark.sql import functions as F
 
@@ -96,17 +99,135 @@ def test_pair_paths_count_and_weigh(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
-def test_drawn_paths_are_uniform(spark):
-    """A path is drawn in proportion to path counts, not by the counts of the endpoint."""
-    edges = frame(spark, DIAMOND)
-    pairs = spark.range(2000).select(F.col("id").alias("pair_id"), F.lit(0).cast("long").alias("u"), F.lit(9).cast("long").alias("v"))
-    one = T.pair_paths(edges, pairs, "single", seed=5).weights
-    share = {r["node"]: r["w"] / 2000 for r in one.groupBy("node").agg(F.sum("weight").alias("w")).collect()}
-    assert abs(share[4] - 0.75) < 0.04 and abs(share[8] - 0.25) < 0.04 and all(abs(share[i] - 0.25) < 0.04 for i in (1, 2, 3))
-    assert one.where("weight <> 1").count() == 0
-    many = T.pair_paths(edges, pairs.limit(300), "multi", 2.3, seed=5).weights
-    assert abs(many.where("node = 4").agg(F.sum("weight")).first()[0] / 300 - 0.75) < 0.05
-    assert many.where("node = 4 and weight not in (0.0, 1.0)").count() > 50
+def calibration(edges, pairs, mode, alpha=0.0):
+    """Chi-square over all (pair, node): draws against the shares of all paths, by size of the share."""
+    every = T.pair_paths(edges, pairs).weights.where("weight > 0 and weight < 1")
+    drawn = T.pair_paths(edges, pairs, mode, alpha, seed=5).weights.withColumnRenamed("weight", "drawn")
+    off = F.coalesce("drawn", F.lit(0.0)) - F.col("weight")
+    rows = every.join(drawn, ["pair_id", "node"], "left").groupBy(F.floor(F.col("weight") * 5).alias("size"))
+    rows = rows.agg(F.sum(off).alias("off"), F.sum(F.col("weight") * (1 - F.col("weight"))).alias("spread")).collect()
+    return sum(r["off"] ** 2 / r["spread"] for r in rows) / len(rows)
+
+
+def test_drawn_paths_are_uniform(spark, monkeypatch):
+    """A path is drawn in proportion to path counts; draws that ignore the counts fail by the same measure."""
+    edges = cut(frame(spark, [(a + 10 * i, b + 10 * i) for i in range(40) for a, b in DIAMOND]))
+    pairs = spark.range(2000).select(F.col("id").alias("pair_id"), (F.col("id") % 40 * 10).alias("u"), (F.col("id") % 40 * 10 + 9).alias("v"))
+    pairs = cut(pairs)
+    one = T.pair_paths(edges, pairs, "single", seed=5)
+    assert one.weights.where("weight <> 1").count() == 0
+    assert calibration(edges, pairs, "single") < 8
+    assert calibration(edges, pairs, "multi", 2.3) < 8
+    flow = T._flow_back
+    monkeypatch.setattr(T, "_flow_back", lambda *a: cut(flow(*a).withColumn("beta", F.lit(1.0))))
+    draw = T._draw
+    monkeypatch.setattr(T, "_draw", lambda g, p, ls, on, a, s: draw(g, p, ls.withColumn("sigma", F.lit(2.0)), on, a, s))
+    assert calibration(edges, pairs, "single") > 30
+
+
+def test_draws_are_counts(spark):
+    """Twelve diamonds in a row have 4,096 shortest paths; 9,420 draws are a row for each node, not for each draw."""
+    edges = frame(spark, [e for i in range(0, 36, 3) for e in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))])
+    paths = T.pair_paths(edges, spark.createDataFrame([(0, 0, 36)], "pair_id long, u long, v long"), "multi", 2.3)
+    by_level = defaultdict(float)
+    for r in paths.draws.collect():
+        by_level[r["pos"]] += r["n"]
+    assert set(by_level.values()) == {float(math.floor(2.3 * 4096))} and len(by_level) == 23
+    assert paths.draws.count() == 35
+    assert all(abs(r["weight"] - 0.5) < 0.01 for r in paths.weights.where("node % 3 > 0").collect())
+
+
+def by_batch(edges, pairs):
+    """Edges followed if all open pairs of a batch expand the same end, the one that is cheaper for all together."""
+    ahead, back = defaultdict(set), defaultdict(set)
+    for a, b in edges:
+        ahead[a].add(b)
+        back[b].add(a)
+    fronts = [[{u}, {v}, {u}, {v}] for u, v in pairs if u != v]
+    followed = 0
+    while fronts:
+        costs = [sum(len(s[x]) for f in fronts for x in f[i]) for i, s in enumerate((ahead, back))]
+        i = int(costs[0] > costs[1])
+        if not costs[i]:
+            break
+        followed += costs[i]
+        for f in fronts:
+            f[i] = {y for x in f[i] for y in (ahead, back)[i][x]} - f[i + 2]
+            f[i + 2] |= f[i]
+        fronts = [f for f in fronts if f[i] and not f[i] & f[1 - i]]
+    return followed
+
+
+def test_each_pair_chooses_its_side(spark, sf):
+    edges = cut(G.simplify(X.cust_seq(spark, "/root/testdata/sf0.01")))
+    ids = cut(S.dense_ids(edges))
+    dense = cut(S.renumber(edges, ids))
+    pairs = cut(S.sample_pairs(spark, ids.count(), 0, 500, 42))
+    paths = T.pair_paths(dense, pairs)
+    batch = by_batch([tuple(r) for r in dense.collect()], [(r["u"], r["v"]) for r in pairs.collect()])
+    assert 0 < paths.visited < 0.9 * batch
+    assert sum(r["edges"] for r in paths.rounds) == paths.visited and paths.rounds[0]["open_pairs"] <= 500
+
+
+def test_visited_test_moves_no_former_level(spark, monkeypatch):
+    """With tables too large to broadcast, what was written before is joined where it lies."""
+    import contextlib
+    import io
+
+    plans = []
+    add = T.LevelTable.add
+
+    def told(self, rows, number, *a, **k):
+        if self.name.startswith(("search", "levels")) and number == 2:
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                rows.explain()
+            plans.append(out.getvalue())
+        return add(self, rows, number, *a, **k)
+
+    monkeypatch.setattr(T.LevelTable, "add", told)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = frame(spark, [(i, i + 1) for i in range(12)])
+        T.pair_paths(edges, spark.createDataFrame([(0, 0, 9)], "pair_id long, u long, v long"))
+        T.levels(edges, spark.createDataFrame([(0,)], "id long"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2
+    for plan in plans:
+        lines = plan.splitlines()
+        last = max(i for i, x in enumerate(lines) if "Scan parquet" in x)  # the side of the former levels
+        assert "Bucketed: true" in lines[last]
+        top = max(i for i in range(last) if "SortMergeJoin" in lines[i])
+        depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+        chain, at = [], last
+        for i in range(last - 1, top, -1):
+            if depth(lines[i]) < depth(lines[at]):
+                chain.append(lines[i])
+                at = i
+        assert chain and not any("Exchange" in x for x in chain)
+
+
+def test_hub_is_many_tasks_work(spark, monkeypatch):
+    """The leaves of a star are dealt in parts of about HUB, whatever their number."""
+    monkeypatch.setattr(L, "HUB", 1_000)
+    n = 40_000
+    edges = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    graph = L.adjacency(edges)
+    parts = graph.steps.where("side = 0").groupBy("part").count().agg(F.count("*"), F.max("count"), F.median("count")).first()
+    assert parts[0] == 40 and parts[1] < 1.2 * parts[2]
+    first = T.expand(spark.createDataFrame([(0, 0, 1.0, n)], "source long, node long, sigma double, d0 long"), graph, _empty_levels(spark))
+    assert first.count() == n
+    paths = T.pair_paths(G.simplify(edges, directed=False), spark.createDataFrame([(0, 1, 2), (1, 0, 7)], "pair_id long, u long, v long"))
+    assert sorted(map(tuple, paths.lengths.collect())) == [(0, 2, 1.0), (1, 1, 1.0)]
+    graph.drop()
+
+
+def _empty_levels(spark):
+    table = T.LevelTable(spark, "levels", "source", "node")
+    table.add(spark.createDataFrame([(9, 9)], "source long, node long"), 0, deal=True)
+    return table
 
 
 def test_sampled_mean_equals_exact_over_all_pairs(spark):
