@@ -359,6 +359,87 @@ def scores_round_trip(spark, sf_dir):
     return spark.read.csv(path, schema="node long, bc double")
 
 
+#: Settings of the grid: error, failure probability and k.
+GRID = ((0.04, 0.1, 0), (0.02, 0.1, 0), (0.02, 0.05, 0), (0.4, 0.1, 3))
+
+
+def bc_grid(spark, sf_dir):
+    """Runs of several settings over one sample: of all nodes, or of the true top k, how many are found, within eps and bounds."""
+    edges = _user(spark, sf_dir)
+    exact = cut(_exact(edges))
+    out = None
+    for (eps, delta, k), run in zip(GRID, P.betweenness_grid(edges, [P.Setting(*x) for x in GRID], directed=True), strict=True):
+        due = (C.top_nodes(exact, k) if k else exact).withColumnRenamed("bc", "exact")
+        joined = due.join(run.scores, "node", "left")
+        close = F.abs(F.col("bc") - F.col("exact")) <= (eps * F.col("exact") if k else F.lit(eps))
+        inside = F.col("exact").between(F.col("lower") - 1e-12, F.col("upper") + 1e-12)
+        row = joined.agg(F.count("bc").alias("found"), F.count_if(close).alias("within_eps"), F.count_if(inside).alias("covered"))
+        row = row.select(F.lit(eps).alias("epsilon"), F.lit(delta).alias("delta"), F.lit(k).cast("long").alias("k"), "found", "within_eps", "covered", F.lit(run.metrics["settled"]).alias("settled"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: Epsilons of the planned grid and runs wanted of each.
+EPSILONS, RUNS = (0.01, 0.005, 0.0025, 0.001, 0.0005), 10
+
+
+def _event_runs(spark, sf_dir):
+    """Events taken as the statistics of runs, those of views and clicks not having terminated where their value is low."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    eps = F.element_at(F.array(*map(F.lit, EPSILONS)), (F.col("event_id") % len(EPSILONS) + 1).cast("int"))
+    return events.select(
+        (F.col("user_id") % 40).cast("string").alias("graph_name"), F.col("event_type").alias("estimator"), eps.alias("epsilon"), F.lit(0.1).alias("delta"),
+        F.lit(0).alias("k"), (F.col("event_id") % 7).alias("run_id"), ((F.col("value") > 0.3) | (F.col("user_id") % 3 == 0)).cast("int").alias("terminated"), "event_id",
+    )
+
+
+def _grid_of(done: DataFrame) -> DataFrame:
+    return done.select("graph_name", "estimator").distinct().withColumn("epsilon", F.explode(F.array(*map(F.lit, EPSILONS))))
+
+
+def grid_plan(spark, sf_dir):
+    """Which settings of a grid are to be run, and why not the others."""
+    from pathlight.plans import experiments as E
+
+    done = _event_runs(spark, sf_dir)
+    return E.planned(_grid_of(done), done, RUNS)
+
+
+def grid_resume(spark, sf_dir):
+    """Settings without a run after half of them were recorded, a quarter twice: repeats add no row."""
+    from pathlight.plans import experiments as E
+    from pathlight.plans.lineage import scratch_path
+
+    done = _event_runs(spark, sf_dir).where("event_id % 2 = 0")
+    keyed = done.groupBy(*E.KEY).agg(F.max("event_id").alias("m"), F.min("terminated").alias("terminated"))
+    keyed = cut(keyed.where("cast(graph_name as int) < 4"))
+    path = scratch_path(spark, "statistics")
+    E.record(keyed, path)
+    E.record(keyed.where("run_id < 3"), path)
+    found = E.recorded(spark, path, keyed.select("m", "terminated", *E.KEY).schema.simpleString()[7:-1].replace(":", " "))
+    grid = _grid_of(keyed).withColumn("delta", F.lit(0.1)).withColumn("k", F.lit(0)).withColumn("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    left = E.to_do(grid, found).groupBy("graph_name").agg(F.count("*").alias("to_do"))
+    return found.groupBy("graph_name").agg(F.count("*").alias("recorded")).join(left, "graph_name")
+
+
+def log_statistics(spark, sf_dir):
+    """Events written as logs of runs, one file each, and read back."""
+    from pathlight.plans import experiments as E
+    from pathlight.plans.lineage import scratch_path
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("run", F.col("user_id") % 40)
+    taking = F.concat(F.lit("12:00 [INFO ]: Iteration "), F.col("event_id").cast("string"), F.lit(", taking "), F.floor(F.col("value") * 10).cast("string"), F.lit(" samples"))
+    ms = F.concat(F.lit("done ("), F.col("value").cast("string"), F.lit(" millisecs)"))
+    line = F.when(F.col("event_type") == "purchase", taking).when(F.col("event_type") == "click", ms).otherwise(F.lit("nothing to tell, taking 999999 done (1 millisecs)"))
+    lines = events.select("run", "ts", "event_id", line.alias("line"))
+    ends = events.where("run % 3 <> 0").groupBy("run").agg(F.max("ts").alias("ts")).select("run", "ts", F.lit(1 << 60).alias("event_id"), F.lit("INFO: Getting results...done").alias("line"))
+    path = scratch_path(spark, "logs")
+    both = lines.unionByName(ends).repartition("run").sortWithinPartitions("run", "ts", "event_id")
+    both.select("run", "line").write.partitionBy("run").text(path)
+    found = E.parse_logs(E.read_logs(spark, path))
+    return found.select(F.regexp_extract("file", "run=([0-9]+)", 1).cast("long").alias("run"), "m", "time", "terminated")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -367,7 +448,7 @@ QUERIES = {
         bc_exact_undirected, bc_topk_exact, sample_pairs, pair_sigma, void_samples, path_length_hist, bc_sampled,
         wimpy_variance, rademacher_sums, peeling_partitions, mcera_by_partition, eps_by_partition, rho_bound, top1_bound,
         bc_single_path, bc_multi_path, bc_absolute, bc_absolute_star, bc_topk_relative, bc_topk_bounds, text_round_trip,
-        scores_round_trip,
+        scores_round_trip, bc_grid, grid_plan, grid_resume, log_statistics,
     )
 }
 
@@ -504,7 +585,31 @@ _U, _G, _P = _graph(_USER), _graph(_GAP), _graph(_PAGE, False)
 _D8, _D40 = _DIST.format(most=14), _DIST.format(most=32)
 _ST = 0.05
 
+_EVENT_RUNS = f"""
+  done as (select (user_id % 40)::varchar graph_name, event_type estimator, ([{", ".join(map(str, EPSILONS))}])[event_id % {len(EPSILONS)} + 1]::double epsilon,
+    event_id % 7 run_id, (value > 0.3 or user_id % 3 = 0)::int terminated, event_id from events)"""
+
 SQL = {
+    "bc_grid": _with(
+        _U, "g(epsilon, delta, k) as (values {})".format(", ".join(f"({e}::double, {d}::double, {k}::bigint)" for e, d, k in GRID)),
+        "m as (select *, case when k = 0 then (select count(*) from n) else k end found from g)",
+        select="select epsilon, delta, k, found, found within_eps, found covered, true settled from m",
+    ),
+    "grid_plan": "with " + _EVENT_RUNS + f""",
+        grid as (select distinct graph_name, estimator, unnest([{", ".join(map(str, EPSILONS))}])::double epsilon from done),
+        own as (select *, (select count(*) from done d where d.graph_name = g.graph_name and d.estimator = g.estimator and d.epsilon = g.epsilon) finished,
+          (select min(terminated) from done d where d.graph_name = g.graph_name and d.estimator = g.estimator and d.epsilon >= g.epsilon) worst from grid g)
+        select graph_name, estimator, epsilon, finished, case when epsilon = (select max(epsilon) from grid) and finished = 0 then null
+          when worst = 0 then 'hopeless' when finished >= {RUNS} then 'enough' end reason from own""",
+    "grid_resume": "with " + _EVENT_RUNS + """,
+        keyed as (select distinct graph_name, estimator, epsilon, run_id from done where event_id % 2 = 0 and graph_name::int < 4),
+        grid as (select graph_name, estimator, count(*) n from keyed group by all)
+        select graph_name, sum(n)::bigint recorded, (count(*) * 35 - sum(n))::bigint to_do from grid group by graph_name""",
+    "log_statistics": """
+        with r as (select user_id % 40 run, *, row_number() over (partition by user_id % 40 order by ts, event_id) i from events),
+             x as (select run, coalesce(max(floor(value * 10)::bigint) filter (event_type = 'purchase'), 0) m,
+                          coalesce(arg_max(value, i) filter (event_type = 'click') / 1000, 0) ms from r group by run)
+        select run, case when run % 3 <> 0 then m else 0 end m, case when run % 3 <> 0 then ms else 0 end "time", (run % 3 <> 0)::int terminated from x""",
     "edges_dedup": _with(_graph(_CUST), select="select src, dst from e"),
     "edges_symmetrised": _with(_graph(_SUPP, False), select="select src, dst from e"),
     "graph_summary": _with(
