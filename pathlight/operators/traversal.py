@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from pathlight.operators.levels import Adjacency, LevelTable, adjacency
+from pathlight.operators.levels import BUCKET_ROWS, Adjacency, LevelTable, adjacency
 from pathlight.plans.lineage import cut, stored
 
 #: Rows, of two or three numbers each, up to which what is told of open pairs is broadcast.
@@ -29,7 +29,7 @@ def expand(frontier: DataFrame, graph: Adjacency, seen: LevelTable) -> DataFrame
 def levels(edges: DataFrame, sources: DataFrame, most: int | None = None) -> list[DataFrame]:
     """Levels 0, 1, ... of the searches from all ``sources(id)``, each ``(source, node, sigma)``; no empty ones."""
     graph = adjacency(edges)
-    table = LevelTable(edges.sparkSession, "levels", "source", "node")
+    table = LevelTable(edges.sparkSession, "levels", "source", "node", rows=min(100, graph.edges) * sources.count())
     first = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("sigma"))
     n, number = table.add(first.join(graph.degree.select("node", "d0"), "node", "left").select("source", "node", "sigma", F.coalesce("d0", F.lit(0)).alias("d0")), 0, deal=True)["n"], 0
     while n and (most is None or number < most):
@@ -85,7 +85,8 @@ class _Search:
 
 def _search(graph: Adjacency, pairs: DataFrame) -> _Search:
     """Level by level; in each round every open pair goes on at the end with fewer edges to follow (ties: at u)."""
-    found = _Search(LevelTable(pairs.sparkSession, "search", "pair_id", "node"))
+    guess = min(20, graph.edges) * pairs.count()  # nodes that a pair's search sees, some
+    found = _Search(LevelTable(pairs.sparkSession, "search", "pair_id", "node", rows=guess))
     ends = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(0).alias("side")), F.struct(F.col("v").alias("node"), F.lit(1).alias("side")))).alias("e"))
     first = ends.select("pair_id", "e.node", "e.side").join(graph.degree, "node", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
@@ -141,7 +142,7 @@ def _flow_back(graph: Adjacency, found: _Search) -> DataFrame:
     lu, lv = _of("side", F.col("level"), F.col("other")), _of("side", F.col("other"), F.col("level"))
     ahead, back = _of("side", F.col("sigma"), F.col("back")), _of("side", F.col("back"), F.col("sigma"))
     meet = meet.select("pair_id", "node", lu.alias("lu"), lv.alias("lv"), ahead.alias("ahead"), back.alias("back"), "d0", "d1")
-    table = LevelTable(graph.degree.sparkSession, "paths", "pair_id", "node")
+    table = LevelTable(graph.degree.sparkSession, "paths", "pair_id", "node", rows=found.table.buckets * BUCKET_ROWS - 1)
     # At the meeting of a side the other side's paths are to come.
     both = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lu").alias("level"), F.col("back").alias("rest")), F.struct(F.lit(1).alias("side"), F.col("lv").alias("level"), F.col("ahead").alias("rest"))))
     dist = (F.col("lu") + F.col("lv")).alias("dist")
@@ -185,12 +186,13 @@ def _draw(graph: Adjacency, pairs: DataFrame, lengths: DataFrame, on_path: DataF
     paths so far and U the node's ``spread``. So each next node gets its share of the n in the mean, every path is as
     likely as any other, and a single draw is one path drawn uniformly.
     """
-    table = LevelTable(graph.degree.sparkSession, "draws", "pair_id", "node")
+    guess = 5 * lengths.count()
+    table = LevelTable(graph.degree.sparkSession, "draws", "pair_id", "node", rows=guess)
     n = F.greatest(F.lit(1.0), F.floor(F.lit(alpha) * F.col("sigma")).cast("double"))
     first = lengths.where("dist > 1").select("pair_id", n.alias("n"), F.col("sigma").alias("beta")).join(pairs.select("pair_id", F.col("u").alias("node")), "pair_id")
     first = first.join(graph.degree.select("node", "d0"), "node").select("pair_id", "node", F.lit(0).alias("pos"), "n", "beta", F.col("n").alias("draws"), "d0")
     number, left = 0, table.add(first, 0, deal=True)["n"]
-    paths = LevelTable(graph.degree.sparkSession, "on_path", "pair_id", "node")
+    paths = LevelTable(graph.degree.sparkSession, "on_path", "pair_id", "node", rows=guess)
     paths.add(on_path.select("pair_id", "node", "pos", "beta", "d0"), 0, deal=True)
     while left:
         cur = table.rows(number).select("pair_id", F.col("node"), "pos", "n", F.col("beta").alias("all"), "draws", "d0")

@@ -126,14 +126,14 @@ def test_drawn_paths_are_uniform(spark, monkeypatch):
 
 
 def test_draws_are_counts(spark):
-    """Twelve diamonds in a row have 4,096 shortest paths; 9,420 draws are a row for each node, not for each draw."""
-    edges = frame(spark, [e for i in range(0, 36, 3) for e in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))])
-    paths = T.pair_paths(edges, spark.createDataFrame([(0, 0, 36)], "pair_id long, u long, v long"), "multi", 2.3)
+    """Five diamonds in a row have 32 shortest paths; 3,200 draws are a row for each node, not for each draw."""
+    edges = frame(spark, [e for i in range(0, 15, 3) for e in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))])
+    paths = T.pair_paths(edges, spark.createDataFrame([(0, 0, 15)], "pair_id long, u long, v long"), "multi", 100.0)
     by_level = defaultdict(float)
     for r in paths.draws.collect():
         by_level[r["pos"]] += r["n"]
-    assert set(by_level.values()) == {float(math.floor(2.3 * 4096))} and len(by_level) == 23
-    assert paths.draws.count() == 35
+    assert set(by_level.values()) == {3200.0} and len(by_level) == 9
+    assert paths.draws.count() == 14
     assert all(abs(r["weight"] - 0.5) < 0.01 for r in paths.weights.where("node % 3 > 0").collect())
 
 
@@ -427,3 +427,76 @@ def test_degenerate_runs(spark):
     for bad in ({"eps": 0.0}, {"eps": 1.0}, {"eps": 0.1, "delta": 0.0}, {"eps": 0.1, "k": -1}, {"eps": 0.1, "mode": "x"}):
         with pytest.raises(ValueError):
             P.approximate_betweenness(frame(spark, [(0, 1)]), **bad)
+
+
+def strong(pairs):
+    """Strong components of a small graph by reachability."""
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    nodes = {x for e in pairs for x in e}
+
+    def reach(s):
+        seen, todo = {s}, [s]
+        while todo:
+            for y in out[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return seen
+
+    to = {x: reach(x) for x in nodes}
+    return {x: min(y for y in to[x] if x in to[y]) for x in nodes}
+
+
+@pytest.mark.parametrize("one", [100_000, 0])
+def test_chains_and_cycles(spark, one, monkeypatch):
+    """Chains between components, chains inside one, cycles apart, a chain that returns to where it came from."""
+    monkeypatch.setattr(K, "ONE_PARTITION", one)
+    ring = [(i, i + 1) for i in range(100, 140)] + [(140, 100)]
+    path = [(i + 1, i) for i in range(200, 237)]
+    ear = [(300, 301), (301, 302), (302, 300), (300, 303), (303, 304), (304, 305), (305, 300), (305, 400), (400, 401), (401, 402), (402, 500)]
+    back = [(500, 501), (501, 500), (500, 50), (50, 51), (51, 501), (3, 2), (2, 1), (1, 3), (9, 9)]
+    pairs = ring + path + ear + back
+    edges = frame(spark, pairs)
+    got = {r["id"]: r["comp"] for r in K.strong_components(edges, G.nodes_of(edges)).collect()}
+    assert got == strong(pairs)
+    r = random.Random(7)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(75)]
+    edges = frame(spark, pairs)
+    assert {x["id"]: x["comp"] for x in K.strong_components(edges, G.nodes_of(edges)).collect()} == strong(pairs)
+
+
+def test_long_chain_takes_few_jobs(spark):
+    edges = cut(spark.range(10_000).select("id", (F.col("id") + 1).alias("dst")).withColumnRenamed("id", "src"))
+    nodes = cut(G.nodes_of(edges))
+    spark.sparkContext.setJobGroup("chain", "")
+    try:
+        comps = K.strong_components(edges, nodes)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
+    assert jobs < 60
+    assert comps.where("id = comp").count() == 10_001
+
+
+def test_grid_equals_single_runs(spark):
+    """A run in a grid sees the samples that it sees alone, so its scores are the same."""
+    edges = frame(spark, random_graph(5, 40, 160))
+    settings = [P.Setting(0.12, 0.1), P.Setting(0.06, 0.1), P.Setting(0.5, 0.1, k=3)]
+    told = []
+    results = P.betweenness_grid(edges, settings, directed=True, progress=told.append)
+    alone = P.approximate_betweenness(edges, 0.06, 0.1, directed=True)
+    a, b = (sorted(map(tuple, x.scores.collect())) for x in (alone, results[1]))
+    assert [r[0] for r in a] == [r[0] for r in b] and all(abs(x - y) < 1e-9 for r, q in zip(a, b, strict=True) for x, y in zip(r, q, strict=True))
+    assert {x["phase"] for x in told} == {1, 2} and all(r.metrics["settled"] for r in results)
+    assert max(x["m"] for x in told) == max(r.metrics["m"] for r in results)
+    with pytest.raises(ValueError):
+        P.betweenness_grid(edges, [P.Setting(0.1, alpha=2.0), P.Setting(0.1, alpha=3.0)], mode="multi")
+
+
+def test_runs_end_at_most_samples(spark):
+    edges = frame(spark, random_graph(5, 30, 90))
+    result = P.approximate_betweenness(edges, 0.001, 0.1, directed=True, most_samples=1500)
+    assert result.metrics["m"] == 1500 and not result.metrics["settled"] and result.metrics["stopped_by"] == "most_samples"
+    exact = brandes([e for e in random_graph(5, 30, 90) if e[0] != e[1]])
+    assert all(r["lower"] - 1e-12 <= exact[r["node"]] <= r["upper"] + 1e-12 for r in result.scores.collect())
