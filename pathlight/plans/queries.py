@@ -360,7 +360,7 @@ def scores_round_trip(spark, sf_dir):
 
 
 #: Settings of the grid: error, failure probability and k.
-GRID = ((0.04, 0.1, 0), (0.02, 0.1, 0), (0.02, 0.05, 0), (0.4, 0.1, 3))
+GRID = ((0.06, 0.1, 0), (0.03, 0.05, 0), (0.5, 0.1, 3))
 
 
 def bc_grid(spark, sf_dir):
