@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,17 +64,67 @@ _ENDS = {
 _SCOPE = frozenset("ul ol dl table article main section div body html td th".split())
 
 
+#: Ends of these elements do not reach beyond the elements named second.
+_KEPT_IN, _KEEPERS = frozenset("li p dt dd td th tr".split()), frozenset("article main body table ul ol dl".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+#: Elements that a start tag may end.
+_ENDED = frozenset({"p"}).union(_HEADINGS, *_ENDS.values())
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "up", "parts", "chars", "tags", "link_chars", "links", "density", "total", "noise")
+    __slots__ = (
+        "tag", "attrs", "up", "parts", "chars", "tags", "link_chars", "links", "density", "total", "noise", "block", "keeper", "scope",
+    )
 
     def __init__(self, tag: str, attrs: str, up: Node | None):
         self.tag, self.attrs, self.up, self.parts = tag, attrs, up, []
         self.noise = False
+        # The nearest elements, itself included, that ends of inline tags, of kept tags and starts of blocks do not pass.
+        self.block = up.block if up is not None and tag in _INLINE else self
+        self.keeper = self if up is None or tag in _KEEPERS else up.keeper
+        self.scope = self if up is None or tag in _SCOPE else up.scope
+
+
+class _Open:
+    """How many elements of a tag are open, in all and inside the element that a search for them would stop at.
+
+    A walk towards the root then ends where there is nothing left to find, and what it passes is closed: parsing takes
+    time in proportion to the page.
+    """
+
+    def __init__(self):
+        self.all: dict = defaultdict(int)
+        self.near: dict = defaultdict(int)
+
+    def _count(self, x: Node, n: int) -> None:
+        # As a search from inside sees it, which is where ``x`` itself stops none.
+        tag, up, near = x.tag, x.up, self.near
+        self.all[tag] += n
+        if tag in _INLINE:
+            near[id(up.block), tag, 0] += n
+        else:
+            if tag in _KEPT_IN:
+                near[id(up.keeper), tag, 1] += n
+            if tag in _ENDED:
+                near[id(up.scope), tag, 2] += n
+
+    def add(self, x: Node) -> None:
+        self._count(x, 1)
+
+    def up_to(self, x: Node, end: Node) -> Node:
+        """Close the elements from ``x`` to below ``end``."""
+        while x is not end:
+            self._count(x, -1)
+            x = x.up
+        return end
 
 
 def parse(page: str) -> Node:
     """A tree of elements; unclosed and stray tags are repaired as far as blocks need it."""
     root = node = Node("html", "", None)
+    open_ = _Open()
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -88,16 +139,16 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            node = _close(node, tag)
+            node = open_.up_to(node, _close(node, tag, open_))
             continue
         attrs = m[3] or m[6] or ""
         if tag in ("html", "body"):
             if tag == "body" and attrs:
                 root.attrs = root.attrs or ""
-            node = _close(node, "head") if tag == "body" else node
+            node = open_.up_to(node, _close(node, "head", open_)) if tag == "body" else node
             continue
         if tag not in _INLINE and tag != "br":
-            node = _open_block(node, tag)
+            node = open_.up_to(node, _open_block(node, tag, open_))
         child = Node(tag, attrs, node)
         node.parts.append(child)
         if tag in _RAW:
@@ -105,31 +156,41 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
         elif tag not in _VOID and not attrs.endswith("/"):
             node = child
+            open_.add(child)
     return root
 
 
-def _open_block(node: Node, tag: str) -> Node:
+def _open_block(node: Node, tag: str, open_: _Open) -> Node:
     """The parent of a new block: an open paragraph ends, as do the elements that ``tag`` ends by itself."""
-    ends = _ENDS.get(tag, ())
+    ends = _ENDS.get(tag, frozenset())
+    ended = {"p", *ends} | (_HEADINGS if tag in ("p", "div", "ul", "ol") else frozenset())
+    if ends & _SCOPE:  # cells, which the search passes
+        left = sum(open_.all[t] for t in ended)
+    else:
+        left = sum(open_.near[(id(node.scope), t, 2)] for t in ended)
     x, out = node, node
-    while x is not None and x.up is not None:
-        if x.tag in ends or x.tag == "p" or (x.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("p", "div", "ul", "ol")):
+    while left > 0 and x.up is not None:
+        if x.tag in ended:
             out = x.up
-        elif x.tag in _SCOPE and x.tag not in ends:
+            left -= 1
+        elif x.tag in _SCOPE:
             break
         x = x.up
     return out
 
 
-def _close(node: Node, tag: str) -> Node:
+def _close(node: Node, tag: str, open_: _Open) -> Node:
+    """The parent of the element that an end tag ends; ``node`` itself where it ends none."""
+    if tag in _INLINE:
+        found = open_.near[(id(node.block), tag, 0)]
+    elif tag in _KEPT_IN:
+        found = open_.near[(id(node.keeper), tag, 1)]
+    else:
+        found = open_.all[tag]
     x = node
-    while x is not None and x.up is not None:
+    while found > 0 and x.up is not None:
         if x.tag == tag:
             return x.up
-        if tag in _INLINE and x.tag not in _INLINE:
-            return node
-        if tag in ("li", "p", "dt", "dd", "td", "th", "tr") and x.tag in ("article", "main", "body", "table", "ul", "ol", "dl"):
-            return node
         x = x.up
     return node
 

@@ -310,3 +310,18 @@ def test_html_density_chooses_among_boxes():
     page = f"<body><div>{menu}</div><div>{text}{text}</div></body>"
     out = html.main_text(page)
     assert out.count("Plain sentences") == 8 and "Entry" not in out
+
+
+@pytest.mark.parametrize("page", ["<span>{}</b>", "<b>{}<p>x", "<div>{}</p>", "<ul><li><ul><b>{}<li>x"])
+def test_stray_tags_take_linear_time(page):
+    """Five times the tags take far less than the twenty-five times of a walk to the root for each."""
+    import time
+
+    def seconds(n):
+        a, b = page.split("{}")
+        began = time.perf_counter()
+        html.parse(a * n + b * n if "<ul>" not in a else a[:12] + "<b>" * n + b * n)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(20_000) < 12 * max(min(seconds(4_000) for _ in range(3)), 0.02)
