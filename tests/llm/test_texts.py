@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from conftest import ROWS
 from pathlight.llm import bpe, html, langid, quality, queries
