@@ -54,7 +54,8 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: Compression, suffix refinement, hash sampling and BPE have no SQL; tests compare the run with plain versions.
+#: Compression, suffix refinement, hash sampling and BPE have no SQL. Tests hold the operators against plain versions one by
+#: one and the run against its stages applied in turn.
 ORACLE_SQL = None
 
 
