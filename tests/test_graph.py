@@ -482,14 +482,14 @@ def test_long_chain_takes_few_jobs(spark):
 def test_grid_equals_single_runs(spark):
     """A run in a grid sees the samples that it sees alone, so its scores are the same."""
     edges = frame(spark, random_graph(5, 40, 160))
-    settings = [P.Setting(0.12, 0.1), P.Setting(0.06, 0.1), P.Setting(0.5, 0.1, k=3)]
+    settings = [P.Setting(0.2, 0.1), P.Setting(0.12, 0.1)]
     told = []
     results = P.betweenness_grid(edges, settings, directed=True, progress=told.append)
-    alone = P.approximate_betweenness(edges, 0.06, 0.1, directed=True)
+    alone = P.approximate_betweenness(edges, 0.12, 0.1, directed=True)
     a, b = (sorted(map(tuple, x.scores.collect())) for x in (alone, results[1]))
     assert [r[0] for r in a] == [r[0] for r in b] and all(abs(x - y) < 1e-9 for r, q in zip(a, b, strict=True) for x, y in zip(r, q, strict=True))
     assert {x["phase"] for x in told} == {1, 2} and all(r.metrics["settled"] for r in results)
-    assert max(x["m"] for x in told) == max(r.metrics["m"] for r in results)
+    assert max(x["m"] for x in told if x["phase"] == 2) == max(r.metrics["m"] for r in results)
     with pytest.raises(ValueError):
         P.betweenness_grid(edges, [P.Setting(0.1, alpha=2.0), P.Setting(0.1, alpha=3.0)], mode="multi")
 
