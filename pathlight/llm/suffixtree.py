@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlight.llm.common import as_bytes, pieces
-from pathlight.plans.lineage import stored
+from pathlight.plans.lineage import removed, scratch_path, stored
 
 #: The token that ends a text; no word holds a line feed.
 END = b"\n"
-#: Times that a context with its next word must occur to be a node of the tree, and the nodes of one depth at most: where
-#: there are more, the rarest counts are left out, so that the tree may be broadcast (16 bytes a node).
-MIN_COUNT, MOST_NODES = 3, 1_000_000
-#: Words of this share have their counts in the broadcast lexicon (1 / WORD_SHARE words at most); the counts of the
-#: others are joined.
-WORD_SHARE = 1e-6
+#: Times that a context with its next word must occur to be a node of the tree.
+MIN_COUNT = 3
 #: Words a context may have; the tree ends before where no context passes the test.
 DEPTH = 4
 #: Nats that a context must gain over its suffix, summed over its training occurrences, to stay in the tree.
 MIN_GAIN = 12.0
 #: Taken off the count of each next symbol and given to the shorter context.
 DISCOUNT = 0.5
-FLUSH = 300_000
+#: Tokens of the texts that are worked on together, as one row; a longer text makes a chunk of its own.
+CHUNK = 1 << 19
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -38,56 +35,16 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``(word, c)`` over all tokens of the texts in the only column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            cols = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-            counts.clear()
-            return pa.record_batch(cols, names=["word", "c"])
-
-        for batch in pieces(batches):
-            for t in as_bytes(batch.column(0)):
-                counts.update(tokens(t))
-            if len(counts) > FLUSH:
-                yield out()
-        if counts:
-            yield out()
-
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 @dataclass
-class Tree:
-    """Lexicon and contexts; arrays of keys are sorted, keys of depth d are ``context number * size + word number``.
-
-    A context of one word has that word's number; one of more is the place of its key among those of the depth before.
-    """
+class Model:
+    """What all chunks need to know: training tokens, distinct ones, the root's discount, and the options."""
 
+    min_count: int
+    min_gain: float
+    depth: int
     total: int = 0
     distinct: int = 0
     discount: float = 0.5
-    nodes: int = 0  # words that may be in a context or follow one: the first in number
-    ids: dict = field(default_factory=dict)
-    base: np.ndarray | None = None  # log10 of the base probability by word number
-    root: np.ndarray | None = None  # log10 of the tree's probability without context
-    # By depth, 1 first: keys with log10 probability, and by context number whether it is kept, its back-off and the
-    # number of the context without its first word.
-    keys: list = field(default_factory=list)
-    probs: list = field(default_factory=list)
-    kept: list = field(default_factory=list)
-    backs: list = field(default_factory=list)
-    suffix: list = field(default_factory=list)
-
-    @property
-    def size(self) -> int:
-        return len(self.ids)
-
-    def base_log(self, c):
-        return np.log10((c + 1) / (self.total + (self.distinct + 1)))
 
     @property
     def unseen(self) -> float:
@@ -95,260 +52,370 @@ class Tree:
         return max(self.discount * self.distinct / self.total, 1e-12) if self.total else 1.0
 
 
-def numbers(words: list[bytes], ids: dict) -> np.ndarray:
-    get = ids.get
-    return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key, -1 if it is not there; negative wanted keys are never there."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where((keys[at] == wanted) & (wanted >= 0), at, -1)
-
+class _Hashes(dict):
+    """Hashes of words, remembered."""
 
-def contexts(tree: Tree, ids: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarray]:
-    """By depth, 1 first, for each token the number of the context before it in its text, -1 if it is no node.
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
 
-    ``ids`` are the tokens of one text or of several, ``first`` tells where one begins.
-    """
-    out = []
-    for d in range(1, depth + 1):
-        cur = np.full(len(ids), -1, np.int64)
-        if d == 1:
-            cur[1:] = ids[:-1]
-        else:
-            key = np.where((out[-1] >= 0) & (ids >= 0), out[-1] * tree.size + ids, -1)
-            cur[1:] = find(tree.keys[d - 2], key)[:-1]
-        cur[first] = -1
-        out.append(cur)
-    return out
 
+def _joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hash of a gram from those of the gram without its last and without its first word."""
+    x = before * np.uint64(0x9E3779B97F4A7C15) ^ (after << np.uint64(31) | after >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
 
-def _texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The word numbers of a batch of texts one after the other, and where each begins; a text has one token at least."""
-    parts = [np.frombuffer(x, "<i4") for x in as_bytes(column)]
-    starts = np.cumsum([0, *map(len, parts)])[:-1]
-    return np.concatenate(parts).astype(np.int64), starts
 
+def _chunk_schema(kind: str) -> str:
+    """A chunk: its texts, the numbers of their tokens among its words, and what was asked and answered by depth."""
+    return (
+        f"chunk long, doc_id array<{kind}>, held_out array<boolean>, starts binary, ids binary, words binary, "
+        "at array<binary>, n array<binary>, kept array<binary>, backs array<binary>, "
+        "keys binary, times binary, contexts binary, sums binary"
+    )
 
-def _gram_counts(coded: DataFrame, tree: Tree, depth: int, limit: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys and counts of the contexts of ``depth`` words with a next word that occur ``limit`` times or more, and the limit.
 
-    A context with its next word is at most as frequent as its parts, so only parts that are nodes are looked at and
-    no node is missed. The limit rises where there would be over ``most``.
-    """
-    shared = coded.sparkSession.sparkContext.broadcast(tree)
+def _cut(size: int, id_type: pa.DataType):
+    """Texts as chunks of about ``size`` tokens, which ask for the counts of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, n = shared.value, [], 0
+        chunk, memory = TaskContext.get().partitionId() << 32, _Hashes()
+        held, docs, flags, n = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            k, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.record_batch([pa.array(k), pa.array(c.astype(np.int64))], names=["key", "c"])
-
-        for batch in pieces(batches):
-            ids, first = _texts_of(batch.column(0))
-            ids[ids >= model.nodes] = -1
-            before = contexts(model, ids, first, depth)
-            ok = (before[-1] >= 0) & (ids >= 0)
-            if depth > 1:  # the shorter context must have this next word as a node too
-                ok &= find(model.keys[depth - 2], np.where((before[-2] >= 0) & (ids >= 0), before[-2] * model.size + ids, -1)) >= 0
-            held.append((before[-1] * model.size + ids)[ok])
-            n += len(held[-1])
-            if n > 3_000_000:
-                n = 0
-                yield out()
+            nonlocal chunk, n
+            starts = np.cumsum([0, *map(len, held)])[:-1]
+            words, ids = np.unique(np.concatenate(held), return_inverse=True)
+            train = np.repeat(~np.array(flags, bool), [len(x) for x in held])
+            row = {
+                "chunk": chunk, "doc_id": list(docs), "held_out": list(flags), "starts": starts.astype("<i8"), "ids": ids.astype("<i4"),
+                "words": words, "keys": words, "times": np.bincount(ids[train], minlength=len(words)), "at": [], "n": [], "kept": [], "backs": [],
+                "contexts": b"", "sums": b"",
+            }
+            chunk, n = chunk + 1, 0
+            for x in (held, docs, flags):
+                x.clear()
+            if len(memory) > 1_000_000:
+                memory.clear()
+            return _row(row, id_type)
+
+        for batch in pieces(batches, 256):
+            for i, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+                ws = tokens(text)
+                held.append(np.fromiter(map(memory.__getitem__, ws), np.uint64, len(ws)))
+                docs.append(i)
+                flags.append(held_out)
+                n += len(ws)
+                if n >= size:
+                    yield out()
         if held:
             yield out()
 
-    counts = coded.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= limit)
-    counts = stored(counts, f"grams{depth}")
-    total = 0
-    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
-        total += r["n"]
-        if total > most:
-            limit = r["c"] + 1
-            break
-    found = counts.where(F.col("c") >= limit).orderBy("key").toArrow()
-    shared.unpersist()
-    return found.column("key").to_numpy(), found.column("c").to_numpy(), limit
-
-
-def after(tree: Tree, depth: int, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 probability of known words after contexts of ``depth`` words, all of them given by their numbers."""
-    if depth == 0:
-        return tree.root[word]
-    if not len(ctx):
-        return np.zeros(0)
-    shorter = after(tree, depth - 1, tree.suffix[depth - 1][ctx], word)
-    kept = tree.kept[depth - 1][ctx]
-    at = find(tree.keys[depth - 1], np.where(kept, ctx * tree.size + word, -1))
-    backed = shorter + np.where(kept, tree.backs[depth - 1][ctx], 0.0)
-    probs = tree.probs[depth - 1]
-    return np.where(at >= 0, probs[np.maximum(at, 0)] if len(probs) else 0.0, backed)
-
-
-def _level(tree: Tree, depth: int, keys: np.ndarray, counts: np.ndarray, of_context: np.ndarray, min_gain: float) -> None:
-    """Add a depth: discounted probabilities, the divergence test and back-offs of its contexts.
-
-    A context stays if its next symbols, as counted, gain at least ``min_gain`` nats over its suffix, which is their
-    number times the divergence restricted to the symbols that are nodes.
-    """
-    n_ctx, size = len(of_context), max(tree.size, 1)
-    if depth == 1:
-        suffix = np.zeros(n_ctx, np.int64)
-    else:
-        word_of = tree.keys[depth - 2] % size
-        if depth == 2:
-            suffix = word_of
-        else:
-            suffix = find(tree.keys[depth - 3], tree.suffix[depth - 2][tree.keys[depth - 2] // size] * size + word_of)
-    tree.suffix.append(suffix)
-    ctx, word = keys // size, keys % size
-    p = (counts - DISCOUNT) / of_context[ctx]
-    lower = 10.0 ** after(tree, depth - 1, suffix[ctx], word)
-    gain, mass, below = (np.bincount(ctx, x, n_ctx) if len(keys) else np.zeros(n_ctx) for x in (counts * np.log(p / lower), p, lower))
-    left, rest = 1 - mass, 1 - below
-    kept = (gain >= min_gain) & (left > 1e-9) & (rest > 1e-9)
-    tree.keys.append(keys)
-    tree.probs.append(np.log10(p))
-    tree.kept.append(kept)
-    tree.backs.append(np.log10(np.where(kept, left / np.where(rest > 0, rest, 1), 1.0)))
-
-
-def lexicon(counts: DataFrame, word_share: float = WORD_SHARE) -> Tree:
-    """A tree without contexts from ``(word, c)``; no words give the empty tree."""
-    s = counts.agg(
-        F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
-    ).first()
-    tree = Tree(total=s["n"] or 0, distinct=s["v"])
-    if s["n1"] and s["n2"]:
-        tree.discount = s["n1"] / (s["n1"] + 2 * s["n2"])
-    c = np.zeros(0)
-    if tree.total:
-        rows = counts.where(F.col("c") >= max(1, word_share * tree.total)).orderBy(F.desc("c"), "word").toArrow()
-        tree.ids = {w: i for i, w in enumerate(rows.column("word").to_pylist())}
-        c = rows.column("c").to_numpy().astype(float)
-    tree.base = tree.base_log(c)
-    tree.root = np.log10((c - tree.discount) / max(tree.total, 1))
-    return tree
+    return run
 
 
-def grow(tree: Tree, coded: DataFrame, min_count=MIN_COUNT, min_gain=MIN_GAIN, depth=DEPTH, most=MOST_NODES) -> Tree:
-    """Add the contexts met in ``coded``, one column of word numbers by text as little-endian 32-bit integers.
+def _row(row: dict, id_type: pa.DataType) -> pa.RecordBatch:
+    """A chunk as a record batch of one row; arrays become their bytes."""
+    raw = lambda x: x.tobytes() if isinstance(x, np.ndarray) else x
+    lists = lambda xs: pa.array([[raw(x) for x in xs]], pa.list_(pa.binary()))
+    columns = {
+        "chunk": pa.array([row["chunk"]], pa.int64()),
+        "doc_id": pa.array([row["doc_id"]], pa.list_(id_type)),
+        "held_out": pa.array([row["held_out"]], pa.list_(pa.bool_())),
+        **{k: pa.array([raw(row[k])], pa.binary()) for k in ("starts", "ids", "words")},
+        **{k: lists(row[k]) for k in ("at", "n", "kept", "backs")},
+        **{k: pa.array([raw(row[k])], pa.binary()) for k in ("keys", "times", "contexts", "sums")},
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
-    Depths are added until one of them has no context that passes the test, ``depth`` at most.
+
+@dataclass
+class Level:
+    """Grams of one length that are nodes: by position the number of the gram that ends there, -1 if it is none.
+
+    By number its hash, its count, the numbers of the grams of the level before without its last and first word, and
+    log10 of its last word's probability after the others by the longest context that is kept.
     """
-    c = np.round(10.0**tree.root * max(tree.total, 1) + tree.discount)
-    tree.nodes = int((c >= min_count).sum())  # the commonest words, numbered first
-    end = tree.ids.get(END, -1)
-    of, limit = c, min_count
-    last = np.arange(len(c)) == end
-    for d in range(1, depth + 1):
-        keys, n, limit = _gram_counts(coded, tree, d, limit, most) if tree.nodes else (np.zeros(0, np.int64), np.zeros(0, np.int64), limit)
-        _level(tree, d, keys, n, np.where(last, np.inf, of), min_gain)  # nothing follows the end
-        if not tree.kept[-1].any():
-            break
-        of, last = n.astype(float), keys % max(tree.size, 1) == end
-    return tree
-
-
-def known_scores(tree: Tree, ids: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
-    """log10 probability of each known token, 0 for those outside the lexicon, which have the root's share."""
-    first = np.zeros(1, np.int64) if first is None else first
-    logs = np.where(ids >= 0, tree.root[np.maximum(ids, 0)] if tree.size else 0.0, 0.0)
-    before = contexts(tree, np.where(ids < tree.nodes, ids, -1), first, len(tree.keys))
-    for kept, backs, keys, probs, ctx in zip(tree.kept, tree.backs, tree.keys, tree.probs, before, strict=True):
-        ok = (ctx >= 0) & (kept[np.maximum(ctx, 0)] if len(kept) else False)
-        at = find(keys, np.where(ok & (ids >= 0), ctx * tree.size + ids, -1))
-        backed = np.where(ok, logs + (backs[np.maximum(ctx, 0)] if len(kept) else 0.0), logs)
-        logs = np.where(at >= 0, probs[np.maximum(at, 0)] if len(probs) else 0.0, backed)
-    return logs
-
-
-def _code(shared):
-    """Texts as numbers of the lexicon's words, -1 for others, whose hashes follow."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = shared.value.ids
-        for batch in pieces(batches, 256):
-            ids, rare = [], []
-            for text in as_bytes(batch.column(2)):
-                words = tokens(text)
-                found = numbers(words, words_of)
-                ids.append(found.astype("<i4").tobytes())
-                others = [xxhash.xxh64_intdigest(words[i], 42) for i in np.flatnonzero(found < 0).tolist()]
-                rare.append(np.array(others, np.uint64).view(np.int64))
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.int64()))],
-                names=["doc_id", "held_out", "ids", "rare"],
-            )
+    at: np.ndarray
+    keys: np.ndarray
+    n: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    resolved: np.ndarray
+
+
+class Chunk:
+    """The levels of a chunk as far as they were answered."""
+
+    def __init__(self, row: dict, model: Model):
+        self.row, self.model = row, model
+        self.starts = np.frombuffer(row["starts"], "<i8")
+        self.ids = np.frombuffer(row["ids"], "<i4")
+        self.words = np.frombuffer(row["words"], "<u8")
+        self.train = np.repeat(~np.array(row["held_out"], bool), np.diff(np.append(self.starts, len(self.ids))))
+        self.levels: list[Level] = []
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []  # by depth of the context: whether a node of the level is kept, and its back-off
+
+    def contexts(self, level: Level) -> np.ndarray:
+        """For each position the number of the gram that ends before it in its text, -1 if it is no node."""
+        before = np.full(len(level.at), -1, np.int64)
+        before[1:] = level.at[:-1]
+        before[self.starts] = -1
+        return before
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Grams one word longer than the last level's whose parts are nodes: pairs of parts, hashes, places, positions.
+
+        A gram is at most as frequent as its parts, so none that is frequent enough is missed.
+        """
+        level = self.levels[-1]
+        size = max(len(level.keys), 1)
+        before = self.contexts(level)
+        ok = (before >= 0) & (level.at >= 0)
+        pairs, place = np.unique(before[ok] * size + level.at[ok], return_inverse=True)
+        return pairs, _joined(level.keys[pairs // size], level.keys[pairs % size]), place, ok
+
+    def build(self) -> None:
+        """All levels for which there are answers."""
+        m, row = self.model, self.row
+        for d, (at, n) in enumerate(zip(row["at"], row["n"], strict=True)):
+            at, n = np.frombuffer(at, "<i4"), np.frombuffer(n, "<i8")
+            if d == 0:
+                self.counts = np.zeros(len(self.words), np.int64)
+                self.counts[at] = n
+                nodes = np.flatnonzero(self.counts >= m.min_count)
+                number = np.full(len(self.words), -1, np.int64)
+                number[nodes] = np.arange(len(nodes))
+                c, none = self.counts[nodes], np.zeros(0, np.int64)
+                root = np.log10((c - m.discount) / max(m.total, 1))
+                self.levels.append(Level(number[self.ids], self.words[nodes], c, none, none, root))
+                continue
+            last, (pairs, keys, place, ok) = self.levels[-1], self.candidates()
+            number = np.full(len(pairs), -1, np.int64)
+            number[at] = np.arange(len(at))
+            here = np.full(len(self.ids), -1, np.int64)
+            here[ok] = number[place]
+            size = max(len(last.keys), 1)
+            level = Level(here, keys[at], n, pairs[at] // size, pairs[at] % size, np.zeros(0))
+            if d <= len(row["kept"]):
+                self._resolve(d, level)
+            self.levels.append(level)
+
+    def _resolve(self, d: int, level: Level) -> None:
+        """Which contexts of ``d`` words are kept, and with that the probabilities of the level's words."""
+        last, row = self.levels[d - 1], self.row
+        kept, back = np.zeros(len(last.keys), bool), np.zeros(len(last.keys))
+        before = self.contexts(last)
+        of = np.unique(before[before >= 0])[np.frombuffer(row["kept"][d - 1], "<i4")]
+        kept[of], back[of] = True, np.frombuffer(row["backs"][d - 1], "<f8")
+        self.kept.append((kept, back))
+        own = np.log10(self.share(level, last))
+        level.resolved = np.where(kept[level.before], own, last.resolved[level.after])
+
+    @staticmethod
+    def share(level: Level, last: Level) -> np.ndarray:
+        """Discounted share that a context's next words have of it."""
+        return (level.n - DISCOUNT) / last.n[level.before]
+
+    def ask_contexts(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the contexts met, and for each the sums of gain, share and shorter context's share.
+
+        The sums are over the nodes of the last level that this chunk answers for, so that each node counts once.
+        """
+        level, last = self.levels[-1], self.levels[-2]
+        p, lower = self.share(level, last), 10.0 ** last.resolved[level.after]
+        sums = [
+            np.bincount(level.before[own], x[own], len(last.keys)) if own.any() else np.zeros(len(last.keys))
+            for x in (level.n * np.log(p / lower), p, lower)
+        ]
+        before = self.contexts(last)
+        used = np.unique(before[before >= 0])
+        return last.keys[used], np.stack([x[used] for x in sums], axis=1)
+
+    def scores(self) -> np.ndarray:
+        """log10 probability of each token by the longest context."""
+        m = self.model
+        root = np.full(len(self.words), np.log10(m.unseen))
+        seen = self.counts > 0
+        root[seen] = np.log10((self.counts[seen] - m.discount) / max(m.total, 1))
+        logs = root[self.ids]
+        for d, (kept, back) in enumerate(self.kept, 1):
+            level, before = self.levels[d], self.contexts(self.levels[d - 1])
+            ok = np.flatnonzero(before >= 0)
+            ok = ok[kept[before[ok]]]
+            logs[ok] += back[before[ok]]
+            ok = ok[level.at[ok] >= 0]
+            logs[ok] = level.resolved[level.at[ok]]
+        return logs
+
+
+def _taken(row: dict, replies: pa.Table) -> np.ndarray:
+    """Add the answers to a chunk; returns which of the grams it answers for."""
+    kind, at = replies.column("kind").to_numpy(), replies.column("at").to_numpy()
+    order = np.argsort(at, kind="stable")
+    own = np.zeros(0, bool)
+    of = {k: order[kind[order] == k] for k in (0, 1)}
+    if row["asked_grams"]:
+        own = replies.column("own").to_numpy()[of[0]].astype(bool)
+        row["at"].append(at[of[0]].astype("<i4"))
+        row["n"].append(replies.column("n").to_numpy()[of[0]].astype("<i8"))
+    if row["asked_contexts"]:
+        row["kept"].append(at[of[1]].astype("<i4"))
+        row["backs"].append(replies.column("back").to_numpy()[of[1]].astype("<f8"))
+    return own
+
+
+def _advance(model: Model, step: int, id_type: pa.DataType):
+    """A chunk with the answers of ``step``: it asks for the contexts of ``step`` words and the grams of one word more."""
+
+    def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
+        row = chunks.to_pylist()[0] | {"asked_grams": True, "asked_contexts": step > 1}
+        own = _taken(row, replies)
+        c = Chunk(row, model)
+        c.build()
+        row |= {"keys": b"", "times": b"", "contexts": b"", "sums": b""}
+        if step > 0:
+            row["contexts"], row["sums"] = c.ask_contexts(own)
+        if step < model.depth:
+            pairs, row["keys"], place, ok = c.candidates()
+            row["times"] = np.bincount(place[c.train[ok]], minlength=len(pairs))
+        return pa.Table.from_batches([_row(row, id_type)])
 
     return run
 
 
-def _score_rows(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in pieces(batches, 256):
-            ids, first = _texts_of(batch.column(1))
-            known = ids >= 0
-            base = np.where(known, model.base[np.maximum(ids, 0)] if model.size else 0.0, 0.0)
-            of_texts = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, known_scores(model, ids, first))]
-            n = np.diff(np.append(first, len(ids)))
-            yield pa.record_batch([batch.column(0), pa.array(n), *map(pa.array, of_texts)], names=["at", "n_tokens", "n_known", "base", "score"])
+def _finish(model: Model, asked_contexts: bool, id_type: pa.DataType, by_token: bool):
+    """Scores of the texts of a chunk, with the last contexts' answers."""
+
+    def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
+        row = chunks.to_pylist()[0] | {"asked_grams": False, "asked_contexts": asked_contexts}
+        _taken(row, replies)
+        c = Chunk(row, model)
+        c.build()
+        logs, of = c.scores(), c.counts[c.ids]
+        base = np.log10((of + 1) / (model.total + (model.distinct + 1)))
+        n = np.diff(np.append(c.starts, len(c.ids)))
+        columns = {
+            "doc_id": pa.array(row["doc_id"], id_type),
+            "held_out": pa.array(row["held_out"], pa.bool_()),
+            "n_tokens": pa.array(n),
+            "n_known": pa.array(np.add.reduceat((of > 0).astype(np.int64), c.starts)),
+            "train_tokens": pa.array(np.full(len(n), model.total, np.int64)),
+            "base_score": pa.array(np.add.reduceat(base, c.starts)),
+            "score": pa.array(np.add.reduceat(logs, c.starts)),
+        }
+        if by_token:
+            columns["token_scores"] = pa.array([x.tolist() for x in np.split(logs, c.starts[1:])], pa.list_(pa.float64()))
+        return pa.table(columns)
 
     return run
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", word_share=WORD_SHARE, **options) -> DataFrame:
+class _Chunks:
+    """A table of chunks, bucketed by their number, so that answers meet them without an exchange of the chunks."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        self.spark, self.path, self.name = spark, scratch_path(spark, "chunks"), f"chunks_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Rows are megabytes, so their sizes are looked at one by one.
+        options = {"path": self.path, "compression": "zstd", "parquet.block.size": 32 << 20}
+        options |= {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
+        df.write.format("parquet").options(**options).bucketBy(buckets, "chunk").saveAsTable(self.name)
+        self.rows = spark.table(self.name)
+
+    def asked(self, keys: str, values: str, names: list[str]) -> DataFrame:
+        """``(key, chunk, at, *names)``: what the chunks ask for, with as many values each as there are names."""
+        kind = "<i8" if values == "times" else "<f8"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    key = np.frombuffer(k, "<i8")
+                    cols = [key, np.full(len(key), chunk, np.int64), np.arange(len(key), dtype=np.int32)]
+                    cols += list(np.frombuffer(v, kind).reshape(len(key), len(names)).T)
+                    yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in cols], names=["key", "chunk", "at", *names])
+
+        of = "long" if values == "times" else "double"
+        return self.rows.select("chunk", keys, values).mapInArrow(run, f"key long, chunk long, at int, {', '.join(f'{n} {of}' for n in names)}")
+
+    def grams(self, limit: int) -> DataFrame:
+        """Counts of the grams asked for that occur ``limit`` times or more; one of the chunks that ask answers for a gram."""
+        every = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = self.asked("keys", "times", ["c"])
+        rows = rows.select("chunk", "at", F.sum("c").over(every).alias("n"), (F.first("chunk").over(every) == F.col("chunk")).alias("own"))
+        return rows.where(F.col("n") >= limit).select(F.lit(0).alias("kind"), "chunk", "at", "n", "own", F.lit(0.0).alias("back"))
+
+    def contexts(self, min_gain: float) -> DataFrame:
+        """The contexts asked for that pass the divergence test, with their back-offs.
+
+        A context stays if its next symbols, as counted, gain at least ``min_gain`` nats over its suffix, which is their
+        number times the divergence restricted to the symbols that are nodes.
+        """
+        every = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = self.asked("contexts", "sums", ["gain", "mass", "below"])
+        rows = rows.select("chunk", "at", *[F.sum(x).over(every).alias(x) for x in ("gain", "mass", "below")])
+        left, rest = 1 - F.col("mass"), 1 - F.col("below")
+        kept = rows.where((F.col("gain") >= min_gain) & (left > 1e-9) & (rest > 1e-9))
+        return kept.select(F.lit(1).alias("kind"), "chunk", "at", F.lit(0).cast("long").alias("n"), F.lit(False).alias("own"), F.log10(left / rest).alias("back"))
+
+    def met(self, replies: DataFrame, run, schema: str) -> DataFrame:
+        return self.rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+        removed(self.spark, self.path)
+
+
+def score(
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN,
+    depth: int = DEPTH, chunk: int = CHUNK, by_token: bool = False,
+) -> DataFrame:
     """Learn from the rows where ``train`` holds and score every row.
 
-    Returns ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``. ``base_score`` sums
-    log10((c + 1) / (N + (V + 1))) over the tokens. ``score`` is the tree's: the longest context that it holds gives
-    the probability of a next word that is its node, and its back-off times that of the shorter context otherwise;
-    without context a word of count c has (c - d) / N and all unseen words together d * V / N, with d from the words
-    seen once and twice. Every context's probabilities sum to one over the training words and the unseen one.
-
-    Texts are read twice, to count words and to number them; the rest works on the numbers, which are written once.
-    Null and empty texts are the end alone. With nothing to learn from, N and V are 0, the base score of a text is 0
-    and so is its score. Repeated rows stay. No rows give no rows. Other columns are ignored.
+    Returns ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, with ``by_token`` also
+    ``token_scores``. ``base_score`` sums log10((c + 1) / (N + (V + 1))) over the tokens. ``score`` is the tree's: the
+    longest context that it holds gives the probability of a next word that is its node, and its back-off times that
+    of the shorter context otherwise; without context a word of count c has (c - d) / N and all unseen words together
+    d * V / N, with d from the words seen once and twice. Every context's probabilities sum to one over the training
+    words and the unseen one. A node is any context of up to ``depth`` words that occurs ``min_count`` times or more
+    with its next word; neither words nor nodes have a greatest number.
+
+    Texts are read once and become chunks of about ``chunk`` tokens, which does not change results. For each depth the
+    chunks ask, once for each distinct gram, how often it occurs in all, and get answers about those that are nodes;
+    nothing is broadcast. Words and grams are told by 64 bits of hash. Null and empty texts are the end alone. With
+    nothing to learn from, N and V are 0, the base score of a text is 0 and so is its score. Repeated rows stay. No
+    rows give no rows. Other columns are ignored.
     """
-    context = docs.sparkSession.sparkContext
-    held = ~F.coalesce(train, F.lit(False))
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    held, text = ~F.coalesce(train, F.lit(False)), F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), text.alias("t"))
-    counts = stored(word_counts(rows.where("not held_out").select("t")), "words")
-    tree = lexicon(counts, word_share)
-    kind = docs.schema[id_col].dataType.simpleString()
-    words = context.broadcast(tree)
-    coded = rows.mapInArrow(_code(words), f"doc_id {kind}, held_out boolean, ids binary, rare array<long>")
-    coded = stored(coded.withColumn("at", F.monotonically_increasing_id()), "coded")  # fixed once it is written
-    grow(tree, coded.where("not held_out").select("ids"), **options)
-    known = coded.select("at", "ids").mapInArrow(
-        _score_rows(context.broadcast(tree)), "at long, n_tokens long, n_known long, base double, score double"
-    )
-    rare = counts.where(F.col("c") < max(1, word_share * tree.total)).select(F.xxhash64("word").alias("wh"), "c")
-    n, v, d = float(max(tree.total, 1)), float(tree.distinct), tree.discount
-    others = coded.select("at", F.explode("rare").alias("wh")).groupBy("at", "wh").agg(F.count("*").alias("times"))
-    joined = others.join(rare, "wh", "left")
-    c, times = F.coalesce(F.col("c"), F.lit(0)).cast("double"), F.col("times")
-    base = times * F.log10((c + 1) / (float(tree.total) + (v + 1)))
-    root = F.when(F.col("c").isNotNull(), F.log10((F.greatest(c, F.lit(1.0)) - d) / n)).otherwise(F.lit(math.log10(tree.unseen)))
-    sums = joined.groupBy("at").agg(
-        F.sum(F.when(F.col("c").isNotNull(), times).otherwise(0)).alias("n_more"), F.sum(base).alias("more_base"), F.sum(times * root).alias("more")
-    )
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    found = coded.select("at", "doc_id", "held_out").join(known, "at").join(sums, "at", "left")
-    return found.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + zero("n_more")).cast("long").alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base")).alias("base_score"),
-        (F.col("score") + zero("more")).alias("score"),
-    )
+    schema = _chunk_schema(kind)
+    now = _Chunks(rows.mapInArrow(_cut(chunk, id_type), schema))
+    words = stored(now.grams(1), "words")
+    s = words.where("own").agg(
+        F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")
+    ).first()
+    model = Model(min_count, min_gain, depth, s["n"] or 0, s["v"])
+    if s["n1"] and s["n2"]:
+        model.discount = s["n1"] / (s["n1"] + 2 * s["n2"])
+    replies, last = words, None
+    for step in range(depth + 1):
+        later = _Chunks(now.met(replies, _advance(model, step, id_type), schema))
+        now.drop()
+        now, replies = later, None
+        if step:
+            last = stored(now.contexts(min_gain), "contexts")
+            if step == depth or last.isEmpty():
+                break
+            replies = now.grams(min_count).unionByName(last)
+        else:
+            replies = now.grams(min_count)
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if last is None:  # no depth
+        last = words.where("false")
+    return now.met(last, _finish(model, depth > 0, id_type, by_token), result + (", token_scores array<double>" if by_token else ""))

@@ -274,47 +274,45 @@ def sentences(n, seed=4):
     return [" ".join(r.choice([*parts, f"r{r.randrange(60)}"]) for _ in range(30)) for _ in range(n)]
 
 
-def test_suffix_tree_equals_plain_version(spark):
+@pytest.mark.parametrize("chunk", [40, 1 << 19])
+def test_suffix_tree_equals_plain_version(spark, chunk):
     texts = [*sentences(80), None, "", "never seen words a b"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     train = F.col("doc_id") % 4 != 0
     want, kept = plain_tree([t for i, t in enumerate(texts) if i % 4])
     assert {len(c) for c in kept} >= {1, 2, 3}
-    for share in (1e-9, 2e-3):
-        got = {r["doc_id"]: r["score"] for r in suffixtree.score(docs, train, word_share=share).collect()}
-        assert len(got) == len(texts)
-        if share < 1e-6:  # the whole lexicon is broadcast
-            assert all(abs(got[i] - want(t)) < 1e-6 for i, t in enumerate(texts))
+    got = {r["doc_id"]: r["score"] for r in suffixtree.score(docs, train, chunk=chunk).collect()}
+    assert len(got) == len(texts)
+    assert all(abs(got[i] - want(t)) < 1e-6 for i, t in enumerate(texts))
 
 
 def test_suffix_tree_is_a_distribution(spark):
-    docs = spark.createDataFrame(list(enumerate(sentences(60))), "doc_id long, text string")
-    counts = suffixtree.word_counts(docs.select("text"))
-    tree = suffixtree.lexicon(counts)
-    from pyspark import SparkContext
-
-    coded = docs.selectExpr("doc_id", "false as held_out", "text").mapInArrow(
-        suffixtree._code(SparkContext.getOrCreate().broadcast(tree)), "doc_id long, held_out boolean, ids binary, rare array<long>"
-    )
-    suffixtree.grow(tree, coded.select("ids"), min_gain=1.0)
-    assert len(tree.kept) >= 3 and all(k.any() for k in tree.kept[:3])
-    rows = {bytes(r["word"]): r["c"] for r in counts.collect()}
-    assert abs(sum((x - tree.discount) / tree.total for x in rows.values()) + tree.unseen - 1) < 1e-9
-    # After any three words the probabilities of all words and the unseen one sum to one.
-    for before in ([b"a", b"b"], [b"x", b"y", b"z"], [b"q", b"y", b"z", b"u"], [b"e"]):
-        ids = suffixtree.numbers(before, tree.ids)
-        total = 0.0
-        for w in [*tree.ids, b"never seen"]:
-            log = suffixtree.known_scores(tree, np.append(ids, tree.ids.get(w, -1)))[-1]
-            total += 10**log * (1 if w in tree.ids else tree.unseen)
-        assert abs(total - 1) < 1e-6
-
-
-def test_suffix_tree_limits_its_nodes(spark):
-    docs = spark.createDataFrame(list(enumerate(sentences(60))), "doc_id long, text string")
-    whole = suffixtree.score(docs, F.lit(True)).agg(F.sum("score")).first()[0]
-    few = suffixtree.score(docs, F.lit(True), most=10).agg(F.sum("score")).first()[0]
-    assert few < whole < 0
+    texts = sentences(60)
+    _, kept = plain_tree(texts, min_gain=1.0)
+    words = sorted({w.decode() for t in texts for w in suffixtree.tokens(t.encode())} - {"\n"})
+    befores = ("a b", "x y z", "q y z u", "e", "a")
+    assert {len(c) for c in kept} >= {1, 2, 3} and any(tuple(b.encode().split()) in kept for b in befores)
+    # After each of these the probabilities of all words, the end and the unseen one sum to one.
+    asked = [(b, w) for b in befores for w in [*words, "never-seen", ""]]
+    rows = [(-1, t) for t in texts] + [(i, f"{b} {w}") for i, (b, w) in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffixtree.score(docs, F.col("doc_id") < 0, min_gain=1.0, by_token=True).where("held_out").collect()
+    sums = Counter()
+    for r in got:
+        assert abs(sum(r["token_scores"]) - r["score"]) < 1e-9
+        before = asked[r["doc_id"]][0]
+        sums[before] += 10 ** r["token_scores"][len(before.split())]
+    assert len(sums) == 5 and all(abs(x - 1) < 1e-6 for x in sums.values())
+
+
+def test_suffix_tree_has_all_nodes(spark):
+    """A rare word stands in contexts and follows them however many tokens there are."""
+    rare = ["zig zag zog"] * 12
+    docs = spark.createDataFrame(list(enumerate([*sentences(400), *rare])), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["token_scores"] for r in suffixtree.score(docs, F.lit(True), by_token=True).collect()}
+    want, kept = plain_tree([*sentences(400), *rare])
+    assert (b"zig",) in kept and 10 ** got[400][1] > 0.9
+    assert abs(sum(got[400]) - want("zig zag zog")) < 1e-6
 
 
 def test_suffix_tree_edges(docs, empty):
