@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlight.llm.common import as_bytes, pieces
-from pathlight.plans.lineage import removed, scratch_path, stored
+from pathlight.plans.lineage import scratch_path, stored
 
 #: The token that ends a text; no word holds a line feed.
 END = b"\n"
@@ -28,6 +28,10 @@ MIN_GAIN = 12.0
 DISCOUNT = 0.5
 #: Tokens of the texts that are worked on together, as one row; a longer text makes a chunk of its own.
 CHUNK = 1 << 19
+#: Keys, by their hash, that a task counts at once, about.
+SHARD = 1 << 20
+#: What chunks ask about: grams (their counts) and contexts (whether they are kept).
+GRAMS, CONTEXTS = 0, 1
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -68,16 +72,25 @@ def _joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def _chunk_schema(kind: str) -> str:
-    """A chunk: its texts, the numbers of their tokens among its words, and what was asked and answered by depth."""
-    return (
-        f"chunk long, doc_id array<{kind}>, held_out array<boolean>, starts binary, ids binary, words binary, "
-        "at array<binary>, n array<binary>, kept array<binary>, backs array<binary>, "
-        "keys binary, times binary, contexts binary, sums binary"
-    )
+    """A chunk: its texts, and the numbers of their tokens among its words, which are sorted hashes."""
+    return f"chunk long, doc_id array<{kind}>, held_out array<boolean>, n_tokens long, starts binary, ids binary, words binary"
+
+
+_ASKED = "shard long, chunk long, kind int, keys binary, values binary"
+_ANSWERS = "chunk long, kind int, shard long, answer binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, first bytes first, so that what they have in common lies together and is compressed well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(x: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).reshape(-1).view(dtype)
 
 
 def _cut(size: int, id_type: pa.DataType):
-    """Texts as chunks of about ``size`` tokens, which ask for the counts of their words."""
+    """Texts as chunks of about ``size`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, memory = TaskContext.get().partitionId() << 32, _Hashes()
@@ -87,18 +100,21 @@ def _cut(size: int, id_type: pa.DataType):
             nonlocal chunk, n
             starts = np.cumsum([0, *map(len, held)])[:-1]
             words, ids = np.unique(np.concatenate(held), return_inverse=True)
-            train = np.repeat(~np.array(flags, bool), [len(x) for x in held])
-            row = {
-                "chunk": chunk, "doc_id": list(docs), "held_out": list(flags), "starts": starts.astype("<i8"), "ids": ids.astype("<i4"),
-                "words": words, "keys": words, "times": np.bincount(ids[train], minlength=len(words)), "at": [], "n": [], "kept": [], "backs": [],
-                "contexts": b"", "sums": b"",
-            }
+            columns = {
+                "chunk": pa.array([chunk], pa.int64()),
+                "doc_id": pa.array([list(docs)], pa.list_(id_type)),
+                "held_out": pa.array([list(flags)], pa.list_(pa.bool_())),
+                "n_tokens": pa.array([len(ids)], pa.int64()),
+                "starts": pa.array([starts.astype("<i8").tobytes()], pa.binary()),
+                "ids": pa.array([ids.astype("<i4").tobytes()], pa.binary()),
+                "words": pa.array([_packed(words)], pa.binary()),
+            }
             chunk, n = chunk + 1, 0
             for x in (held, docs, flags):
                 x.clear()
             if len(memory) > 1_000_000:
                 memory.clear()
-            return _row(row, id_type)
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in pieces(batches, 256):
             for i, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
@@ -115,27 +131,13 @@ def _cut(size: int, id_type: pa.DataType):
     return run
 
 
-def _row(row: dict, id_type: pa.DataType) -> pa.RecordBatch:
-    """A chunk as a record batch of one row; arrays become their bytes."""
-    raw = lambda x: x.tobytes() if isinstance(x, np.ndarray) else x
-    lists = lambda xs: pa.array([[raw(x) for x in xs]], pa.list_(pa.binary()))
-    columns = {
-        "chunk": pa.array([row["chunk"]], pa.int64()),
-        "doc_id": pa.array([row["doc_id"]], pa.list_(id_type)),
-        "held_out": pa.array([row["held_out"]], pa.list_(pa.bool_())),
-        **{k: pa.array([raw(row[k])], pa.binary()) for k in ("starts", "ids", "words")},
-        **{k: lists(row[k]) for k in ("at", "n", "kept", "backs")},
-        **{k: pa.array([raw(row[k])], pa.binary()) for k in ("keys", "times", "contexts", "sums")},
-    }
-    return pa.RecordBatch.from_pydict(columns)
-
-
 @dataclass
 class Level:
     """Grams of one length that are nodes: by position the number of the gram that ends there, -1 if it is none.
 
     By number its hash, its count, the numbers of the grams of the level before without its last and first word, and
-    log10 of its last word's probability after the others by the longest context that is kept.
+    log10 of its last word's probability after the others by the longest context that is kept, and whether this chunk
+    answers for it.
     """
 
     at: np.ndarray
@@ -144,20 +146,33 @@ class Level:
     before: np.ndarray
     after: np.ndarray
     resolved: np.ndarray
+    own: np.ndarray
 
 
 class Chunk:
     """The levels of a chunk as far as they were answered."""
 
-    def __init__(self, row: dict, model: Model):
-        self.row, self.model = row, model
-        self.starts = np.frombuffer(row["starts"], "<i8")
-        self.ids = np.frombuffer(row["ids"], "<i4")
-        self.words = np.frombuffer(row["words"], "<u8")
-        self.train = np.repeat(~np.array(row["held_out"], bool), np.diff(np.append(self.starts, len(self.ids))))
+    def __init__(self, chunks: pa.Table, answers: pa.Table, model: Model):
+        self.row, self.model = chunks.to_pylist()[0], model
+        self.starts = np.frombuffer(self.row["starts"], "<i8")
+        self.ids = np.frombuffer(self.row["ids"], "<i4")
+        self.words = _unpacked(self.row["words"], "<u8")
+        self.train = np.repeat(~np.array(self.row["held_out"], bool), np.diff(np.append(self.starts, len(self.ids))))
+        self.answers: dict = {}  # by kind and depth, in the order of the hashes
+        parts = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "depth", "shard", "answer")), strict=True))
+        for kind, depth, _, answer in parts:
+            self.answers.setdefault((kind, depth), []).append(_unpacked(answer, "<f8" if kind == CONTEXTS else "<i8"))
         self.levels: list[Level] = []
         self.kept: list[tuple[np.ndarray, np.ndarray]] = []  # by depth of the context: whether a node of the level is kept, and its back-off
 
+    def answer(self, kind: int, depth: int, keys: np.ndarray) -> np.ndarray:
+        """The answers about keys, in the order of these."""
+        parts = self.answers.get((kind, depth), [])
+        out = np.zeros(len(keys), np.float64 if kind == CONTEXTS else np.int64)
+        if len(keys):
+            out[np.argsort(keys, kind="stable")] = np.concatenate(parts)
+        return out
+
     def contexts(self, level: Level) -> np.ndarray:
         """For each position the number of the gram that ends before it in its text, -1 if it is no node."""
         before = np.full(len(level.at), -1, np.int64)
@@ -177,62 +192,65 @@ class Chunk:
         pairs, place = np.unique(before[ok] * size + level.at[ok], return_inverse=True)
         return pairs, _joined(level.keys[pairs // size], level.keys[pairs % size]), place, ok
 
-    def build(self) -> None:
-        """All levels for which there are answers."""
-        m, row = self.model, self.row
-        for d, (at, n) in enumerate(zip(row["at"], row["n"], strict=True)):
-            at, n = np.frombuffer(at, "<i4"), np.frombuffer(n, "<i8")
-            if d == 0:
-                self.counts = np.zeros(len(self.words), np.int64)
-                self.counts[at] = n
-                nodes = np.flatnonzero(self.counts >= m.min_count)
-                number = np.full(len(self.words), -1, np.int64)
-                number[nodes] = np.arange(len(nodes))
-                c, none = self.counts[nodes], np.zeros(0, np.int64)
-                root = np.log10((c - m.discount) / max(m.total, 1))
-                self.levels.append(Level(number[self.ids], self.words[nodes], c, none, none, root))
-                continue
+    def build(self, grams: int, contexts: int) -> None:
+        """The levels, with grams of up to ``grams`` words beside the first and contexts of up to ``contexts`` words."""
+        m = self.model
+        self.counts = np.abs(self.answer(GRAMS, 0, self.words))
+        nodes = np.flatnonzero(self.counts >= m.min_count)
+        number = np.full(len(self.words), -1, np.int64)
+        number[nodes] = np.arange(len(nodes))
+        c, none = self.counts[nodes], np.zeros(0, np.int64)
+        root = np.log10((c - m.discount) / max(m.total, 1))
+        self.levels.append(Level(number[self.ids], self.words[nodes], c, none, none, root, none))
+        for d in range(1, grams + 1):
             last, (pairs, keys, place, ok) = self.levels[-1], self.candidates()
+            n = self.answer(GRAMS, d, keys)
+            nodes = np.flatnonzero(n)
             number = np.full(len(pairs), -1, np.int64)
-            number[at] = np.arange(len(at))
+            number[nodes] = np.arange(len(nodes))
             here = np.full(len(self.ids), -1, np.int64)
             here[ok] = number[place]
             size = max(len(last.keys), 1)
-            level = Level(here, keys[at], n, pairs[at] // size, pairs[at] % size, np.zeros(0))
-            if d <= len(row["kept"]):
+            level = Level(here, keys[nodes], np.abs(n[nodes]), pairs[nodes] // size, pairs[nodes] % size, np.zeros(0), n[nodes] < 0)
+            if d <= contexts:
                 self._resolve(d, level)
             self.levels.append(level)
 
     def _resolve(self, d: int, level: Level) -> None:
         """Which contexts of ``d`` words are kept, and with that the probabilities of the level's words."""
-        last, row = self.levels[d - 1], self.row
-        kept, back = np.zeros(len(last.keys), bool), np.zeros(len(last.keys))
-        before = self.contexts(last)
-        of = np.unique(before[before >= 0])[np.frombuffer(row["kept"][d - 1], "<i4")]
-        kept[of], back[of] = True, np.frombuffer(row["backs"][d - 1], "<f8")
+        last = self.levels[d - 1]
+        used = self.used(last)
+        back = np.full(len(last.keys), np.nan)
+        back[used] = self.answer(CONTEXTS, d, last.keys[used])
+        kept = ~np.isnan(back)
         self.kept.append((kept, back))
-        own = np.log10(self.share(level, last))
-        level.resolved = np.where(kept[level.before], own, last.resolved[level.after])
+        level.resolved = np.where(kept[level.before], np.log10(self.share(level, last)), last.resolved[level.after])
+
+    def used(self, level: Level) -> np.ndarray:
+        """The grams of a level that a word follows."""
+        before = self.contexts(level)
+        return np.unique(before[before >= 0])
 
     @staticmethod
     def share(level: Level, last: Level) -> np.ndarray:
         """Discounted share that a context's next words have of it."""
         return (level.n - DISCOUNT) / last.n[level.before]
 
-    def ask_contexts(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ask_grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the candidates and how often they occur in the training texts of this chunk."""
+        pairs, keys, place, ok = self.candidates()
+        return keys, np.bincount(place[self.train[ok]], minlength=len(pairs))
+
+    def ask_contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the contexts met, and for each the sums of gain, share and shorter context's share.
 
         The sums are over the nodes of the last level that this chunk answers for, so that each node counts once.
         """
         level, last = self.levels[-1], self.levels[-2]
         p, lower = self.share(level, last), 10.0 ** last.resolved[level.after]
-        sums = [
-            np.bincount(level.before[own], x[own], len(last.keys)) if own.any() else np.zeros(len(last.keys))
-            for x in (level.n * np.log(p / lower), p, lower)
-        ]
-        before = self.contexts(last)
-        used = np.unique(before[before >= 0])
-        return last.keys[used], np.stack([x[used] for x in sums], axis=1)
+        of, own, used = level.before[level.own], level.own, self.used(last)
+        sums = [np.bincount(of, x[own], len(last.keys))[used] for x in (level.n * np.log(p / lower), p, lower)]
+        return last.keys[used], np.stack(sums, axis=1)
 
     def scores(self) -> np.ndarray:
         """log10 probability of each token by the longest context."""
@@ -251,49 +269,99 @@ class Chunk:
         return logs
 
 
-def _taken(row: dict, replies: pa.Table) -> np.ndarray:
-    """Add the answers to a chunk; returns which of the grams it answers for."""
-    kind, at = replies.column("kind").to_numpy(), replies.column("at").to_numpy()
-    order = np.argsort(at, kind="stable")
-    own = np.zeros(0, bool)
-    of = {k: order[kind[order] == k] for k in (0, 1)}
-    if row["asked_grams"]:
-        own = replies.column("own").to_numpy()[of[0]].astype(bool)
-        row["at"].append(at[of[0]].astype("<i4"))
-        row["n"].append(replies.column("n").to_numpy()[of[0]].astype("<i8"))
-    if row["asked_contexts"]:
-        row["kept"].append(at[of[1]].astype("<i4"))
-        row["backs"].append(replies.column("back").to_numpy()[of[1]].astype("<f8"))
-    return own
-
-
-def _advance(model: Model, step: int, id_type: pa.DataType):
-    """A chunk with the answers of ``step``: it asks for the contexts of ``step`` words and the grams of one word more."""
-
-    def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
-        row = chunks.to_pylist()[0] | {"asked_grams": True, "asked_contexts": step > 1}
-        own = _taken(row, replies)
-        c = Chunk(row, model)
-        c.build()
-        row |= {"keys": b"", "times": b"", "contexts": b"", "sums": b""}
+def _asked(kind: int, keys: np.ndarray, values: np.ndarray, chunk: int, shards: int) -> pa.Table:
+    """What a chunk asks, a row for each shard of the hashes; keys are sorted, and so are the shards."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    at = np.flatnonzero(np.diff(shard, prepend=np.uint64(shards)))
+    ends = np.append(at, len(keys))[1:]
+    flat = np.ascontiguousarray(values).reshape(-1)
+    width = flat.size // max(len(keys), 1)
+    columns = {
+        "shard": pa.array(shard[at].astype(np.int64)),
+        "chunk": pa.array(np.full(len(at), chunk, np.int64)),
+        "kind": pa.array(np.full(len(at), kind, np.int32)),
+        "keys": pa.array([_packed(keys[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
+        "values": pa.array([_packed(flat[i * width : j * width]) for i, j in zip(at, ends, strict=True)], pa.binary()),
+    }
+    return pa.table(columns)
+
+
+def _ask(model: Model, step: int, shards: int):
+    """What chunks ask, knowing the grams of ``step`` words beside the first: their contexts, and the grams of a word more."""
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        c = Chunk(chunks, answers, model)
+        number, out = c.row["chunk"], []
+        if step < 0:
+            times = np.bincount(c.ids[c.train], minlength=len(c.words))
+            return _asked(GRAMS, c.words, times, number, shards)
+        c.build(step, step - 1)
         if step > 0:
-            row["contexts"], row["sums"] = c.ask_contexts(own)
+            out.append(_asked(CONTEXTS, *c.ask_contexts(), number, shards))
         if step < model.depth:
-            pairs, row["keys"], place, ok = c.candidates()
-            row["times"] = np.bincount(place[c.train[ok]], minlength=len(pairs))
-        return pa.Table.from_batches([_row(row, id_type)])
+            out.append(_asked(GRAMS, *c.ask_grams(), number, shards))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _finish(model: Model, asked_contexts: bool, id_type: pa.DataType, by_token: bool):
-    """Scores of the texts of a chunk, with the last contexts' answers."""
+def _answer(limit: int, min_gain: float):
+    """Answers to what all chunks ask about the hashes of a shard.
+
+    Grams: how often they occur in all, negative for the one chunk that answers for the gram, 0 below ``limit``.
+    Contexts: the back-off of those that are kept, else no number. A context stays if its next symbols, as counted, gain
+    at least ``min_gain`` nats over its suffix, which is their number times the divergence restricted to the symbols
+    that are nodes.
+    """
+
+    def run(asked: pa.Table) -> pa.Table:
+        asked = asked.sort_by("chunk")  # sums are taken in the same order in every run
+        kind = asked.column("kind")[0].as_py()
+        parts = [_unpacked(k, "<u8") for k in asked.column("keys").to_pylist()]
+        values = [_unpacked(v, "<i8" if kind == GRAMS else "<f8") for v in asked.column("values").to_pylist()]
+        _, first, place = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        values = np.concatenate(values)
+        if kind == GRAMS:
+            n = np.bincount(place, values, len(first)).astype(np.int64)
+            n[n < limit] = 0
+            out = n[place]
+            out[first] *= -1
+        else:
+            gain, mass, below = (np.bincount(place, x, len(first)) for x in values.reshape(-1, 3).T)
+            left, rest = 1 - mass, 1 - below
+            kept = (gain >= min_gain) & (left > 1e-9) & (rest > 1e-9)
+            back = np.full(len(first), np.nan)
+            back[kept] = np.log10(left[kept] / rest[kept])
+            out = back[place]
+        answers = [_packed(x) for x in np.split(out, np.cumsum([len(x) for x in parts])[:-1])]
+        return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "shard": asked.column("shard"), "answer": pa.array(answers, pa.binary())})
+
+    return run
+
 
-    def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
-        row = chunks.to_pylist()[0] | {"asked_grams": False, "asked_contexts": asked_contexts}
-        _taken(row, replies)
-        c = Chunk(row, model)
-        c.build()
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens, distinct ones and those seen once and twice, from answers about words; and contexts that are kept."""
+    for batch in batches:
+        n = np.zeros(5, np.int64)
+        for kind, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if kind == CONTEXTS:
+                n[4] += int((~np.isnan(_unpacked(x, "<f8"))).sum())
+            else:
+                c = -_unpacked(x, "<i8")
+                c = c[c > 0]
+                n[:4] += [c.sum(), len(c), (c == 1).sum(), (c == 2).sum()]
+        yield pa.RecordBatch.from_pydict({k: pa.array([int(v)]) for k, v in zip(("n", "v", "n1", "n2", "kept"), n, strict=True)})
+
+
+def _finish(model: Model, depth: int, id_type: pa.DataType, by_token: bool):
+    """Scores of the texts of a chunk by contexts of up to ``depth`` words."""
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        c = Chunk(chunks, answers, model)
+        c.build(depth, depth)
+        row = c.row
         logs, of = c.scores(), c.counts[c.ids]
         base = np.log10((of + 1) / (model.total + (model.distinct + 1)))
         n = np.diff(np.append(c.starts, len(c.ids)))
@@ -319,54 +387,15 @@ class _Chunks:
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
         self.spark, self.path, self.name = spark, scratch_path(spark, "chunks"), f"chunks_{uuid.uuid4().hex}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         # Rows are megabytes, so their sizes are looked at one by one.
         options = {"path": self.path, "compression": "zstd", "parquet.block.size": 32 << 20}
         options |= {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
-        df.write.format("parquet").options(**options).bucketBy(buckets, "chunk").saveAsTable(self.name)
+        df.write.format("parquet").options(**options).bucketBy(self.buckets, "chunk").saveAsTable(self.name)
         self.rows = spark.table(self.name)
 
-    def asked(self, keys: str, values: str, names: list[str]) -> DataFrame:
-        """``(key, chunk, at, *names)``: what the chunks ask for, with as many values each as there are names."""
-        kind = "<i8" if values == "times" else "<f8"
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for chunk, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    key = np.frombuffer(k, "<i8")
-                    cols = [key, np.full(len(key), chunk, np.int64), np.arange(len(key), dtype=np.int32)]
-                    cols += list(np.frombuffer(v, kind).reshape(len(key), len(names)).T)
-                    yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in cols], names=["key", "chunk", "at", *names])
-
-        of = "long" if values == "times" else "double"
-        return self.rows.select("chunk", keys, values).mapInArrow(run, f"key long, chunk long, at int, {', '.join(f'{n} {of}' for n in names)}")
-
-    def grams(self, limit: int) -> DataFrame:
-        """Counts of the grams asked for that occur ``limit`` times or more; one of the chunks that ask answers for a gram."""
-        every = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = self.asked("keys", "times", ["c"])
-        rows = rows.select("chunk", "at", F.sum("c").over(every).alias("n"), (F.first("chunk").over(every) == F.col("chunk")).alias("own"))
-        return rows.where(F.col("n") >= limit).select(F.lit(0).alias("kind"), "chunk", "at", "n", "own", F.lit(0.0).alias("back"))
-
-    def contexts(self, min_gain: float) -> DataFrame:
-        """The contexts asked for that pass the divergence test, with their back-offs.
-
-        A context stays if its next symbols, as counted, gain at least ``min_gain`` nats over its suffix, which is their
-        number times the divergence restricted to the symbols that are nodes.
-        """
-        every = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = self.asked("contexts", "sums", ["gain", "mass", "below"])
-        rows = rows.select("chunk", "at", *[F.sum(x).over(every).alias(x) for x in ("gain", "mass", "below")])
-        left, rest = 1 - F.col("mass"), 1 - F.col("below")
-        kept = rows.where((F.col("gain") >= min_gain) & (left > 1e-9) & (rest > 1e-9))
-        return kept.select(F.lit(1).alias("kind"), "chunk", "at", F.lit(0).cast("long").alias("n"), F.lit(False).alias("own"), F.log10(left / rest).alias("back"))
-
-    def met(self, replies: DataFrame, run, schema: str) -> DataFrame:
-        return self.rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
-
-    def drop(self) -> None:
-        self.spark.sql(f"drop table if exists {self.name}")
-        removed(self.spark, self.path)
+    def met(self, answers: DataFrame, run, schema: str) -> DataFrame:
+        return self.rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def score(
@@ -384,8 +413,8 @@ def score(
     with its next word; neither words nor nodes have a greatest number.
 
     Texts are read once and become chunks of about ``chunk`` tokens, which does not change results. For each depth the
-    chunks ask, once for each distinct gram, how often it occurs in all, and get answers about those that are nodes;
-    nothing is broadcast. Words and grams are told by 64 bits of hash. Null and empty texts are the end alone. With
+    chunks ask, once for each distinct gram, how often it occurs in all, and tasks that hold a share of the hashes answer
+    them; nothing is broadcast. Words and grams are told by 64 bits of hash. Null and empty texts are the end alone. With
     nothing to learn from, N and V are 0, the base score of a text is 0 and so is its score. Repeated rows stay. No
     rows give no rows. Other columns are ignored.
     """
@@ -395,27 +424,28 @@ def score(
     held, text = ~F.coalesce(train, F.lit(False)), F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), text.alias("t"))
     schema = _chunk_schema(kind)
-    now = _Chunks(rows.mapInArrow(_cut(chunk, id_type), schema))
-    words = stored(now.grams(1), "words")
-    s = words.where("own").agg(
-        F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")
-    ).first()
-    model = Model(min_count, min_gain, depth, s["n"] or 0, s["v"])
-    if s["n1"] and s["n2"]:
-        model.discount = s["n1"] / (s["n1"] + 2 * s["n2"])
-    replies, last = words, None
-    for step in range(depth + 1):
-        later = _Chunks(now.met(replies, _advance(model, step, id_type), schema))
-        now.drop()
-        now, replies = later, None
-        if step:
-            last = stored(now.contexts(min_gain), "contexts")
-            if step == depth or last.isEmpty():
+    chunks = _Chunks(rows.mapInArrow(_cut(chunk, id_type), schema))
+    shards = max((chunks.rows.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD, chunks.buckets)
+    model = Model(min_count, min_gain, depth)
+    answers = chunks.rows.sparkSession.createDataFrame([], _ANSWERS + ", depth int")
+    known = 0  # words of the longest contexts that are known
+    for step in range(-1, depth + 1):
+        asked = chunks.met(answers, _ask(model, step, shards), _ASKED)
+        told = asked.groupBy("kind", "shard").applyInArrow(_answer(min_count if step >= 0 else 1, min_gain), _ANSWERS)
+        of_grams, of_contexts = F.lit(step + 1), F.lit(step)
+        told = stored(told.withColumn("depth", F.when(F.col("kind") == GRAMS, of_grams).otherwise(of_contexts)), "answers")
+        answers = answers.unionByName(told)
+        s = told.select("kind", "answer").mapInArrow(_summed, "n long, v long, n1 long, n2 long, kept long")
+        s = s.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in s.columns]).first() if step != 0 else None
+        if step < 0:
+            model.total, model.distinct = s["n"], s["v"]
+            if s["n1"] and s["n2"]:
+                model.discount = s["n1"] / (s["n1"] + 2 * s["n2"])
+            if not depth:
+                break
+        elif step > 0:
+            known = step
+            if not s["kept"]:
                 break
-            replies = now.grams(min_count).unionByName(last)
-        else:
-            replies = now.grams(min_count)
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if last is None:  # no depth
-        last = words.where("false")
-    return now.met(last, _finish(model, depth > 0, id_type, by_token), result + (", token_scores array<double>" if by_token else ""))
+    return chunks.met(answers, _finish(model, known, id_type, by_token), result + (", token_scores array<double>" if by_token else ""))
