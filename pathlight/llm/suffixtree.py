@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlight.llm.common import as_bytes, pieces
-from pathlight.plans.lineage import scratch_path, stored
+from pathlight.operators.levels import LevelTable
+from pathlight.plans.lineage import scratch_path
 
 #: The token that ends a text; no word holds a line feed.
 END = b"\n"
@@ -166,12 +167,8 @@ class Chunk:
         self.kept: list[tuple[np.ndarray, np.ndarray]] = []  # by depth of the context: whether a node of the level is kept, and its back-off
 
     def answer(self, kind: int, depth: int, keys: np.ndarray) -> np.ndarray:
-        """The answers about keys, in the order of these."""
-        parts = self.answers.get((kind, depth), [])
-        out = np.zeros(len(keys), np.float64 if kind == CONTEXTS else np.int64)
-        if len(keys):
-            out[np.argsort(keys, kind="stable")] = np.concatenate(parts)
-        return out
+        """The answers about keys, which are sorted, as answers are."""
+        return np.concatenate(self.answers[kind, depth]) if len(keys) else np.zeros(0, np.float64 if kind == CONTEXTS else np.int64)
 
     def contexts(self, level: Level) -> np.ndarray:
         """For each position the number of the gram that ends before it in its text, -1 if it is no node."""
@@ -180,17 +177,19 @@ class Chunk:
         before[self.starts] = -1
         return before
 
-    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Grams one word longer than the last level's whose parts are nodes: pairs of parts, hashes, places, positions.
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Grams one word longer than the last level's whose parts are nodes: sorted hashes, both parts, places, positions.
 
         A gram is at most as frequent as its parts, so none that is frequent enough is missed.
         """
         level = self.levels[-1]
-        size = max(len(level.keys), 1)
         before = self.contexts(level)
-        ok = (before >= 0) & (level.at >= 0)
-        pairs, place = np.unique(before[ok] * size + level.at[ok], return_inverse=True)
-        return pairs, _joined(level.keys[pairs // size], level.keys[pairs % size]), place, ok
+        ok = np.flatnonzero((before >= 0) & (level.at >= 0))
+        first, second = before[ok], level.at[ok]
+        keys, place = np.unique(_joined(level.keys[first], level.keys[second]), return_inverse=True)
+        one = np.empty(len(keys), np.int64)
+        one[place] = np.arange(len(place))
+        return keys, first[one], second[one], place, ok
 
     def build(self, grams: int, contexts: int) -> None:
         """The levels, with grams of up to ``grams`` words beside the first and contexts of up to ``contexts`` words."""
@@ -203,15 +202,14 @@ class Chunk:
         root = np.log10((c - m.discount) / max(m.total, 1))
         self.levels.append(Level(number[self.ids], self.words[nodes], c, none, none, root, none))
         for d in range(1, grams + 1):
-            last, (pairs, keys, place, ok) = self.levels[-1], self.candidates()
+            last, (keys, first, second, place, ok) = self.levels[-1], self.candidates()
             n = self.answer(GRAMS, d, keys)
             nodes = np.flatnonzero(n)
-            number = np.full(len(pairs), -1, np.int64)
+            number = np.full(len(keys), -1, np.int64)
             number[nodes] = np.arange(len(nodes))
             here = np.full(len(self.ids), -1, np.int64)
             here[ok] = number[place]
-            size = max(len(last.keys), 1)
-            level = Level(here, keys[nodes], np.abs(n[nodes]), pairs[nodes] // size, pairs[nodes] % size, np.zeros(0), n[nodes] < 0)
+            level = Level(here, keys[nodes], np.abs(n[nodes]), first[nodes], second[nodes], np.zeros(0), n[nodes] < 0)
             if d <= contexts:
                 self._resolve(d, level)
             self.levels.append(level)
@@ -229,7 +227,9 @@ class Chunk:
     def used(self, level: Level) -> np.ndarray:
         """The grams of a level that a word follows."""
         before = self.contexts(level)
-        return np.unique(before[before >= 0])
+        met = np.zeros(len(level.keys), bool)
+        met[before[before >= 0]] = True
+        return np.flatnonzero(met)
 
     @staticmethod
     def share(level: Level, last: Level) -> np.ndarray:
@@ -238,8 +238,8 @@ class Chunk:
 
     def ask_grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the candidates and how often they occur in the training texts of this chunk."""
-        pairs, keys, place, ok = self.candidates()
-        return keys, np.bincount(place[self.train[ok]], minlength=len(pairs))
+        keys, _, _, place, ok = self.candidates()
+        return keys, np.bincount(place[self.train[ok]], minlength=len(keys))
 
     def ask_contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the contexts met, and for each the sums of gain, share and shorter context's share.
@@ -271,8 +271,6 @@ class Chunk:
 
 def _asked(kind: int, keys: np.ndarray, values: np.ndarray, chunk: int, shards: int) -> pa.Table:
     """What a chunk asks, a row for each shard of the hashes; keys are sorted, and so are the shards."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
     shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
     at = np.flatnonzero(np.diff(shard, prepend=np.uint64(shards)))
     ends = np.append(at, len(keys))[1:]
@@ -427,15 +425,17 @@ def score(
     chunks = _Chunks(rows.mapInArrow(_cut(chunk, id_type), schema))
     shards = max((chunks.rows.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD, chunks.buckets)
     model = Model(min_count, min_gain, depth)
-    answers = chunks.rows.sparkSession.createDataFrame([], _ANSWERS + ", depth int")
+    table = LevelTable(docs.sparkSession, "answers", "chunk")
+    answers = docs.sparkSession.createDataFrame([], _ANSWERS + ", depth int")
     known = 0  # words of the longest contexts that are known
     for step in range(-1, depth + 1):
         asked = chunks.met(answers, _ask(model, step, shards), _ASKED)
         told = asked.groupBy("kind", "shard").applyInArrow(_answer(min_count if step >= 0 else 1, min_gain), _ANSWERS)
         of_grams, of_contexts = F.lit(step + 1), F.lit(step)
-        told = stored(told.withColumn("depth", F.when(F.col("kind") == GRAMS, of_grams).otherwise(of_contexts)), "answers")
-        answers = answers.unionByName(told)
-        s = told.select("kind", "answer").mapInArrow(_summed, "n long, v long, n1 long, n2 long, kept long")
+        told = told.withColumn("depth", F.when(F.col("kind") == GRAMS, of_grams).otherwise(of_contexts))
+        table.add(told, step, deal=True)
+        answers = table.rows()
+        s = table.rows(step).select("kind", "answer").mapInArrow(_summed, "n long, v long, n1 long, n2 long, kept long")
         s = s.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in s.columns]).first() if step != 0 else None
         if step < 0:
             model.total, model.distinct = s["n"], s["v"]
