@@ -30,29 +30,41 @@ _INLINE = frozenset(
 )
 #: Elements that hold no main text.
 _NOISE = frozenset(
-    "nav aside footer form script style noscript template svg math iframe object embed button select textarea input "
+    "nav aside footer script style noscript template svg math iframe object embed button select textarea input "
     "dialog menu head title canvas audio video noembed noframes datalist".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of class and id names that mark parts around the main text, alone or with any others.
+#: Words of class and id names that mark parts around the main text, alone, beside each other and the companions below. A
+#: name that has other words too, as ``menu-engineering``, makes a part suspect, and its density decides.
 _NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion "
     "promoted sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies consent "
     "gdpr popup modal newsletter recommended recommendations comment comments disqus widget toolbar pagination pager "
     "copyright signup paywall outbrain taboola".split()
 )
-#: Words that mark such a part alone or beside each other and the companions: ``share-price`` is text, ``share-bar`` not.
+#: Words that mark such a part in the same way but do not make it suspect: ``share-price`` is text, ``share-bar`` not.
 _DOUBTFUL = frozenset(
     "notice notices overlay subscribe subscription share sharing social related reply replies respond login search skip alert".split()
 )
 _COMPANIONS = frozenset(
     "bar box block button buttons link links list item items icon icons area section wrapper wrap container holder inner outer "
     "post posts article articles story stories page site content main top bottom left right header form panel group "
-    "media tools tool field input to us this on follow the more also by you see read stack row col column".split()
+    "media tools tool field input to us this on follow the more also by you see read stack row col column "
+    "user users reader readers author thread count title date meta primary secondary mobile desktop sticky fixed default "
+    "large small full new latest js wp".split()
 )
+#: Words that are no topics of a text: they mark a part whatever stands beside them.
+_SURE = frozenset("comments disqus sidebar navbar breadcrumb breadcrumbs adsense outbrain taboola popup modal paywall".split())
 _MAIN_NAMES = frozenset("content article main post entry story body text page wrapper container".split())
 #: A name that starts so says what a part has or lacks, not what it is.
 _ABOUT = frozenset("with has no without non not show hide is".split())
+#: Elements of a form that count as tags of it, though they hold no text.
+_CONTROLS = frozenset("input select textarea button".split())
+#: A suspect part is text from this share of the unlinked characters a tag of the main text found without suspects, and from
+#: this many characters a tag on a page that has no other text.
+SUSPECT_SHARE, BARE = 0.5, 40.0
+#: Beside an article or main part a box is text too from this share of the sum of densities found in it.
+BESIDE_SHARE = 0.5
 #: Blocks of text.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table".split())
 _READER = frozenset("comment comments reply replies related promo sponsored ad advert respond disqus".split())
@@ -75,12 +87,12 @@ _ENDED = frozenset({"p"}).union(_HEADINGS, *_ENDS.values())
 
 class Node:
     __slots__ = (
-        "tag", "attrs", "up", "parts", "chars", "tags", "link_chars", "links", "density", "total", "noise", "block", "keeper", "scope",
+        "tag", "attrs", "up", "parts", "chars", "tags", "link_chars", "links", "density", "total", "noise", "sure", "suspect", "block", "keeper", "scope",
     )
 
     def __init__(self, tag: str, attrs: str, up: Node | None):
         self.tag, self.attrs, self.up, self.parts = tag, attrs, up, []
-        self.noise = False
+        self.noise = self.sure = self.suspect = False
         # The nearest elements, itself included, that ends of inline tags, of kept tags and starts of blocks do not pass.
         self.block = up.block if up is not None and tag in _INLINE else self
         self.keeper = self if up is None or tag in _KEEPERS else up.keeper
@@ -199,21 +211,28 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(text)} if text.strip() else {}
 
 
-def _names_noise(parts: list[str]) -> bool:
-    """Whether the words of one class or id name mark a part around the main text."""
-    if not _NOISE_NAMES.isdisjoint(parts):
+def _names_noise(parts: list[str]) -> bool | None:
+    """Whether the words of one class or id name mark a part around the main text; None if they only may."""
+    if not _SURE.isdisjoint(parts):
         return True
-    return not _DOUBTFUL.isdisjoint(parts) and all(p in _DOUBTFUL or p in _COMPANIONS or p.isdigit() for p in parts)
+    named = not _NOISE_NAMES.isdisjoint(parts)
+    if not named and _DOUBTFUL.isdisjoint(parts):
+        return False
+    if all(p in _NOISE_NAMES or p in _DOUBTFUL or p in _COMPANIONS or p.isdigit() for p in parts):
+        return True
+    return None if named else False
 
 
-def _is_noise(node: Node, in_article: bool, has_main: bool) -> bool:
+def _is_noise(node: Node, in_article: bool, has_main: bool) -> bool | None:
+    """Whether a node holds no main text by its element, role and names; None where its density has to tell."""
     tag = node.tag
     if tag in _NOISE:
         return True
     if tag == "header":
         return not in_article
+    doubt = None if tag == "form" else False
     if not node.attrs or tag == "main":
-        return False
+        return doubt
     a = _attributes(node.attrs)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
@@ -221,19 +240,24 @@ def _is_noise(node: Node, in_article: bool, has_main: bool) -> bool:
         return True
     names = [[x.lower() for x in _NAME.findall(t)] for t in (a.get("class", "") + " " + a.get("id", "")).split()]
     names = [parts for parts in names if parts and parts[0] not in _ABOUT]
-    reader = any(not _READER.isdisjoint(parts) for parts in names)
+    told = [_names_noise(parts) for parts in names]
+    reader = any(n and not _READER.isdisjoint(parts) for n, parts in zip(told, names, strict=True))
     if tag == "article":
         return reader
-    noisy = [_names_noise(parts) for parts in names]
-    main = any(not n and not _MAIN_NAMES.isdisjoint(parts) for n, parts in zip(noisy, names, strict=True))
-    if any(noisy):
-        return not has_main and (reader or not main)
+    main = any(n is False and not _MAIN_NAMES.isdisjoint(parts) for n, parts in zip(told, names, strict=True))
+    if any(told):
+        return (not has_main and (reader or not main)) or doubt
     page_header = any("header" in parts and _MAIN_NAMES.difference(("page", "main")).isdisjoint(parts) for parts in names)
-    return page_header and not in_article and not has_main and tag in ("div", "section", "table")
+    if page_header and not in_article and not has_main and tag in ("div", "section", "table"):
+        return True
+    return None if None in told and not main and not has_main else doubt
+
 
+def _mark(root: Node) -> list[Node]:
+    """Set ``noise`` and ``suspect``; suspects count as noise at first. Returns the suspects outside of other noise.
 
-def _mark(root: Node) -> None:
-    """Set ``noise``: from the leaves whether a node holds an article or main part, from the root whether it is in one."""
+    From the leaves comes whether a node holds an article or main part, from the root whether it is in one.
+    """
     order, stack = [], [root]
     while stack:
         x = stack.pop()
@@ -244,11 +268,50 @@ def _mark(root: Node) -> None:
         main.setdefault(id(x), False)
         if x.up is not None and (x.tag in ("article", "main") and not _is_noise(x, True, False) or main[id(x)]):
             main[id(x.up)] = True
-    inside = {id(root): False}
+    inside, suspects = {id(root): False}, []
     for x in order:
-        if x.up is not None:
-            inside[id(x)] = inside[id(x.up)] or x.up.tag in ("article", "main")
-            x.noise = x.up.noise or _is_noise(x, inside[id(x)], main[id(x)])
+        if x.up is None:
+            continue
+        inside[id(x)] = inside[id(x.up)] or x.up.tag in ("article", "main")
+        found = x.up.sure or _is_noise(x, inside[id(x)], main[id(x)])
+        x.sure, x.suspect = found is True, found is None
+        if x.suspect:
+            suspects.append(x)
+    _settle(order)
+    return suspects
+
+
+def _settle(order: list[Node]) -> None:
+    for x in order:
+        x.noise = x.sure or x.suspect or x.up is not None and x.up.noise
+
+
+def _acquit(suspects: list[Node], least: float) -> bool:
+    """Clear the suspects with ``least`` unlinked characters a tag or more, inner ones first; whether there are any.
+
+    Each is measured with what it holds but for noise and the suspects in it that are not cleared. The controls of a form
+    are tags.
+    """
+    order, stack, linked = [], [x for x in suspects if not x.up.noise], {}
+    while stack:
+        x = stack.pop()
+        linked[id(x)] = linked.get(id(x.up), False) or x.tag == "a"
+        order.append(x)
+        stack.extend(c for c in x.parts if isinstance(c, Node) and not c.sure)
+    free, tags, cleared = {}, {}, False
+    for x in reversed(order):
+        held = [c for c in x.parts if isinstance(c, Node) and not c.sure and not c.suspect]
+        own = 0 if linked[id(x)] else sum(len(" ".join(t.split())) for t in x.parts if isinstance(t, str))
+        controls = sum(isinstance(c, Node) and c.tag in _CONTROLS for c in x.parts)
+        free[id(x)] = own + sum(free[id(c)] for c in held)
+        tags[id(x)] = controls + sum(tags[id(c)] for c in held)
+        if own or controls or len(held) != 1:  # no mere wrapper of one element
+            tags[id(x)] += len(held)
+        if x.suspect and free[id(x)] >= least * max(tags[id(x)], 1):
+            x.suspect, cleared = False, True
+    if cleared:
+        _settle(order)
+    return cleared
 
 
 def _measure(root: Node) -> list[Node]:
@@ -322,40 +385,49 @@ def _emit(node: Node, threshold: float, blocks: list[str]) -> None:
 
 
 def _with_dense_parts(best: Node, threshold: float) -> Node:
-    """The body, reduced to the densest subtree, the text beside its path, and what else is as dense as ``threshold``.
+    """The body, reduced to the densest subtree, the text beside its path, and what else is dense.
 
     Inside the boxes around the densest subtree paragraphs, headings, lists and quotations are text of the same article,
-    and so is what stands bare; directly in the body, among other boxes of the page, only headings before are, and what
-    is as dense, a bare text having its characters for a density. Other boxes have to be as dense anywhere.
+    and so is what stands bare; other boxes have to be as dense as ``threshold``, or within an article or main part to
+    be less than half links. Directly in the body, among other boxes of the page, only headings before are text, and
+    what is as dense, a bare text having its characters for a density. Where an article or main part is around the
+    densest subtree, a box beside that part is text only if its densities sum up to a good part of the article's.
     """
-    x = best
-    while x.up is not None:
-        outermost, before, kept = x.up.up is None, True, []
-        for c in x.up.parts:
+    chain = [best]
+    while chain[-1].up is not None:
+        chain.append(chain[-1].up)
+    marked = [i for i, x in enumerate(chain) if x.tag in ("article", "main")]
+    last = marked[-1] if marked else -1
+    beside = BESIDE_SHARE * max((x.total for x in chain[: last + 1]), default=0.0)
+    for i in range(1, len(chain)):
+        x, up = chain[i - 1], chain[i]
+        within, outermost = i <= last, up.up is None
+        before, kept = True, []
+        for c in up.parts:
             if c is x:
                 before = False
                 kept.append(c)
             elif isinstance(c, str):
-                if not outermost or len(" ".join(c.split())) >= threshold:
+                if within or not marked and (not outermost or len(" ".join(c.split())) >= threshold):
                     kept.append(c)
             elif c.noise:
                 continue
+            elif marked and not within:
+                if c.tag not in _INLINE and c.density >= threshold and c.total >= beside:
+                    kept.append(c)
             elif c.tag in _INLINE or c.tag == "br":
                 if not outermost or not c.link_chars and c.chars >= threshold:
                     kept.append(c)
             elif c.density >= threshold or before and c.tag in ("h1", "h2") or not outermost and c.tag in _TEXT:
                 kept.append(c)
-        x.up.parts = kept
-        x = x.up
-    return x
+            elif within and 2 * c.link_chars <= c.chars:
+                kept.append(c)
+        up.parts = kept
+    return chain[-1]
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page, a line for each block; empty if there is none."""
-    if not page:
-        return ""
-    root = parse(page)
-    _mark(root)
+def _densest(root: Node) -> tuple[Node, float]:
+    """The subtree of the greatest sum of densities, and the least density on its path to the body."""
     order = _measure(root)
     _densities(order)
     best = max((x for x in order if x.tag not in _INLINE), key=lambda x: x.total)
@@ -363,26 +435,34 @@ def main_text(page: str | None) -> str:
     while x is not None:
         threshold = min(threshold, x.density)
         x = x.up
-    # The article or main part around the densest subtree belongs to it: its headings are sparse, but text.
-    top, x = best, best
-    while x.up is not None:
-        if x.tag in ("article", "main"):
-            top = x
-        x = x.up
-    if top is best:
-        top = _with_dense_parts(best, threshold)
+    return best, threshold
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page, a line for each block; empty if there is none."""
+    if not page:
+        return ""
+    root = parse(page)
+    suspects = _mark(root)
+    best, threshold = _densest(root)
+    if suspects:
+        free = best.chars - best.link_chars
+        if _acquit(suspects, SUSPECT_SHARE * free / max(best.tags, 1) if free else BARE):
+            best, threshold = _densest(root)
     blocks: list[str] = []
-    _emit(top, threshold, blocks)
+    _emit(_with_dense_parts(best, threshold), threshold, blocks)
     return "\n".join(blocks)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row.
 
-    Noise elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are
-    told by element, role and names; among the rest the subtree of the greatest sum of child densities is the main
-    text, with the threshold of the least density on its path to the body. An article or main part around that subtree
-    belongs to it as a whole, but for boxes and lists of three links or more that are less dense than the threshold. A
+    Noise elements (menus, headers, footers, sidebars, notices, adverts, scripts, styles, reader comments) are told by
+    element, role and names; forms, and parts with names that only may tell so, are text where they are as dense as
+    ``SUSPECT_SHARE`` says. Among the rest the subtree of the greatest sum of child densities is the main text, with the
+    threshold of the least density on its path to the body, and with it the parts beside that path as
+    ``_with_dense_parts`` says: inside an article or main part those of unlinked text, beside it those of a comparable
+    sum of densities. Boxes and lists of three links or more that are less dense than the threshold are left out. A
     line break ends a block. A null or empty page, or one without main text, gives an empty text. Character references
     are decoded; white space in a block becomes one blank. Pages that are no valid HTML are repaired, of any depth.
     Repeated rows stay; no rows give no rows; other columns are ignored.

@@ -1,6 +1,7 @@
 """Operators that work text by text: BPE, language ID, HTML, quality measures."""
 
 import hashlib
+import html as stdlib_html
 import math
 import random
 import zlib
@@ -313,6 +314,108 @@ def test_html_density_chooses_among_boxes():
     assert out.count("Plain sentences") == 8 and "Entry" not in out
 
 
+NAMES = "ad-hoc-analysis menu-engineering footer-note comment-on-ruling cookies-recipe banner-year navigation-history signup-guide widget-review"
+
+
+@pytest.mark.parametrize("name", NAMES.split())
+def test_html_density_overrules_names(name):
+    text = f"Title\n{LONG_A}\n{LONG_B}\n{LONG_A[::-1]}"
+    part = f"<section class='{name}'><p>{LONG_B}</p></section>"
+    assert html.main_text(page(f"<article><h1>Title</h1><p>{LONG_A}</p>{part}<p>{LONG_A[::-1]}</p></article>")) == text
+    assert html.main_text(page(f"<div><h1>Title</h1><p>{LONG_A}</p>{part}<p>{LONG_A[::-1]}</p></div>")) == text
+    # The same names on parts that are not dense, and names of nothing but such words, mark noise.
+    for low in (f"<div class='{name}'>Buy now!</div>", f"<div class='{name}'><p>{LONG_B[:40]}</p><p>Yes</p><p>No</p></div>", "<div class='comment-list ad-box'><p>" + LONG_B + "</p></div>"):
+        assert html.main_text(page(f"<article><h1>Title</h1><p>{LONG_A}</p>{low}<p>{LONG_B}</p><p>{LONG_A[::-1]}</p></article>")) == text
+
+
+def test_html_forms():
+    """A form around the page is no noise; forms to fill in are, alone on a page too."""
+    body = f"<h1>Title</h1><p>{LONG_A}</p><p>{LONG_B}</p>"
+    fill = "<form><p>Your name <input name=n></p><p>Your message to us <textarea></textarea></p><button>Send</button></form>"
+    want = f"Title\n{LONG_A}\n{LONG_B}"
+    for around in (f"<article>{body}</article>", f"<div>{body}</div>", f"<main>{body}{fill}</main>"):
+        assert html.main_text(page(f"<form id=form1><input type=hidden><nav><a href=1>Home</a></nav>{around}<footer>Imprint</footer></form>")) == want
+    assert html.main_text(page(f"<article>{body}{fill}</article>")) == html.main_text(page(f"<article>{body}</article>{fill}")) == want
+    assert html.main_text(page(fill)) == html.main_text(page("<form>Search <input></form>")) == ""
+    assert html.main_text("<form class=ad-hoc>" * 3000 + f"<p>{LONG_A}") == LONG_A
+
+
+def test_html_article_is_not_decisive():
+    """Where the greatest sum of densities is decides, not where an ``article`` is: with the ablation these texts differ."""
+    body = f"<p>{LONG_A}</p><p>{LONG_B}</p><p>{LONG_A[::-1]}</p>"
+    want = f"{LONG_A}\n{LONG_B}\n{LONG_A[::-1]}"
+    teaser = "<article><h2><a href=1>Other story</a></h2><p>In short.</p></article>"
+    assert html.main_text(page(teaser, f"<div>{body}</div>", teaser)) == want
+    # A second article of the same weight is text as well, a lesser one is not, nor is a note beside it.
+    assert html.main_text(page(f"<article>{body}</article><p>{LONG_B[:60]}</p><article>{body}</article>{teaser}")) == f"{want}\n{want}"
+    # Inside an article density bounds the text: a box of links goes, one of short lines stays.
+    box = "<div><p><a href=1>First of the other stories</a></p><p><a href=2>Second of the other stories</a></p></div>"
+    assert html.main_text(page(f"<article><div>{body}</div>{box}<div>By Jane Doe</div></article>")) == f"{want}\nBy Jane Doe"
+
+
+def plain_text(page):
+    """Main text as defined, by recursion over the tree of a page without suspects; densities are the plain ones."""
+    root = html.parse(page)
+    assert not html._mark(root)
+    order = html._measure(root)
+    density, sums = plain_densities(order)
+    path = [max((x for x in order if x.tag not in html._INLINE), key=lambda x: sums[id(x)])]
+    while path[-1].up is not None:
+        path.append(path[-1].up)
+    least = min(density[id(x)] for x in path)
+    article = max((i for i, x in enumerate(path) if x.tag in ("article", "main")), default=-1)
+    weight = max((sums[id(x)] for x in path[: article + 1]), default=0) * html.BESIDE_SHARE
+
+    def stays(c, i, before):
+        """Whether part ``c`` of ``path[i]``, not on the path itself, is text."""
+        body, text = i == len(path) - 1, isinstance(c, str)
+        if i > article >= 0:
+            return not text and c.tag not in html._INLINE and density[id(c)] >= max(least, 0) and sums[id(c)] >= weight
+        if text:
+            return not body or len(" ".join(c.split())) >= least
+        if c.tag in html._INLINE or c.tag == "br":
+            return not body or (not c.link_chars and c.chars >= least)
+        dense = density[id(c)] >= least or (before and c.tag in ("h1", "h2")) or (not body and c.tag in html._TEXT)
+        return dense or (i <= article and 2 * c.link_chars <= c.chars)
+
+    def text(x, out):
+        if isinstance(x, str):
+            out.append(x)
+            return
+        if x.tag in ("br", "hr"):
+            out.append("\n\n")
+            return
+        linked = x.links >= 3 and x.link_chars > 0.7 * x.chars and density[id(x)] < least and x.tag not in html._INLINE
+        edge = "" if x.tag in html._INLINE else "\n\n"
+        out.append(edge)
+        if not (linked and x is not root):
+            i, before = (path.index(x) if x in path else 0), True
+            for c in x.parts:
+                if not isinstance(c, str) and c.noise:
+                    continue
+                on = i > 0 and c is path[i - 1]
+                before = before and not on
+                if i == 0 or on or stays(c, i, before):
+                    text(c, out)
+        out.append(edge)
+
+    parts = []
+    text(root, parts)
+    marked = "".join(p if p == "\n\n" else " ".join(f"_{p}_".split())[1:-1] for p in parts)
+    blocks = (" ".join(stdlib_html.unescape(b).split()) for b in marked.split("\n\n"))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_html_text_equals_plain_one(spark, sf):
+    pages = [r["html"] for r in table(spark, sf, "pages").collect()]
+    found = [r["text"] for r in html.extract(table(spark, sf, "pages")).orderBy("page_id").collect()]
+    assert found == [plain_text(r["html"]) for r in table(spark, sf, "pages").orderBy("page_id").collect()]
+    for article in ("<div>", "<section>"):  # the same pages without the element
+        for p in pages[:150]:
+            p = p.replace("<article>", article).replace("</article>", article.replace("<", "</"))
+            assert html.main_text(p) == plain_text(p)
+
+
 @pytest.mark.parametrize("page", ["<span>{}</b>", "<b>{}<p>x", "<div>{}</p>", "<ul><li><ul><b>{}<li>x"])
 def test_stray_tags_take_linear_time(page):
     """Five times the tags take far less than the twenty-five times of a walk to the root for each."""
