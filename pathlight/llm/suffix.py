@@ -6,13 +6,16 @@ same: a bucket. Runs of neighbouring windows that share their bucket's q-gram ar
 repeats. Only the runs of the other buckets, at the borders of repeated passages, send their bytes on. There a bucket is
 first split by the bytes that all its windows of a class share, a class being some neighbouring distances between the
 start of a window and its q-gram, and then the buckets of q-grams are refined by sorting on the buckets at later offsets
-until they stand for whole windows. A split that is still too large for a task is split again, by whole windows.
+until they stand for whole windows. A split that is still too large for a task is split again by narrower classes, whose
+windows share more bytes, and so on; the windows of a class of one distance share all their bytes, so a split of such a
+class is a repeated window as it stands.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ from pathlight.plans.lineage import cut
 WINDOW, QGRAM = 200, 32
 #: Bytes of text whose q-grams are hashed at once.
 SECTION = 1 << 21
-#: Distances of a class, and runs of a split bucket that are refined together; more of them are split by each distance.
-CLASS, MOST_RUNS = 43, 1_000
+#: Distances of a class, how many times fewer a narrower class has, and runs of a split bucket that are refined together;
+#: more of them are split again.
+CLASS, NARROWER, MOST_RUNS = 43, 6, 1_000
 #: Bytes that one call of ``refine`` is given, give or take a bucket.
 AT_ONCE = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
@@ -253,34 +257,23 @@ def _refine_sorted(window: int):
 
 
 def _split(spans: DataFrame, window: int, width: int) -> DataFrame:
-    """``(sub, bucket, content, cls)``: a row for each class of ``width`` distances that a run has windows of.
+    """``(sub, bucket, content, lo, hi)``: a row for each class of ``width`` distances in ``lo..hi`` that a run has windows of.
 
-    Windows that start at distances from ``cls * width`` to ``width`` - 1 more before the q-gram all hold the bytes from
-    the least distance before it to where the window of the greatest ends. Runs of a bucket that share such a window
-    agree on those bytes, of which ``sub`` is a hash, so only runs of one ``sub`` have to be compared.
+    Windows that start at distances from ``lo`` to ``hi`` before the q-gram all hold the bytes from ``lo`` before it to
+    where the window at ``hi`` ends. Runs of a bucket that share such a window agree on those bytes, of which ``sub`` is a
+    hash, so only runs of one ``sub`` have to be compared. At a width of 1 they are the window, and ``sub`` is its MD5.
     """
     reach = F.octet_length("data") - window  # the last window's start
-    classes = F.sequence(F.floor((F.col("gram") - reach) / width).cast("int"), F.floor(F.col("gram") / width).cast("int"))
-    rows = spans.select("bucket", "content", "gram", "data", F.explode(classes).alias("cls"))
-    low = F.col("cls") * width
-    high = F.least(low + width - 1, F.lit(window - QGRAM))
-    shared = F.substring(F.col("data"), F.col("gram") - low + 1, F.lit(window) - high + low)
-    return rows.select(F.xxhash64("bucket", "cls", shared).alias("sub"), "bucket", "content", "cls")
+    rows = spans.withColumn("low", F.explode(F.sequence("lo", "hi", F.lit(width))))
+    rows = rows.withColumn("high", F.least(F.col("low") + width - 1, F.col("hi")))
+    rows = rows.where((F.col("high") >= F.col("gram") - reach) & (F.col("low") <= F.col("gram")))
+    shared = F.substring(F.col("data"), F.col("gram") - F.col("low") + 1, F.lit(window) - F.col("high") + F.col("low"))
+    sub = F.md5(shared) if width == 1 else F.xxhash64("bucket", "low", shared)
+    return rows.select(sub.alias("sub"), "bucket", "content", "gram", F.col("low").alias("lo"), F.col("high").alias("hi"))
 
 
-def _counted(spans: DataFrame, window: int, width: int) -> DataFrame:
-    """Ranges of the repeated windows among the classes of ``spans``: each window is a row, counted by its content.
-
-    ``spans`` has ``(bucket, content, gram, data, cls)``.
-    """
-    reach = F.octet_length("data") - window
-    first = F.greatest(F.lit(0), F.col("gram") - F.col("cls") * width - width + 1)
-    starts = F.sequence(first, F.least(reach, F.col("gram") - F.col("cls") * width))
-    rows = spans.select("bucket", "content", "data", F.explode(starts).alias("at"))
-    piece = F.substring(F.col("data"), F.col("at") + 1, F.lit(window))
-    rows = rows.select("bucket", "content", "at", F.md5(piece).alias("piece"))
-    times = rows.groupBy("bucket", "piece").agg(F.count("*").alias("n")).where("n > 1")
-    hits = split_join(rows, cut(times), ["bucket", "piece"], "n").groupBy("bucket", "content").agg(F.collect_list("at").alias("at"))
+def _as_ranges(windows: DataFrame) -> DataFrame:
+    """``(bucket, content, ranges)`` of windows ``(bucket, content, at)``, of which a run has no more than distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,26 +284,36 @@ def _counted(spans: DataFrame, window: int, width: int) -> DataFrame:
                 out.append(_bounds(mask).tobytes())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["bucket", "content", "ranges"])
 
-    return hits.mapInArrow(run, "bucket long, content long, ranges binary")
+    starts = windows.groupBy("bucket", "content").agg(F.collect_list("at").alias("at"))
+    return starts.mapInArrow(run, "bucket long, content long, ranges binary")
 
 
 def _shared_windows(spans: DataFrame, window: int, most_runs: int) -> DataFrame:
     """``(bucket, content, ranges)``: the windows of the runs ``(bucket, content, gram, data)`` that others of the bucket hold."""
     width = max(1, min(CLASS, window - QGRAM + 1))
-    subs = cut(_split(spans, window, width))
-    sizes = subs.groupBy("sub").agg(F.count("*").alias("k")).where("k > 1")
-    met = split_join(subs, cut(sizes.withColumn("big", F.col("k") > most_runs)), ["sub"], "k")
-    met = cut(met)
-    full = met.join(spans, ["bucket", "content"])
-    begin = F.greatest(F.lit(0), F.col("gram") - F.col("cls") * width - width + 1)
-    size = F.col("gram") - F.col("cls") * width + window - begin
-    few = full.where("not big").select(
-        "sub", "bucket", "content", (F.col("gram") - begin).alias("gram"), begin.alias("shift"), F.substring(F.col("data"), begin + 1, size.cast("int")).alias("data")
-    )
-    few = few.repartition("sub").sortWithinPartitions("sub")
-    ranges = few.mapInArrow(_refine_sorted(window), "bucket long, content long, ranges binary")
-    if not met.where("big").isEmpty():
-        ranges = ranges.unionByName(_counted(full.where("big").select("bucket", "content", "gram", "data", "cls"), window, width))
+    rows = spans.select("*", F.lit(0).alias("lo"), F.lit(window - QGRAM).alias("hi"))
+    parts = []
+    while True:
+        subs = cut(_split(rows, window, width))
+        sizes = cut(subs.groupBy("sub").agg(F.count("*").alias("k")).where("k > 1").withColumn("big", F.col("k") > most_runs))
+        met = split_join(subs, sizes, ["sub"], "k")
+        if width == 1:
+            parts.append(_as_ranges(met.select("bucket", "content", (F.col("gram") - F.col("lo")).alias("at"))))
+            break
+        met = cut(met)
+        full = met.drop("gram").join(spans, ["bucket", "content"])
+        begin = F.greatest(F.lit(0), F.col("gram") - F.col("hi"))
+        size = F.col("gram") - F.col("lo") + window - begin
+        few = full.where("not big").select(
+            "sub", "bucket", "content", (F.col("gram") - begin).alias("gram"), begin.alias("shift"), F.substring(F.col("data"), begin + 1, size).alias("data")
+        )
+        few = few.repartition("sub").sortWithinPartitions("sub")
+        parts.append(few.mapInArrow(_refine_sorted(window), "bucket long, content long, ranges binary"))
+        if met.where("big").isEmpty():
+            break
+        rows = full.where("big").select("bucket", "content", "gram", "data", "lo", "hi")
+        width = max(1, width // NARROWER)
+    ranges = reduce(DataFrame.unionByName, parts)
     return ranges.groupBy("bucket", "content").agg(F.collect_list("ranges").alias("parts")).select("bucket", "content", _joined("parts").alias("ranges"))
 
 

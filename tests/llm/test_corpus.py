@@ -42,7 +42,7 @@ def awkward_texts():
     return out
 
 
-@pytest.mark.parametrize(("most_runs", "least"), [(1_000, 1_000), (1, 1), (4, 2)])
+@pytest.mark.parametrize(("most_runs", "least"), [(1_000, 1_000), (1, 1), (2, 2), (4, 2)])
 def test_suffix_on_awkward_texts(spark, most_runs, least, monkeypatch):
     """With any limits on what a task refines and on what counts as frequent the result is that of the plain version."""
     monkeypatch.setattr(suffix.repeated_runs, "__defaults__", (200, most_runs))
