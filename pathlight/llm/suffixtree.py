@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlight.llm.common import as_bytes, pieces
+from pathlight.llm.common import as_bytes, pieces, shuffles_end_with_queries
 from pathlight.operators.levels import LevelTable
 from pathlight.plans.lineage import scratch_path
 
@@ -428,24 +428,25 @@ def score(
     table = LevelTable(docs.sparkSession, "answers", "chunk")
     answers = docs.sparkSession.createDataFrame([], _ANSWERS + ", depth int")
     known = 0  # words of the longest contexts that are known
-    for step in range(-1, depth + 1):
-        asked = chunks.met(answers, _ask(model, step, shards), _ASKED)
-        told = asked.groupBy("kind", "shard").applyInArrow(_answer(min_count if step >= 0 else 1, min_gain), _ANSWERS)
-        of_grams, of_contexts = F.lit(step + 1), F.lit(step)
-        told = told.withColumn("depth", F.when(F.col("kind") == GRAMS, of_grams).otherwise(of_contexts))
-        table.add(told, step, deal=True)
-        answers = table.rows()
-        s = table.rows(step).select("kind", "answer").mapInArrow(_summed, "n long, v long, n1 long, n2 long, kept long")
-        s = s.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in s.columns]).first() if step != 0 else None
-        if step < 0:
-            model.total, model.distinct = s["n"], s["v"]
-            if s["n1"] and s["n2"]:
-                model.discount = s["n1"] / (s["n1"] + 2 * s["n2"])
-            if not depth:
-                break
-        elif step > 0:
-            known = step
-            if not s["kept"]:
-                break
+    with shuffles_end_with_queries(docs.sparkSession):
+        for step in range(-1, depth + 1):
+            asked = chunks.met(answers, _ask(model, step, shards), _ASKED)
+            told = asked.groupBy("kind", "shard").applyInArrow(_answer(min_count if step >= 0 else 1, min_gain), _ANSWERS)
+            of_grams, of_contexts = F.lit(step + 1), F.lit(step)
+            told = told.withColumn("depth", F.when(F.col("kind") == GRAMS, of_grams).otherwise(of_contexts))
+            table.add(told, step, deal=True)
+            answers = table.rows()
+            s = table.rows(step).select("kind", "answer").mapInArrow(_summed, "n long, v long, n1 long, n2 long, kept long")
+            s = s.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in s.columns]).first() if step != 0 else None
+            if step < 0:
+                model.total, model.distinct = s["n"], s["v"]
+                if s["n1"] and s["n2"]:
+                    model.discount = s["n1"] / (s["n1"] + 2 * s["n2"])
+                if not depth:
+                    break
+            elif step > 0:
+                known = step
+                if not s["kept"]:
+                    break
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.met(answers, _finish(model, known, id_type, by_token), result + (", token_scores array<double>" if by_token else ""))
