@@ -419,7 +419,8 @@ def grid_resume(spark, sf_dir):
     found = E.recorded(spark, path, keyed.select("m", "terminated", *E.KEY).schema.simpleString()[7:-1].replace(":", " "))
     grid = _grid_of(keyed).withColumn("delta", F.lit(0.1)).withColumn("k", F.lit(0)).withColumn("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
     left = E.to_do(grid, found).groupBy("graph_name").agg(F.count("*").alias("to_do"))
-    return found.groupBy("graph_name").agg(F.count("*").alias("recorded")).join(left, "graph_name")
+    counts = found.groupBy("graph_name").agg(F.count("*").alias("recorded")).join(left, "graph_name", "left")
+    return counts.select("graph_name", "recorded", F.coalesce("to_do", F.lit(0)).cast("long").alias("to_do"))  # none is left of a whole grid
 
 
 def log_statistics(spark, sf_dir):

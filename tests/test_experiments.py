@@ -26,6 +26,20 @@ def test_recording_again_adds_no_row(spark, tmp_path):
     assert E.to_do(grid, E.recorded(spark, path, STATISTICS)).count() == 0
 
 
+def test_graph_with_every_run_has_none_to_do(spark, tmp_path):
+    """A graph whose whole grid was recorded is told with 0 runs to do, as in the SQL, and not left out."""
+    import datetime
+
+    from pathlight.plans import queries
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at, user, "view", 1.0) for user, ids in ((0, range(0, 70, 2)), (1, (2, 4, 4))) for i in ids]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.grid_resume(spark, str(tmp_path)).select("graph_name", "recorded", "to_do")
+    assert sorted(map(tuple, got.collect())) == [("0", 35, 0), ("1", 2, 33)]
+
+
 def test_reasons_to_skip(spark):
     grid = [("g", "x", e) for e in (0.1, 0.05, 0.01)] + [("g", "y", 0.1), ("g", "y", 0.05), ("new", "x", 0.1), ("new", "x", 0.01)]
     done = [("g", "x", 0.05, 0), ("g", "y", 0.1, 1), ("g", "y", 0.1, 1), ("new", "x", 0.2, 0), ("other", "x", 0.1, 0)]
