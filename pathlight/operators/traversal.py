@@ -7,6 +7,7 @@ reached before moves nothing that was written before.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -21,7 +22,7 @@ TOLD = 500_000
 
 def expand(frontier: DataFrame, graph: Adjacency, seen: LevelTable) -> DataFrame:
     """The next level ``(source, node, sigma, d0)``: path counts summed over the edges into nodes not yet seen."""
-    steps = graph.follow(frontier, F.lit(0), F.col("d0")).withColumnRenamed("to", "_to")
+    steps = graph.follow(frontier, F.lit(0), F.col("d0"), dead=True).withColumnRenamed("to", "_to")
     reached = steps.groupBy("source", F.col("_to").alias("node")).agg(F.sum("sigma").alias("sigma"), F.first("to0").alias("d0"))
     return reached.join(seen.rows().select("source", "node"), ["source", "node"], "left_anti")
 
@@ -84,8 +85,12 @@ class _Search:
 
 
 def _search(graph: Adjacency, pairs: DataFrame) -> _Search:
-    """Level by level; in each round every open pair goes on at the end with fewer edges to follow (ties: at u)."""
-    guess = min(20, graph.edges) * pairs.count()  # nodes that a pair's search sees, some
+    """Level by level; in each round every open pair goes on at the end with fewer edges to follow (ties: at u).
+
+    Dead ends are left out where they are not the other end of the pair, so the leaves of a hub are neither followed nor
+    stored; the choice of the end counts them.
+    """
+    guess = min(20 + math.isqrt(graph.edges), graph.edges) * pairs.count()  # nodes that a pair's search sees, some
     found = _Search(LevelTable(pairs.sparkSession, "search", "pair_id", "node", rows=guess))
     ends = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(0).alias("side")), F.struct(F.col("v").alias("node"), F.lit(1).alias("side")))).alias("e"))
     first = ends.select("pair_id", "e.node", "e.side").join(graph.degree, "node", "left")
@@ -93,7 +98,8 @@ def _search(graph: Adjacency, pairs: DataFrame) -> _Search:
     none = [F.lit(0).alias("level"), F.lit(1.0).alias("sigma"), zero("d0"), zero("d1"), F.lit(None).cast("int").alias("other"), F.lit(None).cast("double").alias("back")]
     found.table.add(first.select("pair_id", "node", "side", *none), 0, deal=True)
     costs = found.table.rows(0).groupBy("pair_id").agg(F.max(F.when(F.col("side") == 0, F.col("d0"))).alias("cu"), F.max(F.when(F.col("side") == 1, F.col("d1"))).alias("cv"))
-    state = costs.select("pair_id", "cu", "cv", F.lit(0).alias("lu"), F.lit(0).alias("lv")).where("cu > 0 and cv > 0")
+    dead = first.where("dead").groupBy("pair_id").agg(*[F.max(F.when(F.col("side") == i, F.col("node"))).alias(c) for i, c in enumerate(("du", "dv"))])
+    state = costs.join(dead, "pair_id", "left").select("pair_id", "cu", "cv", F.lit(0).alias("lu"), F.lit(0).alias("lv"), "du", "dv").where("cu > 0 and cv > 0")
     number = 0
     while True:
         # Open pairs, with the edges that the next round follows, are counted as they are written.
@@ -109,10 +115,11 @@ def _search(graph: Adjacency, pairs: DataFrame) -> _Search:
         go = state.select(
             "pair_id", F.when(at_u, 0).otherwise(1).alias("side"), F.when(at_u, F.col("lu")).otherwise(F.col("lv")).alias("level"),
             F.when(at_u, F.col("lv")).otherwise(F.col("lu")).alias("other"),
+            F.when(at_u, F.col("dv")).otherwise(F.col("du")).alias("_end"),
         )
         front = found.table.rows().drop("other", "back").join(_told(go, told["open_pairs"]), ["pair_id", "side", "level"])
         front = front.withColumn("_degree", _of("side", F.col("d0"), F.col("d1"))).withColumnRenamed("side", "_from")
-        steps = graph.follow(front.drop("d0", "d1"), F.col("_from"), F.col("_degree")).withColumnRenamed("node", "_node")
+        steps = graph.follow(front.drop("d0", "d1"), F.col("_from"), F.col("_degree"), F.col("_end")).withColumnRenamed("node", "_node")
         # A pair moves one end in a round, so its nodes need no mark of the side to be told apart.
         reached = steps.groupBy("pair_id", F.col("to").alias("node")).agg(
             F.first("_from").alias("side"), (F.first("level") + 1).alias("level"), F.sum("sigma").alias("sigma"),
@@ -128,7 +135,7 @@ def _search(graph: Adjacency, pairs: DataFrame) -> _Search:
         moved = F.col("cu") <= F.col("cv")
         state = after.select(
             "pair_id", F.when(moved, F.col("cost")).otherwise(F.col("cu")).alias("cu"), F.when(moved, F.col("cv")).otherwise(F.col("cost")).alias("cv"),
-            (F.col("lu") + moved.cast("int")).alias("lu"), (F.col("lv") + (~moved).cast("int")).alias("lv"),
+            (F.col("lu") + moved.cast("int")).alias("lu"), (F.col("lv") + (~moved).cast("int")).alias("lv"), "du", "dv",
         ).where("cu > 0 and cv > 0")
 
 

@@ -224,6 +224,20 @@ def test_hub_is_many_tasks_work(spark, monkeypatch):
     graph.drop()
 
 
+def test_dead_ends_are_not_stored(spark):
+    """Of two stars that are joined a search sees hubs and its own ends, not the leaves; their paths are found all the same."""
+    rows = [(0, i) for i in range(2, 400)] + [(1, i) for i in range(400, 800)] + [(0, 1)]
+    graph = L.adjacency(G.simplify(frame(spark, rows), directed=False))
+    pairs = spark.createDataFrame([(0, 2, 401), (1, 2, 3), (2, 0, 500), (3, 500, 0), (4, 0, 1)], "pair_id long, u long, v long")
+    found = T._search(graph, pairs)
+    assert found.table.rows().count() <= 5 * 6
+    found.table.drop()
+    paths = T.pair_paths(graph, pairs)
+    assert sorted(map(tuple, paths.lengths.collect())) == [(0, 3, 1.0), (1, 2, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 1, 1.0)]
+    assert sorted((r["pair_id"], r["node"], r["weight"]) for r in paths.weights.collect()) == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (2, 1, 1.0), (3, 1, 1.0)]
+    graph.drop()
+
+
 def _empty_levels(spark):
     table = T.LevelTable(spark, "levels", "source", "node")
     table.add(spark.createDataFrame([(9, 9)], "source long, node long"), 0, deal=True)
