@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,21 +12,6 @@ from pyspark.sql import functions as F
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
-@contextmanager
-def shuffles_end_with_queries(spark: SparkSession):
-    """Shuffle files go at the end of each query inside, not when the driver collects its garbage.
-
-    For loops whose rounds are written tables, so that nothing needs an earlier round's shuffle again.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

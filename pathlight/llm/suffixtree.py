@@ -13,9 +13,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlight.llm.common import as_bytes, pieces, shuffles_end_with_queries
+from pathlight.llm.common import as_bytes, pieces
 from pathlight.operators.levels import LevelTable
-from pathlight.plans.lineage import scratch_path
+from pathlight.plans.lineage import scratch_path, shuffles_end_with_queries
 
 #: The token that ends a text; no word holds a line feed.
 END = b"\n"

@@ -71,6 +71,29 @@ def test_exact_equals_plain(spark, directed):
     assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
 
 
+def test_exact_in_batches_holds_one_batch(spark, monkeypatch):
+    """Batches of sources give the same scores, and the tables of one are gone before those of the next are made."""
+    pairs = both([e for e in random_graph(5, 10, 14) if e[0] != e[1]])
+    made, live = [], set()
+    start, drop = C.level_table, T.LevelTable.drop
+
+    def begun(*a, **k):
+        assert not live
+        table, number = start(*a, **k)
+        live.add(table.name)
+        made.append(table.name)
+        return table, number
+
+    monkeypatch.setattr(C, "PAIRS", 60)
+    monkeypatch.setattr(C, "level_table", begun)
+    monkeypatch.setattr(T.LevelTable, "drop", lambda self: (live.discard(self.name), drop(self))[1])
+    edges = G.simplify(frame(spark, pairs))
+    got = {r["node"]: r["bc"] for r in C.exact_betweenness(edges, G.nodes_of(edges)).collect()}
+    want = brandes(pairs)
+    assert len(made) > 1 and not live
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+
+
 def test_closed_forms(spark):
     def exact(pairs):
         edges = G.simplify(frame(spark, pairs), directed=False)
