@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlight.llm.common import pieces
+from pathlight.llm.common import KEPT, pieces
 
 #: Above every rank.
 NONE = 1 << 60
@@ -155,10 +155,15 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec in each Python worker, kept for its later tasks."""
+    """One codec in each Python worker, kept for its later tasks until another operator's begin."""
     return Codec(path, pattern)
 
 
+def _kept_codec(path: str, pattern: str) -> Codec:
+    KEPT["bpe"] = codec.cache_clear
+    return codec(path, pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)``: the text's ids as bytes of little-endian unsigned 32-bit numbers, for each row.
 
@@ -168,8 +173,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in pieces(batches):
+        c = _kept_codec(path, pattern)
+        for batch in pieces(batches, operator="bpe"):
             ids = [c.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -181,8 +186,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids, decoded)``: the bytes that ``ids`` stand for; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in pieces(batches):
+        c = _kept_codec(path, pattern)
+        for batch in pieces(batches, operator="bpe"):
             out = [None if x is None else c.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
@@ -200,8 +205,8 @@ def digests(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in pieces(batches):
+        c = _kept_codec(path, pattern)
+        for batch in pieces(batches, operator="bpe"):
             n, ids_sha, decoded_sha, every = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = c.encode(text) if text else b""

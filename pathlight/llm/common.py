@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +33,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in short batches, so that what a task holds at once is small."""
+#: What operators keep in this Python worker for their next tasks: by operator how to give it up.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, operator: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that what a task holds at once is small.
+
+    What operators other than ``operator`` keep in the worker is given up first, as their tasks have ended.
+    """
+    for other in [x for x in KEPT if x != operator]:
+        KEPT.pop(other)()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

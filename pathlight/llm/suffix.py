@@ -29,13 +29,13 @@ from pathlight.plans.lineage import cut
 
 #: Bytes of the strings that must not repeat, and of the first buckets' q-grams.
 WINDOW, QGRAM = 200, 32
-#: Bytes of text whose q-grams are hashed at once.
-SECTION = 1 << 21
+#: Bytes of text whose q-grams are hashed at once; numpy holds some forty times as much meanwhile.
+SECTION = 1 << 18
 #: Distances of a class, how many times fewer a narrower class has, and runs of a split bucket that are refined together;
 #: more of them are split again.
 CLASS, NARROWER, MOST_RUNS = 43, 6, 1_000
-#: Bytes that one call of ``refine`` is given, give or take a bucket.
-AT_ONCE = 1 << 20
+#: Bytes that one call of ``refine`` is given, give or take a bucket; it holds some eighty times as much meanwhile.
+AT_ONCE = 1 << 18
 _POS = np.uint64((1 << 24) - 1)
 
 

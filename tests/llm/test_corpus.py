@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,6 +66,32 @@ def test_suffix_sections_do_not_matter(spark, monkeypatch):
     assert [sorted(together[i]) for i in long_enough] == want
 
 
+def test_suffix_holds_little_at_once():
+    """What a task holds while it hashes texts does not grow with the number of texts."""
+    text = random.Random(1).randbytes(4_000)
+    peaks = []
+    for n in (64, 512):
+        tracemalloc.start()
+        for _ in suffix.text_runs([text] * n):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 25 << 20 and peaks[1] < 1.5 * peaks[0]
+
+
+def test_workers_give_up_what_other_operators_keep():
+    """A codec and its memory stay for the next task of the codec, not for those of others."""
+    from pathlight.llm import bpe
+    from pathlight.llm.common import pieces
+
+    path, pattern = queries.tokenizer()
+    kept = bpe._kept_codec(path, pattern)
+    list(pieces(iter([]), operator="bpe"))
+    assert bpe._kept_codec(path, pattern) is kept
+    list(pieces(iter([])))
+    assert bpe._kept_codec(path, pattern) is not kept
+
+
 def test_suffix_edges(docs, empty):
     rows = suffix.removed_runs(docs).collect()
     assert len(rows) == len(ROWS)
