@@ -31,6 +31,8 @@ DISCOUNT = 0.5
 CHUNK = 1 << 19
 #: Keys, by their hash, that a task counts at once, about.
 SHARD = 1 << 20
+#: Steps of a back-off's log10 in one: the bytes beyond are noise that can't be packed.
+STEPS = 2.0**36
 #: What chunks ask about: grams (their counts) and contexts (whether they are kept).
 GRAMS, CONTEXTS = 0, 1
 
@@ -82,12 +84,23 @@ _ANSWERS = "chunk long, kind int, shard long, answer binary"
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Numbers of 8 bytes, first bytes first, so that what they have in common lies together and is compressed well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers, first bytes first, so that what they have in common lies together and is compressed well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
 def _unpacked(x: bytes, dtype: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).reshape(-1).view(dtype)
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, where one of each stands, and for each place the number of its value."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], place
 
 
 def _cut(size: int, id_type: pa.DataType):
@@ -107,7 +120,7 @@ def _cut(size: int, id_type: pa.DataType):
                 "held_out": pa.array([list(flags)], pa.list_(pa.bool_())),
                 "n_tokens": pa.array([len(ids)], pa.int64()),
                 "starts": pa.array([starts.astype("<i8").tobytes()], pa.binary()),
-                "ids": pa.array([ids.astype("<i4").tobytes()], pa.binary()),
+                "ids": pa.array([_packed(ids.astype("<i4"))], pa.binary()),
                 "words": pa.array([_packed(words)], pa.binary()),
             }
             chunk, n = chunk + 1, 0
@@ -156,7 +169,7 @@ class Chunk:
     def __init__(self, chunks: pa.Table, answers: pa.Table, model: Model):
         self.row, self.model = chunks.to_pylist()[0], model
         self.starts = np.frombuffer(self.row["starts"], "<i8")
-        self.ids = np.frombuffer(self.row["ids"], "<i4")
+        self.ids = _unpacked(self.row["ids"], "<i4")
         self.words = _unpacked(self.row["words"], "<u8")
         self.train = np.repeat(~np.array(self.row["held_out"], bool), np.diff(np.append(self.starts, len(self.ids))))
         self.answers: dict = {}  # by kind and depth, in the order of the hashes
@@ -186,15 +199,13 @@ class Chunk:
         before = self.contexts(level)
         ok = np.flatnonzero((before >= 0) & (level.at >= 0))
         first, second = before[ok], level.at[ok]
-        keys, place = np.unique(_joined(level.keys[first], level.keys[second]), return_inverse=True)
-        one = np.empty(len(keys), np.int64)
-        one[place] = np.arange(len(place))
+        keys, one, place = _distinct(_joined(level.keys[first], level.keys[second]))
         return keys, first[one], second[one], place, ok
 
     def build(self, grams: int, contexts: int) -> None:
         """The levels, with grams of up to ``grams`` words beside the first and contexts of up to ``contexts`` words."""
         m = self.model
-        self.counts = np.abs(self.answer(GRAMS, 0, self.words))
+        self.counts = self.answer(GRAMS, 0, self.words) >> 1
         nodes = np.flatnonzero(self.counts >= m.min_count)
         number = np.full(len(self.words), -1, np.int64)
         number[nodes] = np.arange(len(nodes))
@@ -203,13 +214,14 @@ class Chunk:
         self.levels.append(Level(number[self.ids], self.words[nodes], c, none, none, root, none))
         for d in range(1, grams + 1):
             last, (keys, first, second, place, ok) = self.levels[-1], self.candidates()
-            n = self.answer(GRAMS, d, keys)
+            told = self.answer(GRAMS, d, keys)
+            n = told >> 1
             nodes = np.flatnonzero(n)
             number = np.full(len(keys), -1, np.int64)
             number[nodes] = np.arange(len(nodes))
             here = np.full(len(self.ids), -1, np.int64)
             here[ok] = number[place]
-            level = Level(here, keys[nodes], np.abs(n[nodes]), first[nodes], second[nodes], np.zeros(0), n[nodes] < 0)
+            level = Level(here, keys[nodes], n[nodes], first[nodes], second[nodes], np.zeros(0), told[nodes] & 1 == 1)
             if d <= contexts:
                 self._resolve(d, level)
             self.levels.append(level)
@@ -242,15 +254,17 @@ class Chunk:
         return keys, np.bincount(place[self.train[ok]], minlength=len(keys))
 
     def ask_contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the contexts met, and for each the sums of gain, share and shorter context's share.
+        """Hashes of the contexts met, and for each the sums of gain, discounted count and shorter context's share, and its
+        count.
 
-        The sums are over the nodes of the last level that this chunk answers for, so that each node counts once.
+        The sums are over the nodes of the last level that this chunk answers for, so that each node counts once. Where
+        there are none the count is 0 too; counts are packed smaller than shares.
         """
         level, last = self.levels[-1], self.levels[-2]
         p, lower = self.share(level, last), 10.0 ** last.resolved[level.after]
         of, own, used = level.before[level.own], level.own, self.used(last)
-        sums = [np.bincount(of, x[own], len(last.keys))[used] for x in (level.n * np.log(p / lower), p, lower)]
-        return last.keys[used], np.stack(sums, axis=1)
+        sums = [np.bincount(of, x[own], len(last.keys))[used] for x in (level.n * np.log(p / lower), level.n - DISCOUNT, lower)]
+        return last.keys[used], np.stack([*sums, np.where(sums[1] > 0, last.n[used], 0)], axis=1)
 
     def scores(self) -> np.ndarray:
         """log10 probability of each token by the longest context."""
@@ -274,14 +288,12 @@ def _asked(kind: int, keys: np.ndarray, values: np.ndarray, chunk: int, shards:
     shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
     at = np.flatnonzero(np.diff(shard, prepend=np.uint64(shards)))
     ends = np.append(at, len(keys))[1:]
-    flat = np.ascontiguousarray(values).reshape(-1)
-    width = flat.size // max(len(keys), 1)
     columns = {
         "shard": pa.array(shard[at].astype(np.int64)),
         "chunk": pa.array(np.full(len(at), chunk, np.int64)),
         "kind": pa.array(np.full(len(at), kind, np.int32)),
         "keys": pa.array([_packed(keys[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
-        "values": pa.array([_packed(flat[i * width : j * width]) for i, j in zip(at, ends, strict=True)], pa.binary()),
+        "values": pa.array([_packed(np.ascontiguousarray(values[i:j].T).reshape(-1)) for i, j in zip(at, ends, strict=True)], pa.binary()),
     }
     return pa.table(columns)
 
@@ -308,8 +320,8 @@ def _ask(model: Model, step: int, shards: int):
 def _answer(limit: int, min_gain: float):
     """Answers to what all chunks ask about the hashes of a shard.
 
-    Grams: how often they occur in all, negative for the one chunk that answers for the gram, 0 below ``limit``.
-    Contexts: the back-off of those that are kept, else no number. A context stays if its next symbols, as counted, gain
+    Grams: twice how often they occur in all, which is 0 below ``limit``, and one more for the one chunk that answers for
+    the gram. Contexts: the back-off of those that are kept, in steps of ``STEPS``, else no number. A context stays if its next symbols, as counted, gain
     at least ``min_gain`` nats over its suffix, which is their number times the divergence restricted to the symbols
     that are nodes.
     """
@@ -320,18 +332,21 @@ def _answer(limit: int, min_gain: float):
         parts = [_unpacked(k, "<u8") for k in asked.column("keys").to_pylist()]
         values = [_unpacked(v, "<i8" if kind == GRAMS else "<f8") for v in asked.column("values").to_pylist()]
         _, first, place = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        values = np.concatenate(values)
         if kind == GRAMS:
-            n = np.bincount(place, values, len(first)).astype(np.int64)
+            n = np.bincount(place, np.concatenate(values), len(first)).astype(np.int64)
             n[n < limit] = 0
-            out = n[place]
-            out[first] *= -1
+            out = n[place] << 1
+            out[first] |= 1
         else:
-            gain, mass, below = (np.bincount(place, x, len(first)) for x in values.reshape(-1, 3).T)
+            *sums, counts = np.concatenate([x.reshape(4, -1) for x in values], axis=1)
+            gain, taken, below = (np.bincount(place, x, len(first)) for x in sums)
+            n = np.ones(len(first))
+            n[place[counts > 0]] = counts[counts > 0]
+            mass = taken / n
             left, rest = 1 - mass, 1 - below
             kept = (gain >= min_gain) & (left > 1e-9) & (rest > 1e-9)
             back = np.full(len(first), np.nan)
-            back[kept] = np.log10(left[kept] / rest[kept])
+            back[kept] = np.rint(np.log10(left[kept] / rest[kept]) * STEPS) / STEPS
             out = back[place]
         answers = [_packed(x) for x in np.split(out, np.cumsum([len(x) for x in parts])[:-1])]
         return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "shard": asked.column("shard"), "answer": pa.array(answers, pa.binary())})
@@ -347,7 +362,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == CONTEXTS:
                 n[4] += int((~np.isnan(_unpacked(x, "<f8"))).sum())
             else:
-                c = -_unpacked(x, "<i8")
+                c = _unpacked(x, "<i8")
+                c = c[c & 1 == 1] >> 1
                 c = c[c > 0]
                 n[:4] += [c.sum(), len(c), (c == 1).sum(), (c == 2).sum()]
         yield pa.RecordBatch.from_pydict({k: pa.array([int(v)]) for k, v in zip(("n", "v", "n1", "n2", "kept"), n, strict=True)})

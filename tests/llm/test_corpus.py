@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import LONG, ROWS
@@ -313,6 +314,26 @@ def test_suffix_tree_equals_plain_version(spark, chunk):
     assert all(abs(got[i] - want(t)) < 1e-6 for i, t in enumerate(texts))
 
 
+def test_suffix_tree_messages_are_small():
+    """Numbers of words, answers about grams and back-offs are told in few bytes once compressed."""
+
+    def small(*values):
+        return sum(len(pa.compress(x, codec="lz4", asbytes=True)) for x in values)
+
+    r = np.random.default_rng(3)
+    keys = [np.unique(r.choice(np.arange(1, 60_001, dtype=np.uint64), 20_000)) << np.uint64(40) for _ in range(6)]
+    asked = pa.concat_tables([suffixtree._asked(suffixtree.GRAMS, k, np.ones(len(k), np.int64), i, 1) for i, k in enumerate(keys)])
+    told = suffixtree._answer(3, 12.0)(asked).column("answer").to_pylist()
+    assert small(*told) < 0.8 * sum(map(len, keys))
+    sums = [np.stack([np.full(len(k), 20.0), np.full(len(k), 3.5), r.random(len(k)) / 2, np.full(len(k), 9)], axis=1) for k in keys[:1]]
+    asked = suffixtree._asked(suffixtree.CONTEXTS, keys[0], sums[0], 0, 1)
+    assert small(*asked.column("values").to_pylist()) < 9 * len(keys[0])
+    told = suffixtree._answer(3, 12.0)(asked).column("answer").to_pylist()
+    assert small(*told) < 7 * len(keys[0])
+    want = np.log10((1 - 3.5 / 9) / (1 - sums[0][:, 2]))
+    assert np.abs(suffixtree._unpacked(told[0], "<f8") - want).max() < 1e-11
+
+
 def test_suffix_tree_is_a_distribution(spark):
     texts = sentences(60)
     _, kept = plain_tree(texts, min_gain=1.0)
