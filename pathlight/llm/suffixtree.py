@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,15 @@ def _unpacked(x: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
 
 
+def _zipped(x: np.ndarray) -> bytes:
+    """Packed and compressed, so that what chunks and shards tell one another is small before Spark moves it."""
+    return zstd.ZstdCompressor(level=1).compress(_packed(x))
+
+
+def _unzipped(x: bytes, dtype: str) -> np.ndarray:
+    return _unpacked(zstd.ZstdDecompressor().decompress(x), dtype)
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, where one of each stands, and for each place the number of its value."""
     order = np.argsort(x)
@@ -175,7 +185,7 @@ class Chunk:
         self.answers: dict = {}  # by kind and depth, in the order of the hashes
         parts = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "depth", "shard", "answer")), strict=True))
         for kind, depth, _, answer in parts:
-            self.answers.setdefault((kind, depth), []).append(_unpacked(answer, "<f8" if kind == CONTEXTS else "<i8"))
+            self.answers.setdefault((kind, depth), []).append(_unzipped(answer, "<f8" if kind == CONTEXTS else "<i8"))
         self.levels: list[Level] = []
         self.kept: list[tuple[np.ndarray, np.ndarray]] = []  # by depth of the context: whether a node of the level is kept, and its back-off
 
@@ -292,8 +302,8 @@ def _asked(kind: int, keys: np.ndarray, values: np.ndarray, chunk: int, shards:
         "shard": pa.array(shard[at].astype(np.int64)),
         "chunk": pa.array(np.full(len(at), chunk, np.int64)),
         "kind": pa.array(np.full(len(at), kind, np.int32)),
-        "keys": pa.array([_packed(keys[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
-        "values": pa.array([_packed(np.ascontiguousarray(values[i:j].T).reshape(-1)) for i, j in zip(at, ends, strict=True)], pa.binary()),
+        "keys": pa.array([_zipped(keys[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
+        "values": pa.array([_zipped(np.ascontiguousarray(values[i:j].T).reshape(-1)) for i, j in zip(at, ends, strict=True)], pa.binary()),
     }
     return pa.table(columns)
 
@@ -329,8 +339,8 @@ def _answer(limit: int, min_gain: float):
     def run(asked: pa.Table) -> pa.Table:
         asked = asked.sort_by("chunk")  # sums are taken in the same order in every run
         kind = asked.column("kind")[0].as_py()
-        parts = [_unpacked(k, "<u8") for k in asked.column("keys").to_pylist()]
-        values = [_unpacked(v, "<i8" if kind == GRAMS else "<f8") for v in asked.column("values").to_pylist()]
+        parts = [_unzipped(k, "<u8") for k in asked.column("keys").to_pylist()]
+        values = [_unzipped(v, "<i8" if kind == GRAMS else "<f8") for v in asked.column("values").to_pylist()]
         _, first, place = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
         if kind == GRAMS:
             n = np.bincount(place, np.concatenate(values), len(first)).astype(np.int64)
@@ -348,7 +358,7 @@ def _answer(limit: int, min_gain: float):
             back = np.full(len(first), np.nan)
             back[kept] = np.rint(np.log10(left[kept] / rest[kept]) * STEPS) / STEPS
             out = back[place]
-        answers = [_packed(x) for x in np.split(out, np.cumsum([len(x) for x in parts])[:-1])]
+        answers = [_zipped(x) for x in np.split(out, np.cumsum([len(x) for x in parts])[:-1])]
         return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "shard": asked.column("shard"), "answer": pa.array(answers, pa.binary())})
 
     return run
@@ -360,9 +370,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(5, np.int64)
         for kind, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if kind == CONTEXTS:
-                n[4] += int((~np.isnan(_unpacked(x, "<f8"))).sum())
+                n[4] += int((~np.isnan(_unzipped(x, "<f8"))).sum())
             else:
-                c = _unpacked(x, "<i8")
+                c = _unzipped(x, "<i8")
                 c = c[c & 1 == 1] >> 1
                 c = c[c > 0]
                 n[:4] += [c.sum(), len(c), (c == 1).sum(), (c == 2).sum()]

@@ -331,7 +331,7 @@ def test_suffix_tree_messages_are_small():
     told = suffixtree._answer(3, 12.0)(asked).column("answer").to_pylist()
     assert small(*told) < 7 * len(keys[0])
     want = np.log10((1 - 3.5 / 9) / (1 - sums[0][:, 2]))
-    assert np.abs(suffixtree._unpacked(told[0], "<f8") - want).max() < 1e-11
+    assert np.abs(suffixtree._unzipped(told[0], "<f8") - want).max() < 1e-11
 
 
 def test_suffix_tree_is_a_distribution(spark):
