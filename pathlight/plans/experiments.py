@@ -1,7 +1,9 @@
-"""Grids of runs that resume: a keyed table of statistics, what is still to do, and logs of other programs."""
+"""Grids of runs that resume: a table of statistics by key, what is still to do, and logs of other programs."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ TAKING, DONE_MS, ENDED = r"\[INFO \]: Iteration .*taking (\d+)", r"^done \(([0-9
 def record(rows: DataFrame, path: str) -> None:
     """Write statistics ``rows``, which have the columns of ``KEY``, into the table at ``path``.
 
-    The table is partitioned by the key and partitions are overwritten one by one, so rows of a run that is recorded
-    again, or whose job is tried again, are there once. Of rows of one key in ``rows`` all are kept.
+    Each call adds one folder, named by its time, however many runs there are; ``recorded`` takes of a run the rows of its last
+    call, so rows of a run that is recorded again, or whose job is tried again, are there once. Of rows of one key in
+    ``rows`` all are kept.
     """
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).parquet(path)
+    rows.withColumn("recorded_at", F.lit(time.time_ns())).write.mode("append").partitionBy("recorded_at").parquet(path)
 
 
 def recorded(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -25,9 +28,11 @@ def recorded(spark: SparkSession, path: str, schema: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).parquet(path)
+        every = spark.read.schema(f"{schema}, recorded_at long").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+    last = every.withColumn("_last", F.max("recorded_at").over(Window.partitionBy(*KEY)))
+    return last.where("recorded_at = _last").drop("recorded_at", "_last")
 
 
 def planned(grid: DataFrame, done: DataFrame, runs: int) -> DataFrame:

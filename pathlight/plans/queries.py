@@ -414,13 +414,12 @@ def grid_plan(spark, sf_dir):
 
 
 def grid_resume(spark, sf_dir):
-    """Settings without a run after half of them were recorded, a quarter twice: repeats add no row."""
+    """Settings without a run after those of all events were recorded, three runs of each twice: repeats add no row."""
     from pathlight.plans import experiments as E
     from pathlight.plans.lineage import scratch_path
 
-    done = _event_runs(spark, sf_dir).where("event_id % 2 = 0")
-    keyed = done.groupBy(*E.KEY).agg(F.max("event_id").alias("m"), F.min("terminated").alias("terminated"))
-    keyed = cut(keyed.where("cast(graph_name as int) < 4"))
+    done = _event_runs(spark, sf_dir)
+    keyed = cut(done.groupBy(*E.KEY).agg(F.max("event_id").alias("m"), F.min("terminated").alias("terminated")))
     path = scratch_path(spark, "statistics")
     E.record(keyed, path)
     E.record(keyed.where("run_id < 3"), path)
@@ -611,7 +610,7 @@ SQL = {
         select graph_name, estimator, epsilon, finished, case when epsilon = (select max(epsilon) from grid) and finished = 0 then null
           when worst = 0 then 'hopeless' when finished >= {RUNS} then 'enough' end reason from own""",
     "grid_resume": "with " + _EVENT_RUNS + """,
-        keyed as (select distinct graph_name, estimator, epsilon, run_id from done where event_id % 2 = 0 and graph_name::int < 4),
+        keyed as (select distinct graph_name, estimator, epsilon, run_id from done),
         grid as (select graph_name, estimator, count(*) n from keyed group by all)
         select graph_name, sum(n)::bigint recorded, (count(*) * 35 - sum(n))::bigint to_do from grid group by graph_name""",
     "log_statistics": """

@@ -40,6 +40,22 @@ def test_graph_with_every_run_has_none_to_do(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("0", 35, 0), ("1", 2, 33)]
 
 
+def test_runs_of_all_events_are_recorded(spark, tmp_path):
+    """Events of odd numbers and of every user count, as in the SQL."""
+    import datetime
+
+    import duckdb
+    from pathlight.plans import queries
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at, user, "view", 1.0) for user, ids in ((0, (1, 2, 3)), (4, (5,)), (39, (6, 7, 7, 42)), (40, (36,))) for i in ids]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.grid_resume(spark, str(tmp_path)).select("graph_name", "recorded", "to_do")
+    due = duckdb.connect().sql(queries.SQL["grid_resume"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(due) == [("0", 3, 32), ("39", 2, 33), ("4", 1, 34)]
+
+
 def test_reasons_to_skip(spark):
     grid = [("g", "x", e) for e in (0.1, 0.05, 0.01)] + [("g", "y", 0.1), ("g", "y", 0.05), ("new", "x", 0.1), ("new", "x", 0.01)]
     done = [("g", "x", 0.05, 0), ("g", "y", 0.1, 1), ("g", "y", 0.1, 1), ("new", "x", 0.2, 0), ("other", "x", 0.1, 0)]
